@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
 
 QUERIES = {
+    "op4_quality_classifier": op4_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
