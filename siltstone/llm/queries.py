@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
+from .token_files import op2_token_files
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
     "op4_quality_classifier": op4_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
