@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op5_best_fit_packing
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op5_best_fit_packing": op5_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op4_quality_classifier": op4_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
