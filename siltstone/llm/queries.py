@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP6_SQL, op6_line_dedup
 from .packing import op5_best_fit_packing
+from .pseudonyms import op9_pseudonyms
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op6_line_dedup": op6_line_dedup,
+    "op9_pseudonyms": op9_pseudonyms,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op2_token_files": op2_token_files,
     "op4_quality_classifier": op4_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": OP6_SQL,
+}
