@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .tokens import Encoder
+from .tokens import encoder
 
 SALTS = 64
 
@@ -146,13 +146,13 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         for b in batches:
             for i in range(0, b.num_rows, batch):
                 some = b.slice(i, batch)
                 of, piece, start, length, crc = [], [], [], [], []
-                for row, data in enumerate(encoder.encode(some.column("text").to_pylist())):
-                    ids = np.append(np.frombuffer(data, encoder.dtype), encoder.dtype.type(end_id)).astype("<u4")
+                for row, data in enumerate(enc.encode(some.column("text").to_pylist())):
+                    ids = np.append(np.frombuffer(data, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
                     cut = np.append(np.arange(len(ids), 0, -size)[::-1] - size, len(ids)).clip(0)
                     for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
                         of.append(row), piece.append(k), start.append(x), length.append(y - x), crc.append(zlib.crc32(ids[x:y].tobytes()))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import scratch
-from .tokens import Encoder
+from .tokens import encoder
 
 LIMIT = 18
 STRIDE = 128
@@ -125,11 +125,11 @@ def tokenize_sorted(docs: DataFrame, path: str, id_col: str, text_col: str, end_
     parts = base.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("part"), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = Encoder(path), 0
+        enc, before = encoder(path), 0
         for b in batches:
             for i in range(0, b.num_rows, batch):
                 some = b.slice(i, batch)
-                ids = [np.append(np.frombuffer(x, encoder.dtype), encoder.dtype.type(end_id)) for x in encoder.encode(some.column("text").to_pylist())]
+                ids = [np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)) for x in enc.encode(some.column("text").to_pylist())]
                 n = np.array([len(x) for x in ids], np.int64)
                 start = before + np.cumsum(n) - n
                 before += int(n.sum())

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -70,3 +71,9 @@ class Encoder:
             self._learn(new)
         get = seen.__getitem__
         return [b"".join(map(get, c)) for c in cut]
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The Python worker's own encoder: its chunks serve all tasks that the worker runs."""
+    return Encoder(path)
