@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .line_dedup import OP6_SQL, op6_line_dedup
+from .near_join import OP8_SQL, op8_near_join
 from .packing import op5_best_fit_packing
 from .pseudonyms import op9_pseudonyms
 from .quality_classifier import op4_quality_classifier
@@ -10,6 +12,8 @@ from .quality_rules import op10_quality_rules
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op7_embedding_dedup": op7_embedding_dedup,
+    "op8_near_join": op8_near_join,
     "op6_line_dedup": op6_line_dedup,
     "op9_pseudonyms": op9_pseudonyms,
     "op5_best_fit_packing": op5_best_fit_packing,
@@ -19,5 +23,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_embedding_dedup": OP7_SQL,
+    "op8_near_join": OP8_SQL,
     "op6_line_dedup": OP6_SQL,
 }
