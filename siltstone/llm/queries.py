@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
+from .html_text import op1_html_text
 from .line_dedup import OP6_SQL, op6_line_dedup
 from .near_join import OP8_SQL, op8_near_join
 from .packing import op5_best_fit_packing
@@ -12,6 +13,7 @@ from .quality_rules import op10_quality_rules
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_near_join": op8_near_join,
     "op6_line_dedup": op6_line_dedup,
