@@ -10,9 +10,11 @@ from .packing import op5_best_fit_packing
 from .pseudonyms import op9_pseudonyms
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
+from .sentencepiece_lattice import op3_sentencepiece
 from .token_files import op2_token_files
 
 QUERIES = {
+    "op3_sentencepiece": op3_sentencepiece,
     "op1_html_text": op1_html_text,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_near_join": op8_near_join,
