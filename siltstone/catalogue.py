@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from siltstone.operators import chunks, files, metrics, relations, search, tags, text_rules
+from siltstone.plans.flagship import flagship
+
+_MODULES = (search, text_rules, tags, relations, files, metrics, chunks)
+QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
