@@ -40,28 +40,38 @@ def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int =
     return again.groupBy("id", "key").agg(F.sort_array(F.collect_set("unit")).alias("lines"))
 
 
+def cut(text: str, gone: set[int]) -> tuple[str, list[dict]]:
+    """The text without these lines, and where they stood."""
+    kept, spans, start = [], [], 0
+    for k, line in enumerate(text.split("\n")):
+        if k in gone:
+            spans.append({"start": start, "end": start + len(line)})
+        else:
+            kept.append(line)
+        start += len(line) + 1
+    return "\n".join(kept), spans
+
+
 def remove_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without those lines, plus ``removed``: their (start, end) in code points of the old text."""
     names, at = docs.columns, docs.columns.index(text_col)
     marked = docs.withColumn("_key", F.xxhash64(text_col)).join(lines.select(F.col("id").alias("_id"), F.col("key").alias("_key2"), F.col("lines").alias("_lines")), (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_key2")), "left").select(*[F.col(f"`{n}`") for n in names], "_lines")
 
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, spans = b.column(at).to_pylist(), []
-            for i, gone in enumerate(b.column(len(names)).to_pylist()):
-                spans.append([])
-                if gone:
-                    gone, kept, start = set(gone), [], 0
-                    for k, line in enumerate(texts[i].split("\n")):
-                        if k in gone:
-                            spans[-1].append({"start": start, "end": start + len(line)})
-                        else:
-                            kept.append(line)
-                        start += len(line) + 1
-                    texts[i] = "\n".join(kept)
-            cols = list(b.columns[: len(names)])
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*names, "removed"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                cols, lists = list(b.columns[: len(names)]), b.column(len(names)).to_pylist()
+                spans: list[list[dict]] = [[] for _ in lists]
+                if any(lists):
+                    texts = cols[at].to_pylist()
+                    for i, gone in enumerate(lists):
+                        if gone:
+                            texts[i], spans[i] = cut(texts[i], set(gone))
+                    cols[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], [*names, "removed"])
 
     return marked.mapInArrow(run, StructType([*docs.schema.fields, StructField("removed", SPANS)]))
 
