@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-DATA = "/root/testdata/sf0.001"
+
 
 
 @pytest.fixture(scope="session")
