@@ -30,6 +30,7 @@ from .storage import stored
 MARK = "▁"
 #: Longer words do not fit a 64-bit boundary set; they are folded by ``merge_long``.
 BITS = 62
+NO_RANK, NO_PIECE = (1 << 31) - 1, (1 << 20) - 1
 #: Words of one local dictionary, at most.
 LOCAL_WORDS = 400_000
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
@@ -130,15 +131,18 @@ def encode_words(words: DataFrame, model: str) -> DataFrame:
     spots = spots.select("word", "n", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("s")))).alias("l"))
     spots = spots.withColumn("sub", F.expr("substring(word, s + 1, l)")).join(pieces, "sub", "left").where("piece IS NOT NULL OR l = 1")
     # a character that is no piece becomes its bytes
-    ids = F.expr(f"CASE WHEN piece IS NOT NULL THEN array(piece) ELSE transform(sequence(1, octet_length(sub)), i -> CAST(conv(substring(hex(sub), 2 * i - 1, 2), 16, 10) AS INT) + {byte0}) END")
-    spots = spots.withColumn("ids", ids)
-    short = spots.where(F.col("n") <= BITS).select(
-        "word", "n", F.expr("struct(coalesce(rank, 2147483647) AS rank, s, shiftleft(1L, s) | shiftleft(1L, s + l) AS ends, (shiftleft(1L, s + l) - 1) & ~(shiftleft(1L, s + 1) - 1) AS inside, ids)").alias("edge"))
-    short = short.groupBy("word", "n").agg(F.array_sort(F.collect_list("edge")).alias("edges"))
+    as_bytes = f"transform(sequence(1, octet_length(%s)), i -> CAST(conv(substring(hex(%s), 2 * i - 1, 2), 16, 10) AS INT) + {byte0})"
+    # an edge is one number while it is grouped: rank, start, length, piece (all ones: none)
+    number = F.expr(f"shiftleft(coalesce(rank, {NO_RANK})::bigint, 32) | shiftleft(s::bigint, 26) | shiftleft(l::bigint, 20) | coalesce(piece, {NO_PIECE})")
+    short = spots.where(F.col("n") <= BITS).select("word", number.alias("e")).groupBy("word").agg(F.array_sort(F.collect_list("e")).alias("edges"))
+    short = short.withColumn("n", F.char_length("word")).withColumn("edges", F.expr("transform(edges, e -> struct(shiftright(e, 26) & 63 AS s, shiftright(e, 20) & 63 AS l, e & 1048575 AS piece))"))
+    short = short.withColumn("edges", F.expr("transform(edges, e -> struct(e.s AS s, e.piece AS piece, shiftleft(1L, e.s::int) | shiftleft(1L, (e.s + e.l)::int) AS ends, (shiftleft(1L, (e.s + e.l)::int) - 1) & ~(shiftleft(1L, (e.s + 1)::int) - 1) AS inside))"))
     short = short.withColumn("merges", F.expr("filter(edges, e -> e.inside <> 0)"))
     fold = "aggregate(sequence(1, greatest(n - 1, 1)), shiftleft(1L, n + 1) - 1, (m, i) -> coalesce(m & ~get(filter(merges, e -> (m & e.ends) = e.ends AND bit_count(m & e.inside) = 1), 0).inside, m))"
-    short = short.withColumn("m", F.expr(fold)).select("word", F.expr("flatten(transform(array_sort(transform(filter(edges, e -> (m & e.ends) = e.ends AND (m & e.inside) = 0), e -> struct(e.s, e.ids))), e -> e.ids))").alias("ids"))
-    long = spots.where(F.col("n") > BITS).groupBy("word").agg(F.collect_list(F.struct("s", "l", F.coalesce("rank", F.lit(-1)).alias("rank"), "ids")).alias("edges"))
+    spelled = as_bytes.replace("%s", "substring(word, e.s::int + 1, 1)")
+    short = short.withColumn("m", F.expr(fold)).select("word", F.expr(f"flatten(transform(array_sort(filter(edges, e -> (m & e.ends) = e.ends AND (m & e.inside) = 0)), e -> IF(e.piece = {NO_PIECE}, {spelled}, array(e.piece::int))))").alias("ids"))
+    ids = F.expr(f"IF(piece IS NULL, {as_bytes.replace('%s', 'sub')}, array(piece))")
+    long = spots.where(F.col("n") > BITS).groupBy("word").agg(F.collect_list(F.struct("s", "l", F.coalesce("rank", F.lit(-1)).alias("rank"), ids.alias("ids"))).alias("edges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,6 +164,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     both = stored(index_words(docs, id_col, text_col), "words")
     pairs = both.where("word IS NOT NULL").select("part", "code", "word")
     coded = stored(encode_words(pairs, model), "encoded")
+    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the word shuffle
     table = pairs.join(coded, "word").select(F.col("part").alias("part"), "code", "ids")
     rows = both.where("codes IS NOT NULL").select("part", "id", "codes")
     kind = dict(rows.dtypes)["id"]
