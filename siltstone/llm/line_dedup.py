@@ -1,62 +1,140 @@
-"""Operator 6: substring dedup by line hashing.
-
-Lines are normalised (white space runs to one space, trimmed, lower case) and hashed to 128 bits;
-each digest's earliest occurrence by (id, line) stays, every later one is removed.  Only digests and
-positions are shuffled to find repeats, with partial minima before the shuffle; a common line is one
-row there.  Lines of fewer than ``min_words`` words are too short to count as copied passages and
-stay.
+"""Operator 6: substring dedup by hashing lines and their sentences.
+
+Units are lines, cut further after sentence ends, so that a passage inside a line is found too.  A
+unit is normalised (words without regard to case, white space is one space) and hashed to 128 bits;
+each digest's earliest occurrence by (id, unit) stays, every later one is removed.  Only digests and
+positions are shuffled to find repeats, with partial minima before the shuffle; a common unit is one
+row there.  Units of fewer than ``min_words`` words are too short to count as copied passages; they
+go only where the units on both sides go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from .kernel import Slab, _powers, mix, slabs
 from .storage import stored
 
 MIN_WORDS = 5
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
+_U = np.uint64
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+_STOP, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and Latin-1 letters, byte by byte."""
+    low = _LOW[buf]
+    accent = np.zeros(len(buf), bool)
+    accent[1:] = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+    low[accent] += 32
+    return low
+
+
+def units(s: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word of each unit, the word after its last, and its text.
+
+    A unit ends with its line, and after a word that ends in one of .!? with at most three other
+    ASCII punctuation marks behind it.
+    """
+    start, end, doc = s.word_start, s.word_end, s.word_doc
+    n = len(start)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    stops, marks = np.zeros(n, bool), np.ones(n, bool)
+    for k in range(4):
+        at = end - 1 - k
+        inside = at >= start
+        b = s.buf[np.maximum(at, 0)]
+        stops |= marks & inside & _STOP[b]
+        marks &= inside & _MARK[b]
+    feeds = np.concatenate([[0], np.cumsum(s.buf == 10)])
+    first = np.ones(n, bool)
+    first[1:] = (doc[1:] != doc[:-1]) | stops[:-1] | (feeds[start[1:]] != feeds[end[:-1]])
+    a = np.flatnonzero(first)
+    return a, np.append(a[1:], n), doc[a]
+
+
+def digests(s: Slab, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of the lower-cased words of each unit."""
+    h = Slab(lowered(s.buf), s.off, s.first).word_hash
+    up, down = _powers(1 << max(20, int(len(h) + 1).bit_length()))
+    out = []
+    for salt in (0, 77):
+        p = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(mix(h ^ _U(salt)) * up[: len(h)], out=p[1:])
+        out.append(mix((p[b] - p[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
+    return out
+
+
+def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, key, units): the numbers of the units to remove from each document; ``key`` hashes the text."""
+    kind = dict(docs.dtypes)[id_col]
+    base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
-def repeated_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, lines): the line numbers to remove from each document; ``key`` hashes the text."""
-    line = F.trim(F.lower(F.regexp_replace("line", r"[\x20\x09-\x0D]+", " ")))
-    units = (
-        docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.posexplode(F.split(F.col(text_col), "\n")).alias("unit", "line"))
-        .select("id", "key", "unit", line.alias("line"))
-        .where(F.length(F.col("line")) - F.length(F.replace(F.col("line"), F.lit(" "))) >= min_words - 1)
-        .where("line <> ''")
-        .select("id", "key", "unit", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"))
-    )
-    units = stored(units, "lines")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for s in slabs(batch.column("text")):
+                a, b, doc = units(s)
+                number = np.arange(len(a)) - np.searchsorted(doc, np.arange(s.n))[doc]
+                x, y = digests(s, a, b)
+                keep = np.flatnonzero(b - a >= min_words)
+                row = pa.array(doc[keep] + s.first)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("key").take(row), pa.array(number[keep].astype(np.int32)), pa.array(x[keep]), pa.array(y[keep])], ["id", "key", "unit", "a", "b"])
+
+    found = stored(base.mapInArrow(run, f"id {kind}, key long, unit int, a long, b long"), "units")
     place = F.struct("id", "key", "unit")
-    first = units.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("a", "b", "first")
-    again = units.join(first, ["a", "b"]).where(place > F.col("first"))
-    return again.groupBy("id", "key").agg(F.sort_array(F.collect_set("unit")).alias("lines"))
+    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("a", "b", "first")
+    again = found.join(first, ["a", "b"]).where(place > F.col("first"))
+    return again.groupBy("id", "key").agg(F.sort_array(F.collect_set("unit")).alias("units"))
+
 
+def cut(text: str, gone: list[int], min_words: int) -> tuple[str, list[dict]]:
+    """The text without these units, and where they stood (code points of the old text).
 
-def cut(text: str, gone: set[int]) -> tuple[str, list[dict]]:
-    """The text without these lines, and where they stood."""
-    kept, spans, start = [], [], 0
-    for k, line in enumerate(text.split("\n")):
-        if k in gone:
-            spans.append({"start": start, "end": start + len(line)})
+    Neighbours that stay keep the white space between them; where units between two went, a line feed
+    stays if there was one, else a space.
+    """
+    (s,) = slabs(pa.array([text]), 1 << 62)
+    a, b, _ = units(s)
+    drop = np.zeros(len(a), bool)
+    drop[gone] = True
+    known = drop | (b - a >= min_words)
+    place = np.where(known, np.arange(len(a)), -1)
+    before = np.maximum.accumulate(place)
+    after = np.minimum.accumulate(np.where(known, place, len(a))[::-1])[::-1]
+    drop |= ~known & (before >= 0) & drop[np.maximum(before, 0)] & (after < len(a)) & drop[np.minimum(after, len(a) - 1)]
+    chars = np.concatenate([[0], np.cumsum((s.buf & 0xC0) != 0x80)])
+    begin, end = chars[s.word_start[a]].tolist(), chars[s.word_end[b - 1]].tolist()
+    kept = np.flatnonzero(~drop).tolist()
+    out = []
+    for k, i in enumerate(kept):
+        if k == 0:
+            out.append(text[: begin[0]] if i == 0 else "")
         else:
-            kept.append(line)
-        start += len(line) + 1
-    return "\n".join(kept), spans
+            gap = text[end[kept[k - 1]] : begin[i]]
+            out.append(gap if kept[k - 1] == i - 1 else "\n" if "\n" in gap else " ")
+        out.append(text[begin[i] : end[i]])
+    if kept and kept[-1] == len(a) - 1:
+        out.append(text[end[-1] :])
+    return "".join(out), [{"start": begin[i], "end": end[i]} for i in np.flatnonzero(drop).tolist()]
 
 
-def remove_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` without those lines, plus ``removed``: their (start, end) in code points of the old text."""
+def remove_units(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
+    """``docs`` without those units, plus ``removed``: their (start, end)."""
     names, at = docs.columns, docs.columns.index(text_col)
-    marked = docs.withColumn("_key", F.xxhash64(text_col)).join(lines.select(F.col("id").alias("_id"), F.col("key").alias("_key2"), F.col("lines").alias("_lines")), (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_key2")), "left").select(*[F.col(f"`{n}`") for n in names], "_lines")
-
+    found = found.select(F.col("id").alias("_id"), F.col("key").alias("_found_key"), F.col("units").alias("_units"))
+    marked = docs.withColumn("_key", F.xxhash64(text_col)).join(found, (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_found_key")), "left").select(*[F.col(f"`{n}`") for n in names], "_units")
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +147,7 @@ def remove_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str)
                     texts = cols[at].to_pylist()
                     for i, gone in enumerate(lists):
                         if gone:
-                            texts[i], spans[i] = cut(texts[i], set(gone))
+                            texts[i], spans[i] = cut(texts[i], gone, min_words)
                     cols[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], [*names, "removed"])
 
@@ -79,32 +157,16 @@ def remove_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str)
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of ``docs`` with repeats cut from its text, and the column ``removed``.
 
-    Ranks are (id, line number), so ids should be unique; rows with one id are ranked by a hash of
+    Ranks are (id, unit number), so ids should be unique; rows with one id are ranked by a hash of
     their texts, and rows equal in id and text are one document and get the same result.  A row with a
     null id or text is neither compared nor changed; empty texts stay; a document may lose all its
-    lines and then has an empty text.  Other columns pass through (an old ``removed`` is replaced).
+    units and then has an empty text.  Other columns pass through (an old ``removed`` is replaced).
     """
     docs = docs.drop("removed")
-    return remove_lines(docs, repeated_lines(docs, id_col, text_col, min_words), id_col, text_col)
+    return remove_units(docs, repeated_units(docs, id_col, text_col, min_words), id_col, text_col, min_words)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     spans = F.concat_ws(" ", F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"))
-
-
-OP6_SQL = r"""
-WITH units AS (
-  SELECT doc_id, u AS unit, l AS line, trim(lower(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g')), ' ') AS norm,
-         coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS u FROM documents WHERE text IS NOT NULL)
-), ranked AS (
-  SELECT *, norm <> '' AND length(norm) - length(replace(norm, ' ', '')) >= 4
-            AND row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) > 1 AS gone FROM units
-)
-SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY unit), '') AS text,
-       count(*) FILTER (WHERE gone) AS n_removed,
-       coalesce(string_agg(CASE WHEN gone THEN CAST(start AS BIGINT) || '-' || CAST(start + length(line) AS BIGINT) END, ' ' ORDER BY unit), '') AS removed_spans
-FROM ranked GROUP BY doc_id
-"""

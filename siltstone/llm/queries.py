@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .html_text import op1_html_text
-from .line_dedup import OP6_SQL, op6_line_dedup
+from .line_dedup import op6_line_dedup
 from .near_join import OP8_SQL, op8_near_join
 from .packing import op5_best_fit_packing
 from .pseudonyms import op9_pseudonyms
@@ -29,5 +29,4 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_near_join": OP8_SQL,
-    "op6_line_dedup": OP6_SQL,
 }

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from compare import DATA, connect, same
+from compare import DATA
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -77,8 +77,50 @@ def test_rules_are_monotone_and_cover_odd_rows(spark, odd, empty):
     assert quality_rules.apply_rules(odd, quality_rules.fit_rules(odd, labels)).count() == odd.count()
 
 
-def test_line_dedup_matches_sql(spark):
-    same(line_dedup.op6_line_dedup(spark, DATA).toPandas(), connect(DATA).execute(line_dedup.OP6_SQL).df())
+def brute_dedup(docs, least=5):
+    """Units by regular expression, in rank order; the words of what stays and the spans of what goes."""
+    seen, out = set(), {}
+    for i, t in sorted(docs.items()):
+        spans = []
+        for line in re.finditer(r"[^\n]+", t):
+            at = line.start()
+            for part in re.split(r"((?<=[.!?])[ \t\r\x0b\x0c]+|(?<=[.!?][!-/:-@\[-`{-~])[ \t\r\x0b\x0c]+|(?<=[.!?][!-/:-@\[-`{-~]{2})[ \t\r\x0b\x0c]+|(?<=[.!?][!-/:-@\[-`{-~]{3})[ \t\r\x0b\x0c]+)", line[0]):
+                words = re.findall(r"[^\x20\x09-\x0D]+", part)
+                if words:
+                    lead = re.match(r"[\x20\x09-\x0D]*", part).end()
+                    spans.append((at + lead, at + len(part.rstrip(" \t\r\x0b\x0c")), tuple(w.lower() for w in words)))
+                at += len(part)
+        gone = []
+        for _, _, words in spans:
+            gone.append(None if len(words) < least else words in seen)
+            if len(words) >= least:
+                seen.add(words)
+        for k, g in enumerate(gone):
+            if g is None:
+                left = next((x for x in gone[:k][::-1] if x is not None), False)
+                right = next((x for x in gone[k + 1 :] if x is not None), False)
+                spans[k] = (*spans[k], left and right)
+            else:
+                spans[k] = (*spans[k], g)
+        out[i] = ([x[:2] for x in spans if x[3]], [t[x[0] : x[1]] for x in spans if not x[3]])
+    return out
+
+
+def test_line_dedup_matches_brute_force(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    want = brute_dedup(docs)
+    for r in line_dedup.op6_line_dedup(spark, DATA).collect():
+        spans, kept = want[r.doc_id]
+        assert r.removed_spans == " ".join(f"{a}-{b}" for a, b in spans) and r.n_removed == len(spans)
+        assert r.text.split() == " ".join(kept).split()
+    assert sum(len(s) for s, _ in want.values()) > 50
+
+
+def test_line_dedup_inside_lines(spark):
+    passage = "This passage has many words in it. Yes. And it goes on for another sentence!"
+    df = spark.createDataFrame([(1, f"Start of one text, quite long. {passage} End of it here."), (2, f"Another beginning of a text\nwith two lines. {passage}\nAnd a last line.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: df.first().text, 2: "Another beginning of a text\nwith two lines.\nAnd a last line."}
 
 
 def test_line_dedup_odd_rows(spark, odd, empty):
