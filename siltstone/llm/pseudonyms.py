@@ -4,8 +4,8 @@ A value found in a text is read as a number in the domain of its format (digits,
 a calendar, IPv4 addresses), permuted by a keyed Feistel network with cycle walking, and written back
 in the layout it had.  The permutation depends on the key, the kind and the format alone, so equal
 values get equal pseudonyms in every document, different ones stay different, and holders of the key
-can invert it.  Values are validated first: card numbers by their check digit (which the pseudonym
-has too), dates by the calendar, IPv4 addresses by their range.
+can invert it.  Values are validated first: card and account numbers by their check digits (which the
+pseudonyms have too), dates by the calendar, IPv4 addresses by their range.
 """
 
 from __future__ import annotations
@@ -37,7 +37,9 @@ _NUMBER = re.compile(
     r"|(?<![0-9+(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9]))"
     r"|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))"
 )
-_SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.~-]{8,512})|\b(?P<aws>AKIA[0-9A-Z]{16})\b")
+_SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.~-]{8,512})|\b(?P<key>AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,200})\b")
+_SECRET_SIGNS = ("=", ":", "AKIA", "sk-", "sk_", "ghp_", "gho_", "xox")
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b")
 #: Where any of the number formats must lie.
 _DIGITS = re.compile(r"[+(0-9][0-9 ()./+-]{6,}")
 
@@ -114,6 +116,20 @@ def _number(value: str, key: bytes, back: bool) -> str:
             return value
 
 
+def iban_rest(value: str) -> int:
+    """An account number's remainder modulo 97, 1 if it is valid."""
+    v = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97
+
+
+def _iban(value: str, key: bytes, back: bool) -> str:
+    """Permute the account part; the country stays and the check digits follow."""
+    v = value.replace(" ", "")
+    body = letters(v[4:], key, f"iban{v[:2]}", back)
+    new = iter(v[:2] + str(98 - iban_rest(v[:2] + "00" + body)).zfill(2) + body)
+    return "".join(c if c == " " else next(new) for c in value)
+
+
 def _ip(value: str, key: bytes, back: bool) -> str:
     x = 0
     for part in value.split("."):
@@ -152,6 +168,8 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     if kind == "email":
         local, at, domain = value.rpartition("@")
         return letters(local, key, "email", back) + at + domain
+    if kind == "iban":
+        return _iban(value, key, back)
     if kind == "ip":
         return _ip(value, key, back)
     if kind in ("ymd", "dmy"):
@@ -164,6 +182,9 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
         return digits(value, key, "phone", len(lead[1]) if lead else 0, back)
     if kind == "ssn":
         return digits(value, key, "ssn", 0, back)
+    if kind == "key":
+        lead = re.match("AKIA|[a-z]+[-_]", value)[0]
+        return lead + letters(value[len(lead) :], key, f"key{lead}", back)
     return letters(value, key, "secret", back)
 
 
@@ -172,8 +193,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
     got = []
     if "@" in text:
         got += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
-    if "=" in text or ":" in text or "AKIA" in text:
-        got += [(*m.span(m.lastgroup), "secret") for m in _SECRET.finditer(text)]
+    if any(sign in text for sign in _SECRET_SIGNS):
+        got += [(*m.span(m.lastgroup), "key" if m["key"] else "secret") for m in _SECRET.finditer(text)]
+    got += [(*m.span(), "iban") for m in _IBAN.finditer(text) if iban_rest(m[0]) == 1]
     for run in _DIGITS.finditer(text):
         got += [(*m.span(), next(k for k in ("ip", "ymd", "dmy", "ssn", "phone", "card") if m[k])) for m in _NUMBER.finditer(text, run.start(), run.end() + 2)]
     out: list[tuple[int, int, str]] = []

@@ -131,19 +131,19 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
-PRIVATE = "mail bo.42@mail8.example.com host 42.144.35.254, card 4111 1111 1111 1111 or 4111111111111111 no 4041894974608796 tel +1 (499) 555-6503%% token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\" on 2024-02-29"
+PRIVATE = "mail bo.42@mail8.example.com host 42.144.35.254, card 4111 1111 1111 1111 or 4111111111111111 no 4041894974608796 tel +1 (499) 555-6503%% token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\" on 2024-02-29 iban DE89 3704 0044 0532 0130 00 sk-abcdEFGH1234567890xy"
 
 
 def test_pseudonyms_invert_and_link():
     text, done = pseudonyms.pseudonymise_text(PRIVATE, b"k")
     kinds = [k for _, _, k in done]
-    assert kinds == ["email", "ip", "card", "card", "card", "phone", "secret", "ymd"]
+    assert kinds == ["email", "ip", "card", "card", "card", "phone", "secret", "ymd", "iban", "key"]
     new = [text[s:e] for s, e, _ in pseudonyms.find(text)]
     old = [PRIVATE[s:e] for s, e, _ in done]
     assert len(new) == len(old) and not set(new) & set(old)
     assert [pseudonyms.pseudonym(k, v, b"k", True) for k, v in zip(kinds, new)] == old
     assert new[2].replace(" ", "") == new[3] and pseudonyms.luhn(new[3][:-1]) == int(new[3][-1]) and pseudonyms.luhn(new[4][:-1]) != int(new[4][-1])
-    assert pseudonyms.pseudonymise_text("version 2.0. in 1999, 12345, 2024-13-40 and 1.2.3.4.5", b"k")[1] == []
+    assert pseudonyms.pseudonymise_text("version 2.0. in 1999, 12345, 2024-13-40 and 1.2.3.4.5 DE88 3704 0044 0532 0130 00", b"k")[1] == []
 
 
 @given(st.integers(2, 10**20), st.data())
