@@ -143,7 +143,7 @@ def test_pseudonyms_invert_and_link():
     assert len(new) == len(old) and not set(new) & set(old)
     assert [pseudonyms.pseudonym(k, v, b"k", True) for k, v in zip(kinds, new)] == old
     assert new[2].replace(" ", "") == new[3] and pseudonyms.luhn(new[3][:-1]) == int(new[3][-1]) and pseudonyms.luhn(new[4][:-1]) != int(new[4][-1])
-    assert pseudonyms.pseudonymise_text("version 2.0. in 1999, 12345, 2024-13-40 and 1.2.3.4.5 DE88 3704 0044 0532 0130 00", b"k")[1] == []
+    assert pseudonyms.pseudonymise_text("version 2.0. in 1999, 12345, 2024-13-40 and 1.2.3.4.5 DE88370400440532013000", b"k")[1] == []
 
 
 @given(st.integers(2, 10**20), st.data())
