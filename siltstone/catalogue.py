@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from siltstone.operators import chunks, files, metrics, more, relations, search, tags, text_rules
+from siltstone.operators import chunks, files, maintenance, metrics, more, relations, search, tags, text_rules
 from siltstone.plans.flagship import flagship
 
-_MODULES = (search, text_rules, tags, relations, files, metrics, chunks, more)
+_MODULES = (search, text_rules, tags, relations, files, metrics, chunks, more, maintenance)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 

@@ -96,3 +96,42 @@ def test_streamed_sessions_match_the_batch(spark, folder):
 
     want = {(r.user_id, r.events) for r in q_sessions(spark, folder).select("user_id", "events").collect()}
     assert {(r.user_id, r.events) for r in got.collect()} == want
+
+
+def test_streamed_debounce_matches_the_batch(spark):
+    from siltstone.streaming.stateful import debounce_stream
+
+    folder = "/root/testdata/sf0.001"
+    got = stream._run(debounce_stream(stream.event_stream(spark, folder), 6 * 3600))
+    assert {r.event_id for r in got.collect()} == {r.event_id for r in chunks.q_debounce(spark, folder).collect()}
+
+
+def test_retries_end_as_dead_letters(spark, tmp_path):
+    from siltstone.streaming.stateful import retry_stream
+
+    for i, rows in enumerate([[(1, False), (2, True), (3, False)]] + [[(1, False)]] * 4 + [[(3, True)]]):
+        spark.createDataFrame(rows, "task_id long, ok boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("task_id long, ok boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    last = {}
+    for r in stream._run(retry_stream(s), "update").collect():
+        last[r.task_id] = max(last.get(r.task_id, (0, "")), (r.failures, r.status if r.status != "Retrying" else ""))
+    assert last[1] == (5, "DeadLetter") and last[2] == (0, "Done") and last[3] == (1, "Done")
+
+
+def test_files(spark, tmp_path):
+    from siltstone.sources import files
+
+    for name, data in {"a.txt": b"hello", "b.json": b'{"x": 1}', "c.json": b"{x", "d.md": b"# t", "e.png": b"\x89", "f.txt": b"\xff\xfe", "node_modules/g.txt": b"x", "h.tmp": b"x"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    assert {(r.filename, r.file_type) for r in files.list_files(spark, str(tmp_path)).collect()} == {("a.txt", "TextDocument"), ("b.json", "Code"), ("c.json", "Code"), ("d.md", "TextDocument"), ("e.png", "Image"), ("f.txt", "TextDocument")}
+    assert {(r.path.rsplit("/", 1)[1], r.kind, r.text) for r in files.read_texts(spark, str(tmp_path)).collect()} == {("a.txt", "plain", "hello"), ("b.json", "json", '{"x": 1}'), ("d.md", "markdown", "# t"), ("g.txt", "plain", "x")}
+    assert files.count_files(spark, str(tmp_path)) == 7
+
+
+def test_sections():
+    from siltstone.operators.more import sections
+
+    text = "# Title\nbody\n\n## Alone\n\npara one\nstill\n```py\nx = 1\n\n```\ntail\n```\nopen"
+    assert [(a, b, k) for a, b, k, _ in sections(text)] == [(1, 2, "Paragraph"), (4, 4, "Heading"), (6, 7, "Paragraph"), (8, 11, "CodeBlock"), (12, 12, "Paragraph"), (13, 14, "CodeBlock")]
+    assert sections("") == []
