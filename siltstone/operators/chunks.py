@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,6 +77,63 @@ def q_paragraph_of_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("hit").cast("long").alias("hit"), line.cast("long").alias("line"))
 
 
+_UNIT = re.compile(r"(?:(?:pub|public|private|protected|static|async|export|default|abstract|final|unsafe)(?:\([a-z]+\))?\s+)*(?P<kind>fn|function|func|def|class|struct|enum|trait|impl|interface|module|namespace)\b\s*(?P<name>[A-Za-z_$][A-Za-z0-9_$]*)?")
+
+
+def code_units(text: str, indented: bool) -> list[tuple[int, int, str, str]]:
+    """(first line, last line, kind, name) of the outermost definitions of a source text.
+
+    A unit opens on a line that begins with a definition keyword; it closes where its braces balance, or
+    with ``indented`` before the next line that is not indented.  A text without any is one unit.
+    """
+    rows = text.split("\n")
+    out: list[tuple[int, int, str, str]] = []
+    at = 0
+    while at < len(rows):
+        m = _UNIT.match(rows[at].lstrip() if not indented else rows[at])
+        if not m:
+            at += 1
+            continue
+        end = at
+        if indented:
+            while end + 1 < len(rows) and (not rows[end + 1].strip() or rows[end + 1][0] in " \t"):
+                end += 1
+            while not rows[end].strip():
+                end -= 1
+        else:
+            depth, opened = 0, False
+            for end in range(at, len(rows)):
+                depth += rows[end].count("{") - rows[end].count("}")
+                opened |= "{" in rows[end]
+                if depth <= 0 and (opened or rows[end].rstrip().endswith(";")):
+                    break
+        out.append((at + 1, end + 1, m["kind"], m["name"] or ""))
+        at = end + 1
+    return out or ([(1, len(rows), "text", "")] if text.strip() else [])
+
+
+def page_chunks(docs: DataFrame, most: int = 1000) -> DataFrame:
+    """(doc_id, page, chunk_index, content): pages end at form feeds; a text without any has one for every 3,000 characters."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for doc_id, text in zip(b["doc_id"], b["text"]):
+                pages = (text or "").split("\f")
+                i = 0
+                for number, page in enumerate(pages, 1):
+                    for s, e in chunk_spans(page, most):
+                        rows.append((doc_id, number if len(pages) > 1 else s // 3000 + 1, i, page[s:e]))
+                        i += 1
+            yield pd.DataFrame(rows, columns=["doc_id", "page", "chunk_index", "content"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, page long, chunk_index long, content string")
+
+
+def q_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_chunks(load(spark, sf_dir, "documents"))
+
+
 def debounce(events: DataFrame, seconds: float) -> DataFrame:
     """Event ids that stay: one less than ``seconds`` after the last kept event of its user and type goes.
 
@@ -97,7 +155,7 @@ def q_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce(load(spark, sf_dir, "events"), 6 * 3600)
 
 
-QUERIES = {"chunks": q_chunks, "chunk_coverage": q_chunk_coverage, "paragraph_of_hit": q_paragraph_of_hit, "debounce": q_debounce}
+QUERIES = {"chunks": q_chunks, "page_chunks": q_page_chunks, "chunk_coverage": q_chunk_coverage, "paragraph_of_hit": q_paragraph_of_hit, "debounce": q_debounce}
 ORACLE_SQL = {
     "paragraph_of_hit": "SELECT doc_id, hit - 1 AS hit, CAST(length(substring(text, 1, hit - 1)) - length(replace(substring(text, 1, hit - 1), chr(10), '')) AS BIGINT) AS line FROM (SELECT *, instr(text, 'thtion') AS hit FROM documents) WHERE hit > 0",
 }

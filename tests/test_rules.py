@@ -135,3 +135,17 @@ def test_sections():
     text = "# Title\nbody\n\n## Alone\n\npara one\nstill\n```py\nx = 1\n\n```\ntail\n```\nopen"
     assert [(a, b, k) for a, b, k, _ in sections(text)] == [(1, 2, "Paragraph"), (4, 4, "Heading"), (6, 7, "Paragraph"), (8, 11, "CodeBlock"), (12, 12, "Paragraph"), (13, 14, "CodeBlock")]
     assert sections("") == []
+
+
+def test_code_units():
+    rust = "use x;\npub(crate) fn a() {\n  if b { c }\n}\n\nstruct P;\nimpl P {\n}\n"
+    assert chunks.code_units(rust, False) == [(2, 4, "fn", "a"), (6, 6, "struct", "P"), (7, 8, "impl", "P")]
+    python = "import x\nclass A:\n    def f(self):\n        pass\n\nasync def g():\n    return 1\nprint(1)"
+    assert chunks.code_units(python, True) == [(2, 4, "class", "A"), (6, 7, "def", "g")]
+    assert chunks.code_units("just text", False) == [(1, 1, "text", "")] and chunks.code_units(" ", True) == []
+
+
+def test_page_chunks(spark):
+    rows = [(1, "a" * 10 + "\f" + "b" * 10), (2, "c" * 7000), (3, None)]
+    got = [(r.doc_id, r.page) for r in chunks.page_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got[:2] == [(1, 1), (1, 2)] and {p for d, p in got if d == 2} == {1, 2, 3} and not any(d == 3 for d, _ in got)
