@@ -32,7 +32,7 @@ MARK = "▁"
 BITS = 62
 NO_RANK, NO_PIECE = (1 << 31) - 1, (1 << 20) - 1
 #: Words of one local dictionary, at most.
-LOCAL_WORDS = 400_000
+LOCAL_WORDS = 1_500_000
 _WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
 
 
@@ -60,7 +60,10 @@ def words_of(text: str) -> list[str]:
 
 
 def index_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two kinds of rows: (part, code, word) of local dictionaries, and (part, id, codes) of documents."""
+    """Two kinds of rows: (part, code, word) of local dictionaries, and (part, id, codes) of documents.
+
+    ``codes`` are little-endian 32-bit codes, all first bytes before all second ones and so on, deflated.
+    """
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     names = ["part", "code", "word", "id", "codes"]
@@ -82,7 +85,7 @@ def index_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     if w not in local:
                         local[w] = len(local)
                 get = local.__getitem__
-                codes = [np.fromiter(map(get, c), "<u4", len(c)).tobytes() for c in cut]
+                codes = [zlib.compress(np.fromiter(map(get, c), "<u4", len(c)).view("u1").reshape(-1, 4).T.tobytes(), 1) for c in cut]
                 n = some.num_rows
                 yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), some.column("id"), pa.array(codes, pa.binary())], names)
                 if len(local) >= LOCAL_WORDS:
@@ -165,7 +168,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     pairs = both.where("word IS NOT NULL").select("part", "code", "word")
     coded = stored(encode_words(pairs, model), "encoded")
     docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the word shuffle
-    table = pairs.join(coded, "word").select(F.col("part").alias("part"), "code", "ids")
+    table = stored(pairs.join(coded, "word").select(F.col("part").alias("part"), "code", "ids"), "coded-dictionaries")
+    docs.sparkSession.sparkContext._jvm.System.gc()
     rows = both.where("codes IS NOT NULL").select("part", "id", "codes")
     kind = dict(rows.dtypes)["id"]
 
@@ -178,7 +182,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         flat = ids.values.to_numpy()
         n, crc, out = [], [], []
         for c in right["codes"].to_pylist():
-            c = np.frombuffer(c, "<u4")
+            c = np.frombuffer(zlib.decompress(c), "u1").reshape(4, -1).T.copy().view("<u4").ravel()
             k = size[c]
             end = np.cumsum(k)
             took = flat[np.repeat(start[c] - end + k, k) + np.arange(end[-1] if len(end) else 0)].astype("<i4")
