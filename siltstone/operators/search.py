@@ -76,9 +76,9 @@ def fuse(vector_hits: DataFrame, text_hits: DataFrame, w_vector: float = 0.6, w_
 
     Rows with both scores low (under 0.3 and 0.1) are dropped; a missing score passes.
     """
-    top = lambda df, c: float(df.agg(F.max(c)).first()[0] or 0)
-    scale = lambda x: x if x > 0 else 1.0
-    v, t = scale(top(vector_hits, "vector")), scale(top(text_hits, "text"))
+    top = lambda df, c: df.agg(F.lit(c).alias("side"), F.max(c).cast("double").alias("top"))
+    tops = {r["side"]: r["top"] or 0 for r in top(vector_hits, "vector").unionByName(top(text_hits, "text")).collect()}  # two rows
+    v, t = (x if x > 0 else 1.0 for x in (tops["vector"], tops["text"]))
     both = vector_hits.join(text_hits, "doc_id", "full_outer").select("doc_id", (F.col("vector") / v).alias("v"), (F.col("text") / t).alias("b"))
     both = both.where("v IS NULL OR v >= 0.3 OR b IS NULL OR b >= 0.1")
     origin = F.when(F.col("v").isNull(), "BM25").when(F.col("b").isNull(), "Vector").otherwise("Both")
