@@ -40,6 +40,8 @@ _DROP_WORDS = frozenset(
     "ad ads adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
 )
 _OUTER_WORDS = frozenset({"header", "head", "top"})  # not inside an article
+_ARTICLE_WORDS = frozenset("article content entry page post story text".split())
+_STATES = frozenset("has is no not with without".split())  # "has-sidebar" says something about another element
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"option", "optgroup", "body", "html"}
 _SCOPE = frozenset("ul ol dl table article section div main body html form nav aside header footer blockquote td th".split())
@@ -61,6 +63,16 @@ def _attrs(s: str) -> dict[str, str]:
     return out
 
 
+def _name_words(names: str) -> set[str]:
+    """The words of class names and ids, without names that tell a state."""
+    out: set[str] = set()
+    for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if words and words[0] not in _STATES:
+            out.update(words)
+    return out
+
+
 def lines(page: str) -> list[Line]:
     """The page's blocks in order, without those that have no text."""
     out: list[Line] = []
@@ -139,10 +151,10 @@ def lines(page: str) -> list[Line]:
         _, dropped, article = stack[-1] if stack else ("", False, False)
         attrs = _attrs(m["attrs"] or m["broken"] or "")
         role = attrs.get("role", "").lower()
-        words = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{attrs.get('class', '')} {attrs.get('id', '')}").lower()))
+        words = _name_words(f"{attrs.get('class', '')} {attrs.get('id', '')}")
         whole = name in ("html", "body", "main")
         dropped = dropped or name in _DROP or role in _DROP_ROLES or name == "header" and not article
-        dropped = dropped or not whole and bool(words & _DROP_WORDS or not article and name != "article" and words & _OUTER_WORDS)
+        dropped = dropped or not whole and bool(words & _DROP_WORDS or not article and name != "article" and words & _OUTER_WORDS and not words & _ARTICLE_WORDS)
         dropped = dropped or "hidden" in attrs and not whole or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
         article = article or name in ("article", "main") or role in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower()
         stack.append((name, dropped, article))

@@ -22,6 +22,8 @@ WANT = "A title\nFirst & long paragraph of the article, good to be found by the
 def test_main_text():
     assert html_text.main_text(PAGE) == WANT
     assert html_text.main_text("<article><p><b>open<br><p>x</article><footer>f</footer>") == "open\nx"
+    assert html_text.main_text('<div class="page"><div class="post-header"><h1>T</h1></div><article class="post no-comments has-sidebar"><p>x</p></article></div>') == "x"
+    assert html_text.main_text('<div class="page"><div class="post-header"><h1>T</h1></div><div class="no-comments"><p>x y z.</p></div></div>') == "T\nx y z."
     assert [html_text.main_text(x) for x in (None, "", "<nav>a</nav>", "<", "<p", "<script>x")] == ["", "", "", "<", "<p", ""]
     assert html_text.main_text("<p>" + "long word " * 50_000 + "</p>").count("word") == 50_000
 
