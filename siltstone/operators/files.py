@@ -61,12 +61,36 @@ def q_crowded_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("dir")).agg(F.count("*").alias("files"), F.count_if(F.col("n_chars") > 5000).alias("too_large")).where("files > 10")
 
 
+def pair_renames(events: DataFrame) -> DataFrame:
+    """(user_id, from_event, to_event, kind) of events (user_id, event_id, ts, half: From or To).
+
+    A To takes the oldest From that waits, each From once; a To that finds none is a new file.  Without a
+    loop: with +1 for From and -1 for To, a To finds none exactly when the running sum falls below all
+    sums before it (and 0); the j-th other To takes the j-th From.
+    """
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    up_to, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    e = events.withColumn("sum", F.sum(F.when(F.col("half") == "From", 1).otherwise(-1)).over(up_to))
+    e = e.withColumn("alone", (F.col("half") == "To") & (F.col("sum") < F.least(F.lit(0), F.coalesce(F.min("sum").over(before), F.lit(0)))))
+    e = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "half", "alone").orderBy("ts", "event_id")))
+    lost = e.where("half = 'From'").select("user_id", "n", F.col("event_id").alias("from_event"))
+    found = e.where("half = 'To' AND NOT alone").select("user_id", "n", F.col("event_id").alias("to_event"))
+    pairs = found.join(lost, ["user_id", "n"]).select("user_id", "from_event", "to_event", F.lit("Renamed").alias("kind"))
+    return pairs.unionByName(e.where("alone").select("user_id", F.lit(None).cast("long").alias("from_event"), F.col("event_id").alias("to_event"), F.lit("Created").alias("kind")))
+
+
+def q_rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as the old and purchases as the new half of a rename, per user."""
+    half = F.when(F.col("event_type") == "signup", "From").when(F.col("event_type") == "purchase", "To")
+    return pair_renames(load(spark, sf_dir, "events").select("user_id", "event_id", "ts", half.alias("half")).where("half IS NOT NULL"))
+
+
 _SNAP = """d AS (SELECT doc_id AS file_id, '/' || source || '/doc_' || doc_id AS path, n_chars AS size FROM documents), old AS (SELECT * FROM d WHERE file_id % 19 <> 0),
 new AS (SELECT file_id, CASE WHEN file_id % 13 = 0 THEN path || '_moved' ELSE path END AS path, size + CASE WHEN file_id % 11 = 0 THEN 1 ELSE 0 END AS size FROM d WHERE file_id % 17 <> 0),
 diff AS (SELECT coalesce(new.file_id, old.file_id) AS file_id, CASE WHEN old.file_id IS NULL THEN 'added' WHEN new.file_id IS NULL THEN 'deleted' WHEN old.path <> new.path THEN 'renamed' ELSE 'modified' END AS change, coalesce(new.path, old.path) AS path
   FROM old FULL OUTER JOIN new ON old.file_id = new.file_id WHERE old.file_id IS NULL OR new.file_id IS NULL OR old.path <> new.path OR old.size <> new.size)"""
 
-QUERIES = {"snapshot_diff": q_snapshot_diff, "reconcile_apply": q_reconcile_apply, "retention_by_size": q_retention, "lru_evict": q_lru_evict, "crowded_dirs": q_crowded_dirs}
+QUERIES = {"snapshot_diff": q_snapshot_diff, "reconcile_apply": q_reconcile_apply, "retention_by_size": q_retention, "lru_evict": q_lru_evict, "crowded_dirs": q_crowded_dirs, "rename_pairs": q_rename_pairs}
 ORACLE_SQL = {
     "snapshot_diff": f"WITH {_SNAP} SELECT * FROM diff",
     "reconcile_apply": f"WITH {_SNAP} SELECT new.file_id, new.path, new.size, CASE WHEN change IN ('modified', 'added') THEN 'Pending' ELSE 'Indexed' END AS status FROM new LEFT JOIN diff USING (file_id)",
@@ -75,4 +99,10 @@ ORACLE_SQL = {
     f AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY event_type ORDER BY last_used, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS freed_before FROM e)
     SELECT event_type, user_id, last_used, round(freed_before, 2) AS freed_before FROM f WHERE freed_before < 5000""",
     "crowded_dirs": "SELECT '/' || source || '/' || lang AS dir, count(*) AS files, count(*) FILTER (n_chars > 5000) AS too_large FROM documents GROUP BY 1 HAVING count(*) > 10",
+    "rename_pairs": """WITH h AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'signup' THEN 1 ELSE -1 END AS d FROM events WHERE event_type IN ('signup', 'purchase')),
+    a AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM h),
+    b AS (SELECT *, d < 0 AND s < least(0, coalesce(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS alone FROM a),
+    c AS (SELECT *, row_number() OVER (PARTITION BY user_id, d, alone ORDER BY ts, event_id) AS n FROM b)
+    SELECT t.user_id, f.event_id AS from_event, t.event_id AS to_event, 'Renamed' AS kind FROM c t JOIN c f ON f.user_id = t.user_id AND f.n = t.n AND f.d = 1 WHERE t.d = -1 AND NOT t.alone
+    UNION ALL SELECT user_id, NULL, event_id, 'Created' FROM c WHERE alone""",
 }

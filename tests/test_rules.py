@@ -149,3 +149,20 @@ def test_page_chunks(spark):
     rows = [(1, "a" * 10 + "\f" + "b" * 10), (2, "c" * 7000), (3, None)]
     got = [(r.doc_id, r.page) for r in chunks.page_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert got[:2] == [(1, 1), (1, 2)] and {p for d, p in got if d == 2} == {1, 2, 3} and not any(d == 3 for d, _ in got)
+
+
+@given(st.lists(st.sampled_from(["From", "To"]), max_size=12))
+@settings(max_examples=12, deadline=None)
+def test_renames_match_a_queue(spark, halves):
+    from siltstone.operators.files import pair_renames
+
+    waiting, want = [], set()
+    for i, h in enumerate(halves):
+        if h == "From":
+            waiting.append(i)
+        elif waiting:
+            want.add((waiting.pop(0), i, "Renamed"))
+        else:
+            want.add((None, i, "Created"))
+    df = spark.createDataFrame([(1, i, i, h) for i, h in enumerate(halves)], "user_id long, event_id long, ts long, half string")
+    assert {(r.from_event, r.to_event, r.kind) for r in pair_renames(df).collect()} == want
