@@ -34,19 +34,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     def clean(e: DataFrame) -> DataFrame:
         return e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    now, last = stored(clean(edges), "edges"), None
-    for _ in range(most_rounds):
+    def settled(e: DataFrame) -> bool:
+        """Whether every node has one edge to a root, and no root has one itself."""
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out + into > 1").isEmpty()
+
+    now, rounds = stored(clean(edges), "edges"), 0
+    while not settled(now):
+        if rounds == most_rounds:
+            raise RuntimeError("components did not settle")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        now = stored(clean(small), "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == last:
-            break
-        last = mark
-    else:
-        raise RuntimeError("components did not settle")
+        now, rounds = stored(clean(small), "edges"), rounds + 1
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
