@@ -80,9 +80,10 @@ def pair_renames(events: DataFrame) -> DataFrame:
 
 
 def q_rename_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Signups as the old and purchases as the new half of a rename, per user."""
+    """Signups as the old and purchases as the new half of a rename, per user; from_event is -1 for new files."""
     half = F.when(F.col("event_type") == "signup", "From").when(F.col("event_type") == "purchase", "To")
-    return pair_renames(load(spark, sf_dir, "events").select("user_id", "event_id", "ts", half.alias("half")).where("half IS NOT NULL"))
+    pairs = pair_renames(load(spark, sf_dir, "events").select("user_id", "event_id", "ts", half.alias("half")).where("half IS NOT NULL"))
+    return pairs.withColumn("from_event", F.coalesce("from_event", F.lit(-1)))
 
 
 _SNAP = """d AS (SELECT doc_id AS file_id, '/' || source || '/doc_' || doc_id AS path, n_chars AS size FROM documents), old AS (SELECT * FROM d WHERE file_id % 19 <> 0),
@@ -104,5 +105,5 @@ ORACLE_SQL = {
     b AS (SELECT *, d < 0 AND s < least(0, coalesce(min(s) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS alone FROM a),
     c AS (SELECT *, row_number() OVER (PARTITION BY user_id, d, alone ORDER BY ts, event_id) AS n FROM b)
     SELECT t.user_id, f.event_id AS from_event, t.event_id AS to_event, 'Renamed' AS kind FROM c t JOIN c f ON f.user_id = t.user_id AND f.n = t.n AND f.d = 1 WHERE t.d = -1 AND NOT t.alone
-    UNION ALL SELECT user_id, NULL, event_id, 'Created' FROM c WHERE alone""",
+    UNION ALL SELECT user_id, -1, event_id, 'Created' FROM c WHERE alone""",
 }
