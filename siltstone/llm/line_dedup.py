@@ -4,8 +4,10 @@ Units are lines, cut further after sentence ends, so that a passage inside a lin
 unit is normalised (words without regard to case, white space is one space) and hashed to 128 bits;
 each digest's earliest occurrence by (id, unit) stays, every later one is removed.  Only digests and
 positions are shuffled to find repeats, with partial minima before the shuffle; a common unit is one
-row there.  Units of fewer than ``min_words`` words are too short to count as copied passages; they
-go only where the units on both sides go.
+row there.  A unit of fewer than ``min_words`` words and ``MIN_CHARS`` characters is too short to
+count alone.  It is hashed with the units after it, and with those before it, up to one of these
+lengths: so a repeated line, paragraph or passage of either length goes whole, however short its
+lines and sentences are; shorter ones stay.  A short unit also goes where the units on both sides go.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from .kernel import Slab, _powers, mix, slabs
 from .storage import stored
 
 MIN_WORDS = 5
+MIN_CHARS = 20
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
 _U = np.uint64
@@ -65,6 +68,36 @@ def units(s: Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a, np.append(a[1:], n), doc[a]
 
 
+def sizes(s: Slab, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Code points of the words of each unit, without white space."""
+    solid = np.concatenate([[0], np.cumsum(((s.buf & 0xC0) != 0x80) & ~s.space)])
+    return solid[s.word_end[b - 1]] - solid[s.word_start[a]]
+
+
+def runs(chars: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last unit of every run to compare.
+
+    A unit that is long enough is a run.  From every other unit the shortest run inside its text that
+    is long enough goes onward, and one goes back; any repeated stretch of units that is long enough
+    is covered by such runs.
+    """
+    n = len(chars)
+    if not n:
+        return (np.zeros(0, np.int64),) * 2
+    totals = [(np.concatenate([[0], np.cumsum(x)]), least) for x, least in ((chars, MIN_CHARS), (words, min_words))]
+    at = np.arange(n)
+    long = (words >= min_words) | (chars >= MIN_CHARS)
+    alone, short = at[long], at[~long]
+    last = np.minimum(*[np.searchsorted(t, t[short] + least) for t, least in totals]) - 1
+    onward = (last < n) & (doc[np.minimum(last, n - 1)] == doc[short])
+    first = np.maximum(*[np.searchsorted(t, t[short + 1] - least, "right") for t, least in totals]) - 1
+    back = (first >= 0) & (doc[np.maximum(first, 0)] == doc[short])
+    a = np.concatenate([alone, short[onward], first[back]])
+    z = np.concatenate([alone, last[onward], short[back]])
+    pairs = np.unique(a * n + z)
+    return pairs // n, pairs % n
+
+
 def digests(s: Slab, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit hashes of the lower-cased words of each unit."""
     h = Slab(lowered(s.buf), s.off, s.first).word_hash
@@ -78,7 +111,7 @@ def digests(s: Slab, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
 
 
 def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, units): the numbers of the units to remove from each document; ``key`` hashes the text."""
+    """(id, key, units): first and last number of the runs of units to remove from each document; ``key`` hashes the text."""
     kind = dict(docs.dtypes)[id_col]
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
@@ -87,20 +120,20 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int =
             for s in slabs(batch.column("text")):
                 a, b, doc = units(s)
                 number = np.arange(len(a)) - np.searchsorted(doc, np.arange(s.n))[doc]
-                x, y = digests(s, a, b)
-                keep = np.flatnonzero(b - a >= min_words)
-                row = pa.array(doc[keep] + s.first)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("key").take(row), pa.array(number[keep].astype(np.int32)), pa.array(x[keep]), pa.array(y[keep])], ["id", "key", "unit", "a", "b"])
+                i, j = runs(sizes(s, a, b), b - a, doc, min_words)
+                x, y = digests(s, a[i], b[j])
+                row = pa.array(doc[i] + s.first)
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("key").take(row), pa.array(number[i].astype(np.int32)), pa.array(number[j].astype(np.int32)), pa.array(x), pa.array(y)], ["id", "key", "unit", "last", "a", "b"])
 
-    found = stored(base.mapInArrow(run, f"id {kind}, key long, unit int, a long, b long"), "units")
+    found = stored(base.mapInArrow(run, f"id {kind}, key long, unit int, last int, a long, b long"), "units")
     place = F.struct("id", "key", "unit")
-    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("a", "b", "first")
+    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").select("a", "b", "first")
     again = found.join(first, ["a", "b"]).where(place > F.col("first"))
-    return again.groupBy("id", "key").agg(F.sort_array(F.collect_set("unit")).alias("units"))
+    return again.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("unit", "last"))).alias("units"))
 
 
-def cut(text: str, gone: list[int], min_words: int) -> tuple[str, list[dict]]:
-    """The text without these units, and where they stood (code points of the old text).
+def cut(text: str, gone: list[dict], min_words: int) -> tuple[str, list[dict]]:
+    """The text without these runs of units, and where they stood (code points of the old text).
 
     Neighbours that stay keep the white space between them; where units between two went, a line feed
     stays if there was one, else a space.
@@ -108,8 +141,9 @@ def cut(text: str, gone: list[int], min_words: int) -> tuple[str, list[dict]]:
     (s,) = slabs(pa.array([text]), 1 << 62)
     a, b, _ = units(s)
     drop = np.zeros(len(a), bool)
-    drop[gone] = True
-    known = drop | (b - a >= min_words)
+    for r in gone:
+        drop[r["unit"] : r["last"] + 1] = True
+    known = drop | (b - a >= min_words) | (sizes(s, a, b) >= MIN_CHARS)
     place = np.where(known, np.arange(len(a)), -1)
     before = np.maximum.accumulate(place)
     after = np.minimum.accumulate(np.where(known, place, len(a))[::-1])[::-1]

@@ -133,6 +133,17 @@ def test_line_dedup_odd_rows(spark, odd, empty):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_takes_repeated_lines_whole(spark):
+    verse = "Roses are red\nViolets blue\nSo sweet\nare you"
+    spoken = "Yes. No. Maybe so. Well then. Go on."
+    solid = "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u5f88\u957f\u7684\u53e5\u5b50\u5b83\u4f1a\u5728\u4e24\u4e2a\u6587\u4ef6\u91cc\u51fa\u73b0"
+    for i, passage in enumerate((verse, spoken, solid, "So it goes. This sentence has more than five words. The end.")):
+        df = spark.createDataFrame([(1, f"alpha\n{passage}\nbeta"), (2, f"gamma\n{passage}\ndelta")], "doc_id long, text string")
+        got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(df).collect()}
+        assert got[1] == (f"alpha\n{passage}\nbeta", []), i
+        assert got[2][0] == "gamma\ndelta", i
+
+
 PRIVATE = "mail bo.42@mail8.example.com host 42.144.35.254, card 4111 1111 1111 1111 or 4111111111111111 no 4041894974608796 tel +1 (499) 555-6503%% token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\" on 2024-02-29 iban DE89 3704 0044 0532 0130 00 sk-abcdEFGH1234567890xy"
 
 
