@@ -46,10 +46,17 @@ def q_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 200 newest lines of each log (source), blanked; newest documents first, lines in order."""
-    lines = load(spark, sf_dir, "documents").where("n_chars < 3000").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    newest = Window.partitionBy("source").orderBy(F.desc("doc_id"), "line_no")
-    kept = lines.withColumn("r", F.row_number().over(newest)).where("r <= 200")
+    """The 200 newest lines of each log (source), blanked; newest documents first, lines in order.
+
+    Every document has a line, so the 200 newest of a source hold them; of these only the ones that
+    start within 200 lines are cut.
+    """
+    newest = Window.partitionBy("source").orderBy(F.desc("doc_id"))
+    docs = load(spark, sf_dir, "documents").where("text IS NOT NULL").select("source", "doc_id", F.split("text", "\n").alias("lines"))
+    docs = docs.withColumn("rank", F.rank().over(newest)).where("rank <= 200")
+    before = F.coalesce(F.sum(F.size("lines")).over(newest.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = docs.withColumn("before", before).where("before < 200").select("source", "doc_id", F.posexplode("lines").alias("line_no", "line"))
+    kept = lines.withColumn("r", F.row_number().over(newest.orderBy(F.desc("doc_id"), "line_no"))).where("r <= 200")
     return kept.select("source", F.col("r").cast("long").alias("position"), T.redact_log(F.col("line")).alias("line"))
 
 

@@ -166,3 +166,14 @@ def test_renames_match_a_queue(spark, halves):
             want.add((None, i, "Created"))
     df = spark.createDataFrame([(1, i, i, h) for i, h in enumerate(halves)], "user_id long, event_id long, ts long, half string")
     assert {(r.from_event, r.to_event, r.kind) for r in pair_renames(df).collect()} == want
+
+
+def test_log_export_takes_documents_of_every_length(spark, tmp_path):
+    from siltstone.operators.maintenance import q_log_export
+
+    long = "\n".join(f"long {i} " + "x" * 40 for i in range(150))
+    rows = [(1, "a\nb", "s", 3), (2, "\n".join(f"old {i}" for i in range(100)), "s", 700), (3, long, "s", len(long)), (4, "no count", "s", None), (5, None, "s", 0), (6, "other", "t", 5)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.source, r.position): r.line for r in q_log_export(spark, str(tmp_path)).collect()}
+    want = ["no count", *long.split("\n"), *(f"old {i}" for i in range(49))]
+    assert got == {("s", i + 1): x for i, x in enumerate(want)} | {("t", 1): "other"}
