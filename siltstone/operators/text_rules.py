@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,13 +102,43 @@ def q_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.select("item_id", F.explode(at).alias("start")).select("item_id", (F.col("start") - 1).cast("long").alias("start"))
 
 
+def occurrences(text: str, term: str) -> list[int]:
+    """Start of every occurrence, overlapping ones too, of a lower-case term, without regard to case."""
+    low = text.lower()
+    if len(low) != len(text):
+        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
+    out, at = [], low.find(term)
+    while at >= 0:
+        out.append(at)
+        at = low.find(term, at + 1)
+    return out
+
+
+def highlights(docs: DataFrame, term: str) -> DataFrame:
+    """(doc_id, start): every occurrence of the term in the whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                found = [occurrences(t, term) for t in b.column("text").to_pylist()]
+                row = pa.array([i for i, at in enumerate(found) for _ in at], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), pa.array([x for at in found for x in at], pa.int64())], ["doc_id", "start"])
+
+    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long")
+
+
+def q_document_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return highlights(load(spark, sf_dir, "documents"), "ion")
+
+
 def q_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines around the first line that holds the term (three on either side), at most 500 characters."""
+    """Lines around the first line that holds the term (three on either side), in full."""
     lines = F.split("text", "\n")
     d = load(spark, sf_dir, "documents").where(F.col("text").contains("thtion")).withColumn("lines", lines)
     d = d.withColumn("at", F.expr("cast(array_position(transform(lines, x -> contains(x, 'thtion')), true) as int)"))
     part = F.slice("lines", F.greatest(F.col("at") - 3, F.lit(1)), F.col("at") + 3 - F.greatest(F.col("at") - 3, F.lit(1)) + 1)
-    return d.select("doc_id", F.col("at").cast("long").alias("line"), F.substring(F.array_join(part, "\n"), 1, 500).alias("snippet"))
+    return d.select("doc_id", F.col("at").cast("long").alias("line"), F.array_join(part, "\n").alias("snippet"))
 
 
 def q_human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +183,7 @@ _ANON = "regexp_replace(regexp_replace(regexp_replace(text, '" + T.UNIX_PATH.rep
 
 QUERIES = {
     "classify_query": q_classify_query, "intent": q_intent, "keywords": q_keywords, "lang_detect": q_lang_detect, "doc_counts": q_doc_counts, "file_type": q_file_type, "glob_filter": q_glob_filter,
-    "anonymise": q_anonymise, "redact_log": q_redact_log, "contains_sensitive": q_contains_sensitive, "sensitive_tags": q_sensitive_tags, "auto_tag": q_auto_tag, "highlights": q_highlights, "snippet": q_snippet, "human_size": q_human_size, "token_windows": q_token_windows,
+    "anonymise": q_anonymise, "redact_log": q_redact_log, "contains_sensitive": q_contains_sensitive, "sensitive_tags": q_sensitive_tags, "auto_tag": q_auto_tag, "highlights": q_highlights, "document_highlights": q_document_highlights, "snippet": q_snippet, "human_size": q_human_size, "token_windows": q_token_windows,
 }
 ORACLE_SQL = {
     "classify_query": rf"""WITH k AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '0x[0-9a-fA-F]+|[0-9]{{4,}}|[A-Z_]{{3,}}|[\p{{L}}\p{{N}}_]+\.[\p{{L}}\p{{N}}_]{{2,4}}') OR contains(text, '"') OR contains(text, '/') OR contains(text, '\') THEN 'ExactKeyword'

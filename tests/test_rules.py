@@ -177,3 +177,17 @@ def test_log_export_takes_documents_of_every_length(spark, tmp_path):
     got = {(r.source, r.position): r.line for r in q_log_export(spark, str(tmp_path)).collect()}
     want = ["no count", *long.split("\n"), *(f"old {i}" for i in range(49))]
     assert got == {("s", i + 1): x for i, x in enumerate(want)} | {("t", 1): "other"}
+
+
+def test_snippets_and_highlights_cover_whole_documents(spark, tmp_path):
+    import re
+
+    from siltstone.operators.text_rules import q_document_highlights, q_snippet
+
+    lines = [f"{i} " + "y" * 300 for i in range(9)]
+    lines[5] += " the thtION and thtion"
+    rows = [(1, "\n".join(lines)), (2, "İ Ion-IONion"), (3, None), (4, "none")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.line, r.snippet) for r in q_snippet(spark, str(tmp_path)).collect()] == [(1, 6, "\n".join(lines[2:9]))]
+    want = {(i, m.start()) for i, t in rows if t for m in re.finditer("[iI][oO][nN]", t)}
+    assert {(r.doc_id, r.start) for r in q_document_highlights(spark, str(tmp_path)).collect()} == want and len(want) == 5
