@@ -6,7 +6,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.sources.tables import load
@@ -137,18 +138,29 @@ def q_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def debounce(events: DataFrame, seconds: float) -> DataFrame:
     """Event ids that stay: one less than ``seconds`` after the last kept event of its user and type goes.
 
-    What stays depends on what was kept, so each (user, type) is folded in order; the fold keeps one timestamp.
+    What stays depends on what was kept, so events are folded in order.  An event ``seconds`` or more after
+    the event before it stays for certain, so each (user, type) is cut there and the pieces are folded
+    apart, row by row; a task keeps one timestamp.  Events without a time go.
     """
-
-    def fold(g: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        for i, t in sorted(zip(g["event_id"], g["ts"]), key=lambda x: (x[1], x[0])):
-            if last is None or (t - last).total_seconds() >= seconds:
-                kept.append(i)
-                last = t
-        return pd.DataFrame({"event_id": kept})
-
-    return events.select("user_id", "event_type", "event_id", "ts").groupBy("user_id", "event_type").applyInPandas(fold, "event_id long")
+    limit = round(seconds * 1_000_000)
+    key = ["user_id", "event_type"]
+    order = Window.partitionBy(*key).orderBy("us", "event_id")
+    rows = events.where("ts IS NOT NULL").select(*key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    rows = rows.withColumn("before", F.lag("us").over(order)).withColumn("cut", F.col("before").isNull() | (F.col("us") - F.col("before") >= limit))
+    rows = rows.withColumn("piece", F.sum(F.col("cut").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.repartition(*key, "piece").sortWithinPartitions(*key, "piece", "us", "event_id").select("event_id", "us", "cut")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for b in batches:
+            kept = []
+            for i, (t, cut) in enumerate(zip(b.column("us").to_pylist(), b.column("cut").to_pylist())):
+                if cut or t - last >= limit:
+                    kept.append(i)
+                    last = t
+            yield pa.RecordBatch.from_arrays([b.column("event_id").take(pa.array(kept, pa.int64()))], ["event_id"])
+
+    return rows.mapInArrow(fold, f"event_id {dict(events.dtypes)['event_id']}")
 
 
 def q_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:

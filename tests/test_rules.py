@@ -191,3 +191,21 @@ def test_snippets_and_highlights_cover_whole_documents(spark, tmp_path):
     assert [(r.doc_id, r.line, r.snippet) for r in q_snippet(spark, str(tmp_path)).collect()] == [(1, 6, "\n".join(lines[2:9]))]
     want = {(i, m.start()) for i, t in rows if t for m in re.finditer("[iI][oO][nN]", t)}
     assert {(r.doc_id, r.start) for r in q_document_highlights(spark, str(tmp_path)).collect()} == want and len(want) == 5
+
+
+def test_debounce_folds_one_large_key_in_pieces(spark):
+    import random
+
+    rnd, t, rows, want, last = random.Random(5), 0, [], set(), {}
+    for i in range(3000):
+        t += rnd.choice([0, 1, 3, 9, 12])
+        rows.append((rnd.choice([None, 7]) if i % 50 == 0 else 7, "view", i, t))
+    for u, _, i, s in rows:
+        if u not in last or s - last[u] >= 10:
+            want.add(i)
+            last[u] = s
+    df = spark.createDataFrame(rows, "user_id long, event_type string, event_id long, s long").selectExpr("user_id", "event_type", "event_id", "timestamp_seconds(s) AS ts")
+    out = chunks.debounce(df.orderBy(F.rand(1)), 10)
+    assert sorted(r.event_id for r in out.collect()) == sorted(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "piece" in plan
