@@ -8,12 +8,14 @@ statistics come from numpy passes over a slab's UTF-8 bytes; there is no Python
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
-SLAB = 1 << 20
+from .worker import light
+
+SLAB = 1 << 18
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -22,21 +24,37 @@ _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
 
 
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd multiplier and of its inverse modulo 2**64."""
-    inv = pow(_M, -1, 1 << 64)
-    out = []
-    for base in (_M, inv):
-        p = np.ones(n, np.uint64)
-        done, step = 1, base
-        while done < n:
-            m = min(done, n - done)
-            p[done : done + m] = p[:m] * _U(step)
-            done += m
-            step = step * step & _MASK
-        out.append(p)
-    return out[0], out[1]
+_STEP = 14
+
+
+def _table(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1) modulo 2**64."""
+    p = np.ones(n, np.uint64)
+    done, step = 1, base
+    while done < n:
+        m = min(done, n - done)
+        p[done : done + m] = p[:m] * _U(step)
+        done += m
+        step = step * step & _MASK
+    return p
+
+
+def _tables(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers by the low and the high bits of the exponent, so that no table grows with a text."""
+    return _table(base, 1 << _STEP), _table(pow(base, 1 << _STEP, 1 << 64), 1 << (31 - _STEP))
+
+
+_UP, _DOWN = _tables(_M), _tables(pow(_M, -1, 1 << 64))
+
+
+def powers(n: int) -> np.ndarray:
+    """The odd multiplier to the powers 0 to n - 1, modulo 2**64."""
+    return (_UP[1][: (n >> _STEP) + 1, None] * _UP[0][None, :]).ravel()[:n]
+
+
+def inverses(at: np.ndarray) -> np.ndarray:
+    """The inverses of its powers ``at``."""
+    return _DOWN[0][at & ((1 << _STEP) - 1)] * _DOWN[1][at >> _STEP]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,16 +110,15 @@ class Slab:
         return np.bincount(self.word_doc, minlength=self.n)
 
     @cached_property
-    def _prefix(self) -> tuple[np.ndarray, np.ndarray]:
-        up, down = _powers(1 << max(SLAB.bit_length(), int(len(self.buf) + 1).bit_length()))
+    def _prefix(self) -> np.ndarray:
         p = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * up[: len(self.buf)], out=p[1:])
-        return p, down
+        np.cumsum(_BYTE[self.buf] * powers(len(self.buf)), out=p[1:])
+        return p
 
     def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
-        p, down = self._prefix
-        return mix((p[end] - p[start]) * down[start] + (end - start).astype(np.uint64))
+        p = self._prefix
+        return mix((p[end] - p[start]) * inverses(start) + (end - start).astype(np.uint64))
 
     @cached_property
     def word_hash(self) -> np.ndarray:
@@ -159,6 +176,7 @@ class Slab:
 
 def slabs(column: pa.Array, size: int = SLAB) -> Iterator[Slab]:
     """Cut a string column into slabs; a null is an empty text."""
+    light()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")

@@ -162,7 +162,7 @@ def _day(value: str, key: bytes, back: bool) -> str | None:
     return None
 
 
-@lru_cache(100_000)
+@lru_cache(20_000)
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
     """The value's pseudonym, or with ``back`` the value of a pseudonym; None if it is no valid value."""
     if kind == "email":

@@ -2,22 +2,25 @@
 
 The tokenizer's pattern never joins characters across a single space between two non-space
 characters, so a text falls into chunks there and a chunk's ids do not depend on its neighbours.
-Each Python worker keeps the ids of chunks it has met (at most ``KEEP`` chunks) and sends the
-library only new ones; the ids of a text are those of its chunks side by side.
+Each Python worker keeps the ids of chunks it has met lately (two generations of at most ``KEEP``
+chunks) and sends the library only new ones; the ids of a text are those of its chunks side by side.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 
-KEEP = 1_000_000
+from .worker import kept
+
+#: Chunks of one generation: about 50 MB.
+KEEP = 300_000
 #: White space other than space and line feed, as Unicode and Python have it.
 _OTHER = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _PLAIN = re.compile(r" ?\S+\Z")
+_ALL_PLAIN = re.compile(r"(?: ?\S++\n)*+ ?\S++\Z")
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 
@@ -30,26 +33,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.n_ids = max(self.tokenizer.get_vocab().values()) + 1
+        self.dtype = np.dtype("<u2" if self.n_ids <= 1 << 16 else "<u4")
         self.keep = keep
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _learn(self, new: list[str]) -> None:
         """Chunks without inner white space go in as lines of one text, whose line feeds are tokens of their own."""
-        alone = [c for c in new if not _PLAIN.match(c) or any(a in c for a in self.added)]
-        if alone:
-            apart = set(alone)
-            new = [c for c in new if c not in apart]
-        for chunk, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.seen[chunk] = np.array(e.ids, self.dtype).tobytes()
-        lines = [new[i : i + 200] for i in range(0, len(new), 200)]
+        joined = "\n".join(new)
+        if not _ALL_PLAIN.match(joined) or joined.count("\n") != len(new) - 1 or any(a in joined for a in self.added):
+            alone = {c for c in new if not _PLAIN.match(c) or any(a in c for a in self.added)}
+            new = [c for c in new if c not in alone]
+            for chunk, e in zip(alone, self.tokenizer.encode_batch_fast(list(alone), add_special_tokens=False)):
+                self.seen[chunk] = np.array(e.ids, self.dtype).tobytes()
         size = self.dtype.itemsize
-        for part, e in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(p) for p in lines], add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            data, cut = ids.tobytes(), (np.flatnonzero(ids == self.feed) * size).tolist()
-            self.seen.update(zip(part, [data[i:j] for i, j in zip([0, *(c + size for c in cut)], [*cut, len(data)])]))
+        for i in range(0, len(new), 4000):
+            lines = [new[k : k + 200] for k in range(i, min(i + 4000, len(new)), 200)]
+            for part, e in zip(lines, self.tokenizer.encode_batch_fast(["\n".join(p) for p in lines], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                data, cut = ids.tobytes(), (np.flatnonzero(ids == self.feed) * size).tolist()
+                self.seen.update(zip(part, [data[i:j] for i, j in zip([0, *(c + size for c in cut)], [*cut, len(data)])]))
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -64,16 +70,17 @@ class Encoder:
         """The ids of each text; encode in modest batches, as all chunks of the batch are held."""
         cut = [self.chunks(t) if t else [] for t in texts]
         if len(self.seen) > self.keep:
-            self.seen.clear()
-        seen = self.seen
-        new = [c for c in set().union(*cut) if c not in seen]
+            self.older, self.seen = self.seen, {}
+        new = set().union(*cut).difference(self.seen)
+        again = new.intersection(self.older)
+        self.seen.update((c, self.older[c]) for c in again)
+        new -= again
         if new:
-            self._learn(new)
-        get = seen.__getitem__
+            self._learn(list(new))
+        get = self.seen.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    """The Python worker's own encoder: its chunks serve all tasks that the worker runs."""
-    return Encoder(path)
+    """The Python worker's own encoder: its chunks serve all tasks of tokenising that the worker runs."""
+    return kept(("encoder", path), lambda: Encoder(path))
