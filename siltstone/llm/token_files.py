@@ -1,12 +1,14 @@
 """Operator 2: token ids as canonical length-limited Huffman code.
 
-``write_token_files`` leaves a folder with three Parquet tables: ``codebook`` (id, length),
-``blocks`` and ``tokens`` (the plain ids, a by-product that ``write_token_files`` reads itself).  A
-block holds whole documents in ascending id order: ``doc_ids``, ``counts``, ``first`` (position of
-its first id in the stream of all ids), ``bits`` (code words, most significant bit first, padded to
-32-bit words) and ``checkpoints`` (for every ``STRIDE`` ids, the bits they take, as unsigned 16-bit
-integers; their running sum gives the bit offset where each stride starts).  Blocks decode without
-each other, and the strides of a block side by side from one lookup table.
+``write_token_files`` leaves a folder with three Parquet tables: ``codebook`` (token, length),
+``parts`` (part, base: the ids in all parts before it) and ``blocks``.  A block holds whole documents
+in ascending id order: ``doc_ids``, ``counts``, ``part`` and ``first`` (ids of its part before it; with
+the part's base the position in the stream of all ids), ``bits`` (code words, most significant bit
+first, padded to 32-bit words) and ``checkpoints`` (for every ``STRIDE`` ids, the bits they take, as
+unsigned 16-bit integers; their running sum gives the bit offset where each stride starts).  Blocks
+decode without each other, and the strides of a block side by side from one lookup table.
+
+Texts are tokenised where they are read; what is sorted by document id are the ids, in byte planes.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import scratch
-from .tokens import encoder
+from .storage import modest_batches, scratch, stored
+from .tokens import Encoder, encoder
 
 LIMIT = 18
 STRIDE = 128
@@ -112,58 +114,56 @@ def unpack(bits: bytes, checkpoints: bytes, n: int, tables: tuple[np.ndarray, np
     return out.T.ravel()[:n]
 
 
-def tokenize_sorted(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, batch: int = 256) -> DataFrame:
-    """Rows (part, id, before, n, lo, hi) in ascending id order within and across parts.
+def planes_of(enc: Encoder) -> list[str]:
+    """Names of the byte planes of an id, low byte first: two up to 65,536 ids, else three."""
+    return ["lo", "hi"] if enc.dtype.itemsize == 2 else ["lo", "hi", "top"]
 
-    The text is range-partitioned by id (ties: by a hash of the text) and each part tokenised in
-    order; ``before`` counts the ids that precede a document in its part, ``lo`` and ``hi`` are the
-    low and high bytes of its ids.
-    """
+
+def split_planes(ids: list[np.ndarray], n: int) -> list[pa.Array]:
+    return [pa.array([(x >> 8 * k & 255).astype(np.uint8).tobytes() for x in ids], pa.binary()) for k in range(n)]
+
+
+def join_planes(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """All ids of a batch, end to end."""
+    out = None
+    for k, name in enumerate(names):
+        c = b.column(name)
+        off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+        plane = np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]].astype(np.uint16 if len(names) == 2 else np.uint32)
+        out = plane if out is None else out | plane << 8 * k
+    return out
+
+
+def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, batch: int = 256) -> DataFrame:
+    """(id, tie, n, planes of the ids): one row a document, made where its text is read; ``tie`` hashes the text."""
     kind = dict(docs.dtypes)[id_col]
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keys = ["id", F.xxhash64("text")]
-    parts = base.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.spark_partition_id().alias("part"), "id", "text")
+    names = planes_of(encoder(path))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("tie"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, before = encoder(path), 0
+        enc = encoder(path)
         for b in batches:
             for i in range(0, b.num_rows, batch):
                 some = b.slice(i, batch)
                 ids = [np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)) for x in enc.encode(some.column("text").to_pylist())]
-                n = np.array([len(x) for x in ids], np.int64)
-                start = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [some.column("part"), some.column("id"), pa.array(start), pa.array(n), pa.array([(x & 255).astype(np.uint8).tobytes() for x in ids], pa.binary()), pa.array([(x >> 8).astype(np.uint8).tobytes() for x in ids], pa.binary())],
-                    ["part", "id", "before", "n", "lo", "hi"],
-                )
-
-    return parts.mapInArrow(run, f"part int, id {kind}, before long, n long, lo binary, hi binary")
-
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("tie"), pa.array([len(x) for x in ids], pa.int64()), *split_planes(ids, len(names))], ["id", "tie", "n", *names])
 
-def _joined(b: pa.RecordBatch) -> np.ndarray:
-    """All ids of a batch, end to end."""
-    planes = []
-    for name in ("lo", "hi"):
-        c = b.column(name)
-        off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
-        planes.append(np.frombuffer(c.buffers()[2], np.uint8)[off[0] : off[-1]])
-    return planes[0] | (planes[1].astype(np.uint16) << 8)
+    return base.mapInArrow(run, f"id {kind}, tie long, n long, " + ", ".join(f"{p} binary" for p in names))
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs; one row an id and task is shuffled, at most 65,536 rows reach the driver."""
+def count_ids(tokens: DataFrame, names: list[str], n_ids: int) -> np.ndarray:
+    """How often each id occurs; one row an id and task is shuffled, at most ``n_ids`` rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(n_ids, np.int64)
         for b in batches:
             if b.num_rows:
-                total += np.bincount(_joined(b), minlength=1 << 16)
+                total += np.bincount(join_planes(b, names), minlength=n_ids)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["token", "n"])
 
-    got = tokens.select("lo", "hi").mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(1 << 16, np.int64)
+    got = tokens.select(*names).mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(n_ids, np.int64)
     counts[got["token"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
     return counts
 
@@ -172,46 +172,48 @@ def write_token_files(docs: DataFrame, tokenizer: str, to: str, id_col: str = "d
     """Encode all texts and write the folder ``to``.
 
     A null or empty text is one end id.  Null ids come first, as one more value; repeated rows are
-    each written.  An empty table gives empty tables.  Other columns are not read.
+    each written; rows of one id are in order of a hash of their texts.  An empty table gives empty
+    tables.  Other columns are not read.
     """
     spark = docs.sparkSession
-    tokenize_sorted(docs, tokenizer, id_col, text_col, end_id).write.option("compression", "zstd").parquet(f"{to}/tokens")
-    spark.sparkContext._jvm.System.gc()  # the sorted texts' shuffle files are not needed again; this lets Spark's cleaner delete them
-    tokens = spark.read.parquet(f"{to}/tokens")
+    enc = encoder(tokenizer)
+    names, n_ids = planes_of(enc), max(enc.n_ids, end_id + 1)
+    tokens = stored(tokenise(docs, tokenizer, id_col, text_col, end_id), "tokens")
     kind = dict(tokens.dtypes)["id"]
-    lengths = code_lengths(count_ids(tokens), limit)
-    codes = canonical(lengths)
+    lengths = code_lengths(count_ids(tokens, names, n_ids), limit)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "token int, length int").coalesce(1).write.parquet(f"{to}/codebook")
-    sizes = tokens.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # a row for each part
-    base, at = {}, 0
-    for r in sizes:
-        base[r["part"]], at = at, at + r["n"]
-    book = spark.sparkContext.broadcast((lengths, codes, base))
+    book = spark.sparkContext.broadcast((lengths, canonical(lengths)))  # n_ids entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, codes, base = book.value
+        (lengths, codes), before = book.value, 0
         for b in batches:
             if not b.num_rows:
                 continue
-            n, part = b.column("n").to_numpy(), b.column("part").to_numpy()
-            end, turns = np.cumsum(n), np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
-            ids = _joined(b)
-            i = 0
+            n, part = b.column("n").to_numpy(), b.column("part")[0].as_py()
+            end, ids, i = np.cumsum(n), join_planes(b, names), 0
             while i < len(n):
-                j = min(int(turns[np.searchsorted(turns, i, "right")]), max(i + 1, int(np.searchsorted(end, end[i] - n[i] + BLOCK, "right"))))
+                j = max(i + 1, int(np.searchsorted(end, end[i] - n[i] + BLOCK, "right")))
                 bits, checks = pack(ids[end[i] - n[i] : end[j - 1]], codes, lengths)
-                first = base[int(part[i])] + b.column("before")[i].as_py()
                 one = lambda v, t: pa.array([v], t)
-                yield pa.RecordBatch.from_arrays([one(first, pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column("id").slice(i, j - i)), one(n[i:j].tolist(), pa.list_(pa.int64())), one(bits, pa.binary()), one(checks, pa.binary())], ["first", "doc_ids", "counts", "bits", "checkpoints"])
+                first = before + int(end[i] - n[i])
+                yield pa.RecordBatch.from_arrays([one(part, pa.int32()), one(first, pa.int64()), pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), b.column("id").slice(i, j - i)), one(n[i:j].tolist(), pa.list_(pa.int64())), one(bits, pa.binary()), one(checks, pa.binary())], ["part", "first", "doc_ids", "counts", "bits", "checkpoints"])
                 i = j
+            before += int(end[-1])
 
-    tokens.mapInArrow(run, f"first long, doc_ids array<{kind}>, counts array<long>, bits binary, checkpoints binary").write.option("compression", "none").parquet(f"{to}/blocks")
+    parts = tokens.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select(F.spark_partition_id().alias("part"), "id", "n", *names)
+    parts.mapInArrow(run, f"part int, first long, doc_ids array<{kind}>, counts array<long>, bits binary, checkpoints binary").write.option("compression", "none").parquet(f"{to}/blocks")
+    size = F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+    of_part = spark.read.parquet(f"{to}/blocks").groupBy("part").agg(F.sum(size).alias("n")).coalesce(1)  # a row a part
+    base = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_part.select("part", base.alias("base")).write.parquet(f"{to}/parts")
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document from the blocks: id, start, n_tokens, ids_crc32, and the ids if asked for."""
-    blocks, book = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/codebook").collect()  # at most 65,536 rows
-    lengths = np.zeros(1 << 16, np.uint8)
+    modest_batches(spark)
+    book = spark.read.parquet(f"{path}/codebook").collect()  # a row an id of the vocabulary
+    blocks = spark.read.parquet(f"{path}/blocks").join(F.broadcast(spark.read.parquet(f"{path}/parts")), "part")  # a row a part of the sort
+    lengths = np.zeros(max((r["token"] for r in book), default=0) + 1, np.uint8)
     for r in book:
         lengths[r["token"]] = r["length"]
     shared = spark.sparkContext.broadcast(lengths)
@@ -231,7 +233,8 @@ def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id", wit
                     cols, names = [*cols, pa.array([x.tolist() for x in each], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    out = blocks.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    placed = blocks.select((F.col("first") + F.col("base")).alias("first"), "doc_ids", "counts", "bits", "checkpoints")
+    out = placed.mapInArrow(run, f"id {kind}, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)
 
 
