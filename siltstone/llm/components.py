@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .skew import join_counted
 from .storage import stored
 
 
@@ -39,15 +40,19 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         ends = e.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into")))
         return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out + into > 1").isEmpty()
 
+    def least(rows: DataFrame) -> DataFrame:
+        """(u, m, n): the least v of each u, and how many rows it has."""
+        return stored(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+
     now, rounds = stored(clean(edges), "edges"), 0
     while not settled(now):
         if rounds == most_rounds:
             raise RuntimeError("components did not settle")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = least(both).withColumn("m", F.least("u", "m"))
+        large = stored(join_counted(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low = least(large)
+        small = join_counted(large, low, ["u"], "n").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now, rounds = stored(clean(small), "edges"), rounds + 1
     roots = now.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

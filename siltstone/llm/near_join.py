@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .components import components, least_labels
 from .kernel import Slab, mix, slabs
-from .storage import stored
+from .skew import join_counted
+from .storage import modest_batches, stored
 
 WORDS, THRESHOLD, RUNS = 5, 0.8, 10
 COORDS, SMALL, DEPTH = 128, 100, 6
@@ -153,8 +154,8 @@ def candidates(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
     rows, found = reps.withColumn("node", F.lit(None).cast("long")), []
     for depth in range(DEPTH):
         children = stored(split(rows, runs, threshold), "nodes")
-        sizes = children.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-        shared = stored(children.join(sizes, "node"), "shared")
+        sizes = stored(children.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "sizes")
+        shared = stored(join_counted(children, sizes, ["node"], "n"), "shared")
         found.append(compare_small(shared.where(F.col("n") <= SMALL).select("id", "node").join(sketch, "id"), threshold))
         large = shared.where(F.col("n") > SMALL)
         if large.isEmpty():
@@ -240,6 +241,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     its own class; a row with a null id is not compared (null class, no links, kept).  Repeated rows
     are copies of each other: each gets a result, and their id is one node.
     """
+    modest_batches(docs.sparkSession)
     marks = stored(signatures(docs, id_col, text_col, words), "signatures")
     classes = marks.groupBy("a", "b").agg(F.min(F.struct("id", "key")).alias("rep"), F.count("*").alias("mult"))
     classes = stored(classes.select("a", "b", F.col("rep.id").alias("id"), F.col("rep.key").alias("key"), "mult"), "classes")
