@@ -1,13 +1,17 @@
-"""Operator 6: substring dedup by hashing lines and their sentences.
+"""Operator 6: substring dedup by hashing lines and the sentences in them.
 
 Units are lines, cut further after sentence ends, so that a passage inside a line is found too.  A
 unit is normalised (words without regard to case, white space is one space) and hashed to 128 bits;
-each digest's earliest occurrence by (id, unit) stays, every later one is removed.  Only digests and
-positions are shuffled to find repeats, with partial minima before the shuffle; a common unit is one
-row there.  A unit of fewer than ``min_words`` words and ``MIN_CHARS`` characters is too short to
-count alone.  It is hashed with the units after it, and with those before it, up to one of these
-lengths: so a repeated line, paragraph or passage of either length goes whole, however short its
-lines and sentences are; shorter ones stay.  A short unit also goes where the units on both sides go.
+of each digest the earliest occurrence by (id, unit) stays and every later one is marked.  A unit of
+fewer than ``min_words`` words and ``MIN_CHARS`` characters is too short to count alone: it is hashed
+with the units after it, and with those before it, up to one of these lengths, and marked with them.
+What goes are unbroken stretches of marked units, lines and sentences alike, of at least ``min_run`` words or ``min_run`` * ``RUN_CHARS`` characters: a repeated line,
+paragraph or passage of that length goes whole, however short its sentences are, while a short line
+or sentence that texts merely have in common stays where it is.
+
+Only digests are shuffled to count repeats, after partial counts, so that a common unit is one row
+there.  Positions of repeated units are looked up in that table, and a unit which is one of the
+``1000`` most common at most is joined by broadcast, not by its key.
 """
 
 from __future__ import annotations
@@ -20,11 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .kernel import Slab, _powers, mix, slabs
-from .storage import stored
+from .kernel import Slab, inverses, mix, powers, slabs
+from .skew import join_counted
+from .storage import modest_batches, stored
 
 MIN_WORDS = 5
 MIN_CHARS = 20
+MIN_RUN = 30
+#: Characters that count as much as a word of a stretch, for texts without spaces.
+RUN_CHARS = 5
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
 
 _U = np.uint64
@@ -101,12 +109,12 @@ def runs(chars: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int)
 def digests(s: Slab, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit hashes of the lower-cased words of each unit."""
     h = Slab(lowered(s.buf), s.off, s.first).word_hash
-    up, down = _powers(1 << max(20, int(len(h) + 1).bit_length()))
+    up, down = powers(len(h)), inverses(a)
     out = []
     for salt in (0, 77):
         p = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(mix(h ^ _U(salt)) * up[: len(h)], out=p[1:])
-        out.append(mix((p[b] - p[a]) * down[a] + (b - a).astype(np.uint64)).view(np.int64))
+        np.cumsum(mix(h ^ _U(salt)) * up, out=p[1:])
+        out.append(mix((p[b] - p[a]) * down + (b - a).astype(np.uint64)).view(np.int64))
     return out
 
 
@@ -126,13 +134,24 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int =
                 yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("key").take(row), pa.array(number[i].astype(np.int32)), pa.array(number[j].astype(np.int32)), pa.array(x), pa.array(y)], ["id", "key", "unit", "last", "a", "b"])
 
     found = stored(base.mapInArrow(run, f"id {kind}, key long, unit int, last int, a long, b long"), "units")
+    common = stored(found.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated")
+    again = join_counted(found, common, ["a", "b"], "copies")
     place = F.struct("id", "key", "unit")
-    first = found.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("final")).where("first < final").select("a", "b", "first")
-    again = found.join(first, ["a", "b"]).where(place > F.col("first"))
-    return again.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("unit", "last"))).alias("units"))
+    first = again.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    later = join_counted(again.drop("copies"), first, ["a", "b"], "copies").where(place > F.col("first"))
+    return later.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("unit", "last"))).alias("units"))
 
 
-def cut(text: str, gone: list[dict], min_words: int) -> tuple[str, list[dict]]:
+def stretches(drop: np.ndarray, words: np.ndarray, chars: np.ndarray, min_run: int) -> np.ndarray:
+    """``drop`` without the unbroken stretches that are too short to go."""
+    edge = np.diff(np.concatenate([[0], drop.astype(np.int8), [0]]))
+    out = drop.copy()
+    for i, j in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)):
+        out[i:j] = words[i:j].sum() >= min_run or chars[i:j].sum() >= min_run * RUN_CHARS
+    return out
+
+
+def cut(text: str, gone: list[dict], min_run: int) -> tuple[str, list[dict]]:
     """The text without these runs of units, and where they stood (code points of the old text).
 
     Neighbours that stay keep the white space between them; where units between two went, a line feed
@@ -140,14 +159,12 @@ def cut(text: str, gone: list[dict], min_words: int) -> tuple[str, list[dict]]:
     """
     (s,) = slabs(pa.array([text]), 1 << 62)
     a, b, _ = units(s)
-    drop = np.zeros(len(a), bool)
+    drop, size = np.zeros(len(a), bool), sizes(s, a, b)
     for r in gone:
         drop[r["unit"] : r["last"] + 1] = True
-    known = drop | (b - a >= min_words) | (sizes(s, a, b) >= MIN_CHARS)
-    place = np.where(known, np.arange(len(a)), -1)
-    before = np.maximum.accumulate(place)
-    after = np.minimum.accumulate(np.where(known, place, len(a))[::-1])[::-1]
-    drop |= ~known & (before >= 0) & drop[np.maximum(before, 0)] & (after < len(a)) & drop[np.minimum(after, len(a) - 1)]
+    drop = stretches(drop, b - a, size, min_run)
+    if not drop.any():
+        return text, []
     chars = np.concatenate([[0], np.cumsum((s.buf & 0xC0) != 0x80)])
     begin, end = chars[s.word_start[a]].tolist(), chars[s.word_end[b - 1]].tolist()
     kept = np.flatnonzero(~drop).tolist()
@@ -164,40 +181,44 @@ def cut(text: str, gone: list[dict], min_words: int) -> tuple[str, list[dict]]:
     return "".join(out), [{"start": begin[i], "end": end[i]} for i in np.flatnonzero(drop).tolist()]
 
 
-def remove_units(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without those units, plus ``removed``: their (start, end)."""
-    names, at = docs.columns, docs.columns.index(text_col)
-    found = found.select(F.col("id").alias("_id"), F.col("key").alias("_found_key"), F.col("units").alias("_units"))
-    marked = docs.withColumn("_key", F.xxhash64(text_col)).join(found, (F.col(id_col) == F.col("_id")) & (F.col("_key") == F.col("_found_key")), "left").select(*[F.col(f"`{n}`") for n in names], "_units")
+def remove_units(docs: DataFrame, found: DataFrame, id_col: str, text_col: str, min_run: int = MIN_RUN) -> DataFrame:
+    """``docs`` without those units, plus ``removed``: their (start, end).
+
+    Columns of ``docs`` travel as one struct, so none of their names can meet those used here.
+    """
+    schema, names, at = docs.schema, docs.columns, docs.columns.index(text_col)
+    whole = docs.select(F.struct(*[F.col(f"`{n}`") for n in names]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("key"))
+    marked = whole.join(found, ["id", "key"], "left").select(*[F.col("row")[n].alias(n) for n in names], F.col("units").alias("units of this row"))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 256):
-                b = whole.slice(first, 256)
-                cols, lists = list(b.columns[: len(names)]), b.column(len(names)).to_pylist()
-                spans: list[list[dict]] = [[] for _ in lists]
-                if any(lists):
-                    texts = cols[at].to_pylist()
-                    for i, gone in enumerate(lists):
-                        if gone:
-                            texts[i], spans[i] = cut(texts[i], gone, min_words)
-                    cols[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], [*names, "removed"])
-
-    return marked.mapInArrow(run, StructType([*docs.schema.fields, StructField("removed", SPANS)]))
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+        for b in batches:
+            cols, lists = list(b.columns[: len(names)]), b.column(len(names)).to_pylist()
+            spans: list[list[dict]] = [[] for _ in lists]
+            if any(lists):
+                texts = cols[at].to_pylist()
+                for i, gone in enumerate(lists):
+                    if gone:
+                        texts[i], spans[i] = cut(texts[i], gone, min_run)
+                cols[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], [*names, "removed"])
+
+    return marked.mapInArrow(run, StructType([*schema.fields, StructField("removed", SPANS)]))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
     """Every row of ``docs`` with repeats cut from its text, and the column ``removed``.
 
     Ranks are (id, unit number), so ids should be unique; rows with one id are ranked by a hash of
     their texts, and rows equal in id and text are one document and get the same result.  A row with a
     null id or text is neither compared nor changed; empty texts stay; a document may lose all its
-    units and then has an empty text.  Other columns pass through (an old ``removed`` is replaced).
+    units and then has an empty text; an empty table gives an empty one.  Other columns pass through,
+    whatever their names (an old ``removed`` is replaced).
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop("removed")
-    return remove_units(docs, repeated_units(docs, id_col, text_col, min_words), id_col, text_col, min_words)
+    found = stored(repeated_units(docs, id_col, text_col, min_words), "found")
+    return remove_units(docs, found, id_col, text_col, min_run)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

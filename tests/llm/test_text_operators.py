@@ -1,5 +1,6 @@
 """Operators 1, 6, 9 and 10."""
 
+import itertools
 import re
 from collections import Counter
 
@@ -79,9 +80,24 @@ def test_rules_are_monotone_and_cover_odd_rows(spark, odd, empty):
     assert quality_rules.apply_rules(odd, quality_rules.fit_rules(odd, labels)).count() == odd.count()
 
 
-def brute_dedup(docs, least=5):
-    """Units by regular expression, in rank order; the words of what stays and the spans of what goes."""
-    seen, out = set(), {}
+def brute_dedup(docs, least=5, chars=20, run=30):
+    """Units by regular expression, every run as a tuple of words, in rank order; the spans of what goes and what stays."""
+    units, places = {}, {}
+
+    def runs(spans):
+        for k, (_, _, words) in enumerate(spans):
+            enough = lambda ws: len(ws) >= least or sum(map(len, ws)) >= chars
+            if enough(words):
+                yield k, k, words
+                continue
+            for step in (1, -1):
+                at, got = k, words
+                while not enough(got) and 0 <= at + step < len(spans):
+                    at += step
+                    got = got + spans[at][2] if step > 0 else spans[at][2] + got
+                if enough(got):
+                    yield min(k, at), max(k, at), got
+
     for i, t in sorted(docs.items()):
         spans = []
         for line in re.finditer(r"[^\n]+", t):
@@ -92,19 +108,22 @@ def brute_dedup(docs, least=5):
                     lead = re.match(r"[\x20\x09-\x0D]*", part).end()
                     spans.append((at + lead, at + len(part.rstrip(" \t\r\x0b\x0c")), tuple(w.lower() for w in words)))
                 at += len(part)
-        gone = []
-        for _, _, words in spans:
-            gone.append(None if len(words) < least else words in seen)
-            if len(words) >= least:
-                seen.add(words)
-        for k, g in enumerate(gone):
-            if g is None:
-                left = next((x for x in gone[:k][::-1] if x is not None), False)
-                right = next((x for x in gone[k + 1 :] if x is not None), False)
-                spans[k] = (*spans[k], left and right)
-            else:
-                spans[k] = (*spans[k], g)
-        out[i] = ([x[:2] for x in spans if x[3]], [t[x[0] : x[1]] for x in spans if not x[3]])
+        units[i] = spans
+        for a, _, words in runs(spans):
+            places[words] = min(places.get(words, (i, a)), (i, a))
+    out = {}
+    for i, spans in units.items():
+        drop = [False] * len(spans)
+        for a, b, words in runs(spans):
+            if places[words] < (i, a):
+                drop[a : b + 1] = [True] * (b + 1 - a)
+        for _, group in itertools.groupby(range(len(spans)), key=lambda k: drop[k]):
+            group = list(group)
+            words = [w for k in group for w in spans[k][2]]
+            if len(words) < run and sum(map(len, words)) < 5 * run:
+                for k in group:
+                    drop[k] = False
+        out[i] = ([x[:2] for x, d in zip(spans, drop) if d], [docs[i][x[0] : x[1]] for x, d in zip(spans, drop) if not d])
     return out
 
 
@@ -118,17 +137,49 @@ def test_line_dedup_matches_brute_force(spark):
     assert sum(len(s) for s, _ in want.values()) > 50
 
 
+@given(st.lists(st.lists(st.sampled_from(["a b c.", "one two three four five six.", "x", "\n", "Yes. No.", "the end of this line here", "\n\n", "long-word-without-any-space"]), max_size=8).map(" ".join), min_size=1, max_size=5))
+@settings(max_examples=40, deadline=None)
+def test_units_match_brute_force(texts):
+    """The numpy kernel without Spark: runs of units, their digests and the cut, over one slab."""
+    docs = dict(enumerate(texts))
+    want = brute_dedup(docs, run=8)
+    runs, least = [], {}
+    for s in kernel.slabs(pa.array(texts)):
+        a, b, doc = line_dedup.units(s)
+        number = np.arange(len(a)) - np.searchsorted(doc, np.arange(s.n))[doc]
+        i, j = line_dedup.runs(line_dedup.sizes(s, a, b), b - a, doc, 5)
+        for d, first, last, x, y in zip(doc[i] + s.first, number[i], number[j], *line_dedup.digests(s, a[i], b[j])):
+            runs.append((d, first, last, (x, y)))
+            least[x, y] = min(least.get((x, y), (d, first)), (d, first))
+    for d, text in docs.items():
+        gone = [{"unit": f, "last": z} for e, f, z, key in runs if e == d and (d, f) > least[key]]
+        new, spans = line_dedup.cut(text, gone, 8) if gone else (text, [])
+        assert [(x["start"], x["end"]) for x in spans] == want[d][0] and new.split() == " ".join(want[d][1]).split()
+
+
+def test_line_dedup_leaves_short_common_lines_and_takes_passages(spark):
+    license_line = "All rights are reserved by the owner of this text."
+    passage = " ".join(f"Sentence {i} of a passage that many documents share among them." for i in range(6))
+    rows = [(i, f"Start {i} of a text.\n{license_line}\nMiddle {i}. {passage} Tail {i} of it.\nThe last line {i}", i, "x", [i], "k") for i in range(1, 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long, _key string, _units array<long>, id string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1].text == rows[0][1] and got[1].removed == []
+    for i in (2, 3, 4):
+        assert got[i].text == f"Start {i} of a text.\n{license_line}\nMiddle {i}. Tail {i} of it.\nThe last line {i}"
+        assert (got[i]["_id"], got[i]["_key"], got[i]["_units"], got[i]["id"]) == (i, "x", [i], "k")
+
+
 def test_line_dedup_inside_lines(spark):
     passage = "This passage has many words in it. Yes. And it goes on for another sentence!"
     df = spark.createDataFrame([(1, f"Start of one text, quite long. {passage} End of it here."), (2, f"Another beginning of a text\nwith two lines. {passage}\nAnd a last line.")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, min_run=5).collect()}
     assert got == {1: df.first().text, 2: "Another beginning of a text\nwith two lines.\nAnd a last line."}
 
 
 def test_line_dedup_odd_rows(spark, odd, empty):
     passage = "a passage of more than five words in one line"
     df = spark.createDataFrame([(2, f"x\n{passage}\ny", "r"), (1, passage.upper() + "  ", "r"), (3, f"{passage}\nshort line\nshort line", "r"), (None, passage, "r")], "doc_id long, text string, removed string")
-    got = {r.doc_id: (r.text, [tuple(s) for s in r.removed]) for r in line_dedup.dedup_lines(df).collect()}
+    got = {r.doc_id: (r.text, [tuple(s) for s in r.removed]) for r in line_dedup.dedup_lines(df, min_run=5).collect()}
     assert got == {1: (passage.upper() + "  ", []), 2: ("x\ny", [(2, 2 + len(passage))]), 3: ("short line\nshort line", [(0, len(passage))]), None: (passage, [])}
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
@@ -139,7 +190,7 @@ def test_line_dedup_takes_repeated_lines_whole(spark):
     solid = "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u5f88\u957f\u7684\u53e5\u5b50\u5b83\u4f1a\u5728\u4e24\u4e2a\u6587\u4ef6\u91cc\u51fa\u73b0"
     for i, passage in enumerate((verse, spoken, solid, "So it goes. This sentence has more than five words. The end.")):
         df = spark.createDataFrame([(1, f"alpha\n{passage}\nbeta"), (2, f"gamma\n{passage}\ndelta")], "doc_id long, text string")
-        got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(df).collect()}
+        got = {r.doc_id: (r.text, r.removed) for r in line_dedup.dedup_lines(df, min_run=4).collect()}
         assert got[1] == (f"alpha\n{passage}\nbeta", []), i
         assert got[2][0] == "gamma\ndelta", i
 
