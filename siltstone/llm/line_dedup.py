@@ -3,9 +3,9 @@
 Units are lines, cut further after sentence ends, so that a passage inside a line is found too.  A
 unit is normalised (words without regard to case, white space is one space) and hashed to 128 bits;
 of each digest the earliest occurrence by (id, unit) stays and every later one is marked.  A unit of
-fewer than ``min_words`` words and ``MIN_CHARS`` characters is too short to count alone: it is hashed
-with the units after it, and with those before it, up to one of these lengths, and marked with them.
-What goes are unbroken stretches of marked units, lines and sentences alike, of at least ``min_run`` words or ``min_run`` * ``RUN_CHARS`` characters: a repeated line,
+fewer than ``min_words`` words and ``MIN_CHARS`` characters is short: where such units stand
+side by side and are longer than that together, each is hashed with the units after it, and with those
+before it, up to one of these lengths, and marked with them, not alone.  What goes are unbroken stretches of marked units, lines and sentences alike, of at least ``min_run`` words or ``min_run`` * ``RUN_CHARS`` characters: a repeated line,
 paragraph or passage of that length goes whole, however short its sentences are, while a short line
 or sentence that texts merely have in common stays where it is.
 
@@ -85,9 +85,9 @@ def sizes(s: Slab, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def runs(chars: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last unit of every run to compare.
 
-    A unit that is long enough is a run.  From every other unit the shortest run inside its text that
-    is long enough goes onward, and one goes back; any repeated stretch of units that is long enough
-    is covered by such runs.
+    A unit that is long enough is a run, and so is a short one among few: where short units side by side
+    are long enough together, from each of them the shortest run inside its text that is long enough
+    goes onward instead, and one goes back.
     """
     n = len(chars)
     if not n:
@@ -95,13 +95,20 @@ def runs(chars: np.ndarray, words: np.ndarray, doc: np.ndarray, min_words: int)
     totals = [(np.concatenate([[0], np.cumsum(x)]), least) for x, least in ((chars, MIN_CHARS), (words, min_words))]
     at = np.arange(n)
     long = (words >= min_words) | (chars >= MIN_CHARS)
-    alone, short = at[long], at[~long]
+    opens = long | np.concatenate([[True], long[:-1] | (doc[1:] != doc[:-1])])
+    first = np.flatnonzero(opens)
+    end = np.append(first[1:], n)
+    enough = np.zeros(len(first), bool)
+    for t, least in totals:
+        enough |= t[end] - t[first] >= least
+    alone = long | ~np.repeat(enough, end - first)
+    short = at[~alone]
     last = np.minimum(*[np.searchsorted(t, t[short] + least) for t, least in totals]) - 1
     onward = (last < n) & (doc[np.minimum(last, n - 1)] == doc[short])
-    first = np.maximum(*[np.searchsorted(t, t[short + 1] - least, "right") for t, least in totals]) - 1
-    back = (first >= 0) & (doc[np.maximum(first, 0)] == doc[short])
-    a = np.concatenate([alone, short[onward], first[back]])
-    z = np.concatenate([alone, last[onward], short[back]])
+    begin = np.maximum(*[np.searchsorted(t, t[short + 1] - least, "right") for t, least in totals]) - 1
+    back = (begin >= 0) & (doc[np.maximum(begin, 0)] == doc[short])
+    a = np.concatenate([at[alone], short[onward], begin[back]])
+    z = np.concatenate([at[alone], last[onward], short[back]])
     pairs = np.unique(a * n + z)
     return pairs // n, pairs % n
 
@@ -135,10 +142,10 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int =
 
     found = stored(base.mapInArrow(run, f"id {kind}, key long, unit int, last int, a long, b long"), "units")
     common = stored(found.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated")
-    again = join_counted(found, common, ["a", "b"], "copies")
+    again = stored(join_counted(found, common, ["a", "b"], "copies"), "again")
     place = F.struct("id", "key", "unit")
-    first = again.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    later = join_counted(again.drop("copies"), first, ["a", "b"], "copies").where(place > F.col("first"))
+    first = stored(again.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("copies").alias("n")), "first")
+    later = join_counted(again, first, ["a", "b"], "n").where(place > F.col("first"))
     return later.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("unit", "last"))).alias("units"))
 
 

@@ -84,19 +84,31 @@ def brute_dedup(docs, least=5, chars=20, run=30):
     """Units by regular expression, every run as a tuple of words, in rank order; the spans of what goes and what stays."""
     units, places = {}, {}
 
+    enough = lambda ws: len(ws) >= least or sum(map(len, ws)) >= chars
+
     def runs(spans):
-        for k, (_, _, words) in enumerate(spans):
-            enough = lambda ws: len(ws) >= least or sum(map(len, ws)) >= chars
-            if enough(words):
-                yield k, k, words
+        k = 0
+        while k < len(spans):
+            if enough(spans[k][2]):
+                yield k, k, spans[k][2]
+                k += 1
                 continue
-            for step in (1, -1):
-                at, got = k, words
-                while not enough(got) and 0 <= at + step < len(spans):
-                    at += step
-                    got = got + spans[at][2] if step > 0 else spans[at][2] + got
-                if enough(got):
-                    yield min(k, at), max(k, at), got
+            z = k
+            while z + 1 < len(spans) and not enough(spans[z + 1][2]):
+                z += 1
+            together = sum((spans[x][2] for x in range(k, z + 1)), ())
+            if not enough(together):
+                yield from ((x, x, spans[x][2]) for x in range(k, z + 1))
+            else:
+                for x in range(k, z + 1):
+                    for step in (1, -1):
+                        at, got = x, spans[x][2]
+                        while not enough(got) and 0 <= at + step < len(spans):
+                            at += step
+                            got = got + spans[at][2] if step > 0 else spans[at][2] + got
+                        if enough(got):
+                            yield min(x, at), max(x, at), got
+            k = z + 1
 
     for i, t in sorted(docs.items()):
         spans = []
