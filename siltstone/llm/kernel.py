@@ -174,9 +174,10 @@ class Slab:
         return c[self.off[1:]] - c[self.off[:-1]]
 
 
-def slabs(column: pa.Array, size: int = SLAB) -> Iterator[Slab]:
-    """Cut a string column into slabs; a null is an empty text."""
-    light()
+def slabs(column: pa.Array, size: int = SLAB, keep_worker: bool = False) -> Iterator[Slab]:
+    """Cut a string column into slabs; a null is an empty text.  Unless asked to keep it, the worker's cache goes."""
+    if not keep_worker:
+        light()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")

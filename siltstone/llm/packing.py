@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import stored
-from .tokens import encoder
+from .storage import modest_batches, stored
+from .tokens import encoder, with_end
 
 SALTS = 64
 
@@ -140,7 +140,7 @@ def plan(histogram: np.ndarray, size: int) -> Plan:
     return Plan(e[:, 0], e[:, 1], e[:, 2], e[:, 3], at)
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, size: int, batch: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id: int, size: int) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32.  Only the first piece of a long document is shorter."""
     kind = dict(docs.dtypes)[id_col]
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -148,15 +148,18 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for b in batches:
-            for i in range(0, b.num_rows, batch):
-                some = b.slice(i, batch)
-                of, piece, start, length, crc = [], [], [], [], []
-                for row, data in enumerate(enc.encode(some.column("text").to_pylist())):
-                    ids = np.append(np.frombuffer(data, enc.dtype), enc.dtype.type(end_id)).astype("<u4")
-                    cut = np.append(np.arange(len(ids), 0, -size)[::-1] - size, len(ids)).clip(0)
-                    for k, (x, y) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-                        of.append(row), piece.append(k), start.append(x), length.append(y - x), crc.append(zlib.crc32(ids[x:y].tobytes()))
-                yield pa.RecordBatch.from_arrays([some.column("id").take(pa.array(of, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
+            for first, ids, n in enc.encode_column(b.column("text")):
+                ids, n = with_end(ids, n, end_id)
+                ids = ids.astype("<u4")
+                count = -(-n // size)
+                row = np.repeat(np.arange(len(n)), count)
+                piece = np.arange(len(row)) - (np.cumsum(count) - count)[row]
+                # only the first piece may be shorter
+                start = np.maximum(0, n[row] - (count[row] - piece) * size)
+                length = n[row] - (count[row] - piece - 1) * size - start
+                at = (np.cumsum(n) - n)[row] + start
+                crc = [zlib.crc32(ids[x : x + y]) for x, y in zip(at.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row + first)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     return base.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
@@ -169,6 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     read.  Which of several equal-length pieces goes where follows a hash of id and piece.
     """
     spark = docs.sparkSession
+    modest_batches(spark)
     table = stored(pieces(docs, tokenizer, id_col, text_col, end_id, size), "pieces")
     salted = table.withColumn("salt", F.pmod(F.xxhash64(F.col("id").cast("string"), "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
     counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()  # at most size * SALTS rows

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .storage import modest_batches, scratch, stored
-from .tokens import Encoder, encoder
+from .tokens import Encoder, encoder, with_end
 
 LIMIT = 18
 STRIDE = 128
@@ -119,8 +119,10 @@ def planes_of(enc: Encoder) -> list[str]:
     return ["lo", "hi"] if enc.dtype.itemsize == 2 else ["lo", "hi", "top"]
 
 
-def split_planes(ids: list[np.ndarray], n: int) -> list[pa.Array]:
-    return [pa.array([(x >> 8 * k & 255).astype(np.uint8).tobytes() for x in ids], pa.binary()) for k in range(n)]
+def split_planes(ids: np.ndarray, n: np.ndarray, planes: int) -> list[pa.Array]:
+    """Byte planes of ids end to end, cut into documents of n ids."""
+    off = pa.py_buffer(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    return [pa.Array.from_buffers(pa.binary(), len(n), [None, off, pa.py_buffer((ids >> 8 * k & 255).astype(np.uint8))]) for k in range(planes)]
 
 
 def join_planes(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -134,7 +136,7 @@ def join_planes(b: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return out
 
 
-def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int, batch: int = 256) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int) -> DataFrame:
     """(id, tie, n, planes of the ids): one row a document, made where its text is read; ``tie`` hashes the text."""
     kind = dict(docs.dtypes)[id_col]
     names = planes_of(encoder(path))
@@ -143,10 +145,10 @@ def tokenise(docs: DataFrame, path: str, id_col: str, text_col: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            for i in range(0, b.num_rows, batch):
-                some = b.slice(i, batch)
-                ids = [np.append(np.frombuffer(x, enc.dtype), enc.dtype.type(end_id)) for x in enc.encode(some.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("tie"), pa.array([len(x) for x in ids], pa.int64()), *split_planes(ids, len(names))], ["id", "tie", "n", *names])
+            for first, ids, n in enc.encode_column(b.column("text")):
+                ids, n = with_end(ids, n, end_id)
+                some = b.slice(first, len(n))
+                yield pa.RecordBatch.from_arrays([some.column("id"), some.column("tie"), pa.array(n), *split_planes(ids, n, len(names))], ["id", "tie", "n", *names])
 
     return base.mapInArrow(run, f"id {kind}, tie long, n long, " + ", ".join(f"{p} binary" for p in names))
 

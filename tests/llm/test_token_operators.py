@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -16,7 +17,7 @@ from siltstone.llm.tokens import Encoder
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ENCODER, PLAIN = Encoder(BPE), Tokenizer.from_file(BPE)
-ALPHABET = st.sampled_from(["a", "Bc", "é", " ", "  ", "\n", "\t", "'s", "9", "!", "#$", "\xa0", "　", "<|endoftext|>", "日本", "\r\n", "_", "\x1c", "\x85", "\0", "▁"])
+ALPHABET = st.sampled_from(["a", "Bc", "é", " ", "  ", "\n", "\t", "'s", "9", "!", "#$", "\xa0", "　", "<|endoftext|>", "日本", "word,", " naïve", "Ünder.", ".\"", ")]", "x;y", "ªb", "\r\n", "_", "\x1c", "\x85", "\0", "▁"])
 TEXT = st.lists(ALPHABET, max_size=14).map("".join)
 
 
@@ -26,6 +27,16 @@ def test_chunked_ids_are_the_librarys(texts):
     assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in ENCODER.encode(texts)] == [PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_ids_over_16_bits_keep_all_bits():
+    class Wide:
+        dtype = np.dtype("<u4")
+
+    ids = [np.array([1, 70_000, 1 << 23], "<u4"), np.array([], "<u4"), np.array([65_536], "<u4")]
+    names = token_files.planes_of(Wide)
+    b = pa.RecordBatch.from_arrays(token_files.split_planes(np.concatenate(ids), np.array([len(x) for x in ids]), len(names)), names)
+    assert token_files.join_planes(b, names).tolist() == [1, 70_000, 1 << 23, 65_536] and len(names) == 3
+
+
 @given(st.lists(st.integers(0, 300), max_size=600), st.integers(9, 18))
 @settings(deadline=None)
 def test_huffman_round_trip(ids, limit):
