@@ -1,17 +1,23 @@
 """Operator 1: main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element.  Lines of menus, headers, footers, sidebars,
-adverts, notices, forms and comments (by element, role, class or id) and lines that are mostly link
-text count as empty.  Lengths are summed over sliding windows of ``WINDOW`` lines; a surge point is
-where the sum rises over a threshold, a dive point where it falls to nothing, and the text from each
-surge to its dive is kept.  Where the page names its article (``article``, ``main``), only its lines
-have a length and every surge counts.
+adverts, notices and comments (by element, role, class or id) are left out; a line weighs its length,
+nothing if it is mostly link text.  Weights are summed over sliding windows of ``WINDOW`` lines; a surge
+point is where the sum rises over a threshold, a dive point where it falls to nothing, and the text
+from each surge to its dive is kept, on every page.  Where a page names its article (``article``,
+``main``) and this holds most of the text, the name counts as a weight: lines inside weigh
+``ARTICLE_WEIGHT`` times their length, links too, and lines outside nothing.  A form is left out like a
+menu, unless it holds most of the page's text: some sites wrap whole pages in one.
+
+Scanning takes time in proportion to the page, however broken its markup is.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,21 +26,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import modest_batches
+
 WINDOW = 3
 SURGE = 80
+ARTICLE_WEIGHT = 2
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|<[!?][^>]*+>"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?:(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|(?P<broken>[^<>]*+)>)",
-    re.S,
-)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+#: The rest of a tag without angle brackets in its quotes; it ends at the next bracket at the latest.
+_NEAT = re.compile(r"(?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+>")
+_BRACKET = re.compile(r"[<>]")
+_MARKS = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([A-Za-z_:][-A-Za-z0-9_:.]*+)(?:\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?")
 _RAW = frozenset("script style textarea title iframe noscript xmp noembed noframes".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead title tr ul".split()
 )
-_DROP = frozenset("head nav footer aside form menu dialog template object svg canvas audio video select button map applet datalist search".split())
+_DROP = frozenset("head nav footer aside menu dialog template object svg canvas audio video select button map applet datalist search".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist".split())
 _DROP_WORDS = frozenset(
     "ad ads adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr legal login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar sidebars signin signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
@@ -44,6 +53,7 @@ _ARTICLE_WORDS = frozenset("article content entry page post story text".split())
 _STATES = frozenset("has is no not with without".split())  # "has-sidebar" says something about another element
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"option", "optgroup", "body", "html"}
+_INNER = frozenset("p li span a b i".split())
 _SCOPE = frozenset("ul ol dl table article section div main body html form nav aside header footer blockquote td th".split())
 
 
@@ -54,6 +64,114 @@ class Line:
     dropped: bool
     article: bool
     heading: bool
+    form: bool = False
+
+
+class Scanner:
+    """Tags of a page from left to right, in linear time: what is found missing once is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+        self.marks: list[int] | None = None
+        self.dead: set[int] = set()
+
+    def find(self, what: str, at: int) -> int:
+        """Position of ``what`` from ``at`` on, or -1."""
+        if what in self.missing:
+            return -1
+        at = self.page.find(what, at)
+        if at < 0:
+            self.missing.add(what)
+        return at
+
+    def tag_end(self, at: int) -> int:
+        """The first > from ``at`` that stands in no quotes, or -1.  Ways that led to no end are not gone twice."""
+        if self.marks is None:
+            self.marks = [m.start() for m in _MARKS.finditer(self.page)]
+        way = []
+        while at not in self.dead:
+            way.append(at)
+            k = bisect_left(self.marks, at)
+            if k == len(self.marks):
+                break
+            mark = self.marks[k]
+            if self.page[mark] == ">":
+                return mark
+            close = self.find(self.page[mark], mark + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(way)
+        return -1
+
+    def tags(self) -> Iterator[tuple[int, int, str, str, str]]:
+        """(start, end, kind, name, attributes); kind is open, close, skip or text (the name is then a text).
+
+        A caller may send a position to go on from.
+        """
+        page, at = self.page, 0
+        while (start := self.find("<", at)) >= 0:
+            at = start + 1
+            if m := _NAME.match(page, start):
+                if neat := _NEAT.match(page, m.end()):
+                    end = neat.end() - 1
+                else:
+                    end = self.tag_end(m.end())
+                    if end < 0:  # a quote that never ends: up to the next bracket
+                        b = _BRACKET.search(page, m.end())
+                        if not b or b[0] == "<":
+                            continue
+                        end = b.start()
+                at = (yield start, end + 1, "close" if m[1] else "open", m[2].lower(), page[m.end() : end]) or end + 1
+            elif page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                at = len(page) if end < 0 else end + 3
+                yield start, at, "skip", "", ""
+            elif page.startswith("<![CDATA[", start) and (end := self.find("]]>", start + 9)) >= 0:
+                at = end + 3
+                yield start, at, "text", page[start + 9 : end], ""
+            elif page.startswith(("<!", "<?"), start) and (end := self.find(">", start + 2)) >= 0:
+                at = end + 1
+                yield start, at, "skip", "", ""
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Behind the end tag of an element whose content is no markup, or -1."""
+        if name in self.missing:
+            return -1
+        m = re.compile(rf"</{name}(?=[\s/>])", re.I).search(self.page, at)
+        end = self.find(">", m.end()) if m else -1
+        if end < 0:
+            self.missing.add(name)
+        return end + 1 if end >= 0 else -1
+
+
+class Stack:
+    """Open elements: (name, dropped, article, form), the places of each name, and the nearest scope below each place."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, bool, bool, bool]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.scope: list[int] = []
+
+    def top(self) -> tuple[str, bool, bool, bool]:
+        return self.items[-1] if self.items else ("", False, False, False)
+
+    def push(self, item: tuple[str, bool, bool, bool]) -> None:
+        k = len(self.items)
+        self.scope.append(k if item[0] in _SCOPE else self.scope[-1] if self.scope else -1)
+        self.places[item[0]].append(k)
+        self.items.append(item)
+
+    def pop(self) -> None:
+        self.places[self.items.pop()[0]].pop()
+        self.scope.pop()
+
+    def close(self, name: str) -> None:
+        """Close the innermost element of this name; some do not reach over the edge of a block."""
+        if not self.places[name] or name in _INNER and self.places[name][-1] < self.scope[-1]:
+            return
+        for _ in range(len(self.items) - self.places[name][-1]):
+            self.pop()
 
 
 def _attrs(s: str) -> dict[str, str]:
@@ -76,7 +194,7 @@ def _name_words(names: str) -> set[str]:
 def lines(page: str) -> list[Line]:
     """The page's blocks in order, without those that have no text."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, article
+    stack, scan = Stack(), Scanner(page)
     parts: list[str] = []
     linked, in_link, heading, breaks = 0, False, False, 0
 
@@ -84,8 +202,8 @@ def lines(page: str) -> list[Line]:
         nonlocal linked, in_link, breaks
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            _, dropped, article = stack[-1] if stack else ("", False, False)
-            out.append(Line(text, linked, dropped, article, heading))
+            _, dropped, article, form = stack.top()
+            out.append(Line(text, linked, dropped, article, heading, form))
         parts.clear()
         linked, in_link, breaks = 0, False, 0
 
@@ -98,29 +216,28 @@ def lines(page: str) -> list[Line]:
         if in_link:
             linked += len("".join(text.split()))
 
-    at = 0
-    while m := _TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m["cdata"]:
-            add(m["cdata"])
-        name = (m["name"] or "").lower()
-        if not name:
+    at, tags, jump = 0, scan.tags(), None
+    while True:
+        try:
+            start, end, kind, name, inside = tags.send(jump)
+        except StopIteration:
+            break
+        jump = None
+        if start > at:
+            add(page[at:start])
+        at = end
+        if kind == "text":
+            add(name)
+        if kind in ("text", "skip"):
             continue
-        if m["end"]:
+        if kind == "close":
             if name in _BLOCK:
                 flush()
             elif name in ("td", "th"):
                 parts.append(" ")
             if name == "a":
                 in_link = False
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if name in ("p", "li", "span", "a", "b", "i") and stack[k][0] in _SCOPE:
-                    break
+            stack.close(name)
             heading = False if name in _BLOCK else heading
             continue
         if name == "br":
@@ -136,20 +253,20 @@ def lines(page: str) -> list[Line]:
         elif name in ("td", "th", "img"):
             parts.append(" ")
         if name in _RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else (len(page) if name in ("script", "style") else at)
+            behind = scan.raw_end(name, at)
+            at = jump = behind if behind >= 0 else (len(page) if name in ("script", "style") else at)
             continue
         if name == "a":
             in_link = True
-        if name in _VOID or (m["attrs"] or "").endswith("/") and name in ("svg", "path"):
+        if name in _VOID or inside.endswith("/") and name in ("svg", "path"):
             continue
         closes = _CLOSES.get(name, set()) | ({"p"} if name in _ENDS_P else set())
-        while stack and stack[-1][0] in closes:
+        while stack.items and stack.top()[0] in closes:
             stack.pop()
         if name in ("b", "i", "em", "strong", "u", "small", "font", "a", "tt", "big", "s", "strike", "code", "nobr"):
             continue  # often left open; they neither hold blocks nor mark boilerplate
-        _, dropped, article = stack[-1] if stack else ("", False, False)
-        attrs = _attrs(m["attrs"] or m["broken"] or "")
+        _, dropped, article, form = stack.top()
+        attrs = _attrs(inside)
         role = attrs.get("role", "").lower()
         words = _name_words(f"{attrs.get('class', '')} {attrs.get('id', '')}")
         whole = name in ("html", "body", "main")
@@ -157,7 +274,7 @@ def lines(page: str) -> list[Line]:
         dropped = dropped or not whole and bool(words & _DROP_WORDS or not article and name != "article" and words & _OUTER_WORDS and not words & _ARTICLE_WORDS)
         dropped = dropped or "hidden" in attrs and not whole or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
         article = article or name in ("article", "main") or role in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower()
-        stack.append((name, dropped, article))
+        stack.push((name, dropped, article, form or name == "form"))
     if at < len(page):
         add(page[at:])
     flush()
@@ -186,39 +303,50 @@ def regions(lengths: np.ndarray, surge: float) -> list[tuple[int, int]]:
     return out
 
 
+def weights(rows: list[Line]) -> tuple[np.ndarray, bool]:
+    """The weight of each line, and whether a named article decides it."""
+    length = np.array([len(x.text) for x in rows], np.int64)
+    article, links = np.array([x.article for x in rows]), np.array([x.linked > 0.5 * len(x.text) for x in rows])
+    plain = np.where(links, 0, length)
+    if 2 * plain[article].sum() >= max(plain.sum(), 1):
+        return np.where(article, ARTICLE_WEIGHT * length, 0), True
+    return plain, False
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one a line."""
     if not page:
         return ""
-    all_lines = lines(page)
-    named = any(x.article and not x.dropped for x in all_lines)
-    size = np.array([0 if x.dropped or (not x.article if named else x.linked > 0.5 * len(x.text)) else len(x.text) for x in all_lines], np.int64)
-    if not size.any():
+    rows = [x for x in lines(page) if not x.dropped]
+    in_forms = sum(len(x.text) for x in rows if x.form)
+    if 2 * in_forms <= sum(len(x.text) for x in rows):
+        rows = [x for x in rows if not x.form]
+    if not rows:
+        return ""
+    weight, named = weights(rows)
+    if not weight.any():
         return ""
-    if named:
-        surge = 1.0
-    else:
-        sums = np.convolve(size, np.ones(WINDOW))
-        surge = min(SURGE, 0.5 * float(sums.max()))
+    sums = np.convolve(weight, np.ones(WINDOW))
+    stray = lambda k: len(rows[k].text) < 40 and not rows[k].heading and not re.search(r"[.!?…:;,\"'»”)]$", rows[k].text)
     kept: list[str] = []
-    for i, j in regions(size, surge):
-        rows = [k for k in range(i, j) if size[k]]
+    for i, j in regions(weight, min(SURGE, 0.5 * float(sums.max()))):
+        block = [k for k in range(i, j) if weight[k]]
         if not named:
-            stray = lambda k: len(all_lines[k].text) < 40 and not all_lines[k].heading and not re.search(r"[.!?…:;,\"'»”)]$", all_lines[k].text)
-            while len(rows) > 1 and stray(rows[-1]):
-                rows.pop()
-            while len(rows) > 1 and stray(rows[0]):
-                rows.pop(0)
-        kept += [all_lines[k].text for k in rows]
+            while len(block) > 1 and stray(block[-1]):
+                block.pop()
+            while len(block) > 1 and stray(block[0]):
+                block.pop(0)
+        kept += [rows[k].text for k in block]
     return "\n".join(kept)
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` without the html column, with ``text_col`` (an old one is replaced).
 
-    A null or empty page, or one without an article, gives an empty text; ids are not looked at,
+    A null or empty page, or one that has boilerplate only, gives an empty text; ids are not looked at,
     repeated rows get equal results; other columns pass through.
     """
+    modest_batches(pages.sparkSession)
     keep = [c for c in pages.columns if c not in (html_col, text_col)]
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], html_col)
 
