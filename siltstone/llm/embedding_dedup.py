@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .components import components, least_labels
 from .near_join import whole_groups
-from .storage import stored
+from .storage import modest_batches, stored
 
-TILE = 4096
+#: Vectors of a tile, at most, and components of all its vectors.
+TILE, TILE_COMPONENTS = 8192, 1 << 22
 ROWS = 512
 PAIRS = 1 << 16
 
@@ -61,7 +62,8 @@ def tile_links(x: np.ndarray, y: np.ndarray | None, threshold: float) -> Iterato
 
 def link_counts(reps: DataFrame, threshold: float, tile: int) -> DataFrame:
     """(id, n, root) from reps (id, mult, dim, vector), once per vector and task it took part in."""
-    sizes = reps.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    most = F.least(F.lit(tile), F.greatest(F.lit(64), F.lit(TILE_COMPONENTS) / F.greatest("dim", F.lit(1))))
+    sizes = reps.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / most).cast("int").alias("tiles"))
     placed = reps.join(sizes, "dim").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = spread.select(F.xxhash64("dim", F.least("tile", "other"), F.greatest("tile", "other")).alias("task"), "tile", (F.col("tile") == F.col("other")).alias("own"), "id", "mult", "vector")
@@ -74,6 +76,7 @@ def link_counts(reps: DataFrame, threshold: float, tile: int) -> DataFrame:
             for i, j in zip(cut[:-1], cut[1:]):
                 g = t.slice(i, j - i)
                 x = g["vector"].combine_chunks().flatten().to_numpy().astype(float).reshape(j - i, -1)
+                x /= np.abs(x).max(1, keepdims=True)  # so that no square under- or overflows; the cosine stays
                 mult, side = g["mult"].to_numpy(), g["tile"].to_numpy()
                 n, left, right = np.zeros(j - i, np.int64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 own = bool(g["own"][0].as_py())
@@ -100,6 +103,7 @@ def near_embeddings(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     nothing; so does one whose id is null (null component, kept).  Vectors of different dimension never
     link.  Repeated rows are linked copies; rows sharing an id are one node of the components.
     """
+    modest_batches(table.sparkSession)
     v = F.col(vector_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | F.forall(v, lambda x: x == 0)
     rows = table.select(F.col(id_col).alias("id"), F.when(~bad, v).alias("vector"))

@@ -108,6 +108,17 @@ def test_embeddings_match_brute_force(spark, tile):
     assert got[None].kept and got[None].component_id is None
 
 
+def test_embeddings_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 6))
+    x[1], x[3], x[5] = x[0] * 1e-200, x[2] * 1e200, x[4] * 3
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_embeddings(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    y = x / np.abs(x).max(1, keepdims=True)
+    c = y @ y.T / np.linalg.norm(y, axis=1)[:, None] / np.linalg.norm(y, axis=1) >= 0.9
+    np.fill_diagonal(c, False)
+    assert got == dict(enumerate(c.sum(1).tolist())) and all(got[i] for i in range(6))
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
