@@ -125,8 +125,11 @@ def digests(s: Slab, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, key, units): first and last number of the runs of units to remove from each document; ``key`` hashes the text."""
+def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS, min_run: int = MIN_RUN) -> DataFrame:
+    """(id, key, units): first and last number of the marked runs of units; ``key`` hashes the text.
+
+    Documents whose marked runs are too short together for any stretch to go are left out.
+    """
     kind = dict(docs.dtypes)[id_col]
     base = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
 
@@ -135,18 +138,21 @@ def repeated_units(docs: DataFrame, id_col: str, text_col: str, min_words: int =
             for s in slabs(batch.column("text")):
                 a, b, doc = units(s)
                 number = np.arange(len(a)) - np.searchsorted(doc, np.arange(s.n))[doc]
-                i, j = runs(sizes(s, a, b), b - a, doc, min_words)
+                chars = sizes(s, a, b)
+                i, j = runs(chars, b - a, doc, min_words)
                 x, y = digests(s, a[i], b[j])
+                upto = np.concatenate([[0], np.cumsum(np.maximum(b - a, -(-chars // RUN_CHARS)))])
                 row = pa.array(doc[i] + s.first)
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("key").take(row), pa.array(number[i].astype(np.int32)), pa.array(number[j].astype(np.int32)), pa.array(x), pa.array(y)], ["id", "key", "unit", "last", "a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(row), batch.column("key").take(row), pa.array(number[i].astype(np.int32)), pa.array(number[j].astype(np.int32)), pa.array((upto[j + 1] - upto[i]).astype(np.int32)), pa.array(x), pa.array(y)], ["id", "key", "unit", "last", "size", "a", "b"])
 
-    found = stored(base.mapInArrow(run, f"id {kind}, key long, unit int, last int, a long, b long"), "units")
+    found = stored(base.mapInArrow(run, f"id {kind}, key long, unit int, last int, size int, a long, b long"), "units")
     common = stored(found.groupBy("a", "b").agg(F.count("*").alias("copies")).where("copies > 1"), "repeated")
     again = stored(join_counted(found, common, ["a", "b"], "copies"), "again")
     place = F.struct("id", "key", "unit")
     first = stored(again.groupBy("a", "b").agg(F.min(place).alias("first"), F.first("copies").alias("n")), "first")
     later = join_counted(again, first, ["a", "b"], "n").where(place > F.col("first"))
-    return later.groupBy("id", "key").agg(F.sort_array(F.collect_set(F.struct("unit", "last"))).alias("units"))
+    of_doc = later.groupBy("id", "key").agg(F.sum("size").alias("size"), F.sort_array(F.collect_set(F.struct("unit", "last"))).alias("units"))
+    return of_doc.where(F.col("size") >= min_run).drop("size")
 
 
 def stretches(drop: np.ndarray, words: np.ndarray, chars: np.ndarray, min_run: int) -> np.ndarray:
@@ -224,7 +230,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     modest_batches(docs.sparkSession)
     docs = docs.drop("removed")
-    found = stored(repeated_units(docs, id_col, text_col, min_words), "found")
+    found = stored(repeated_units(docs, id_col, text_col, min_words, min_run), "found")
     return remove_units(docs, found, id_col, text_col, min_run)
 
 

@@ -4,14 +4,19 @@ A value found in a text is read as a number in the domain of its format (digits,
 a calendar, IPv4 addresses), permuted by a keyed Feistel network with cycle walking, and written back
 in the layout it had.  The permutation depends on the key, the kind and the format alone, so equal
 values get equal pseudonyms in every document, different ones stay different, and holders of the key
-can invert it.  Values are validated first: card and account numbers by their check digits (which the
-pseudonyms have too), dates by the calendar, IPv4 addresses by their range.
+can invert it.  Values are validated first and only valid ones are replaced: card and account numbers
+by their check digits (which the pseudonyms have too), dates by the calendar (1900 to 2099), social
+security numbers by their areas, groups and serials, addresses by their range; a named secret must have
+a digit, letters of both cases inside or 20 characters.  What a value means is permuted, not how it is
+written: a date, a telephone number (ten digits are taken as +1), an e-mail name of any case or an
+address links with itself in every layout.  E-mail domains and country codes stay.
 """
 
 from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-KEY = b"siltstone demonstration key"
+from .storage import modest_batches
+
+#: Where queries look for the key.  Without it they use one that is no secret, which suits synthetic tables alone.
+KEY_SETTING, DEMONSTRATION_KEY = "spark.siltstone.pseudonyms.key", "siltstone demonstration key"
 ROUNDS = 8
 FIRST_DAY, LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 FOUND = ArrayType(StructType([StructField("kind", StringType()), StructField("start", LongType()), StructField("end", LongType())]))
@@ -30,14 +38,18 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}")
 _NUMBER = re.compile(
     rf"(?P<ip>(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9]))"
-    r"|(?P<ymd>(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]|-[0-9]))"
-    r"|(?P<dmy>(?<![0-9./])[0-9]{1,2}(?P<sep>[/.])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]|[./][0-9]))"
+    r"|(?P<ymd>(?<![0-9./-])[0-9]{4}(?P<s1>[/.-])[0-9]{1,2}(?P=s1)[0-9]{1,2}(?![0-9]|[/.-][0-9]))"
+    r"|(?P<dmy>(?<![0-9./-])[0-9]{1,2}(?P<s2>[/.-])[0-9]{1,2}(?P=s2)[0-9]{4}(?![0-9]|[/.-][0-9]))"
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9]))"
     r"|(?P<phone>(?<![0-9])\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})){2,4}(?![0-9])"
     r"|(?<![0-9+(])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9]|[.-][0-9]))"
     r"|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))"
 )
-_SECRET = re.compile(r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?\s{0,3}(?:=|:)\s{0,3}[\"']?(?P<value>[A-Za-z0-9_+/.~-]{8,512})|\b(?P<key>AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,200})\b")
+_SECRET = re.compile(
+    r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?\s{0,3}(?:=|:)\s{0,3}(?:\"(?P<double>[^\"\s]{8,})\"|'(?P<single>[^'\s]{8,})'|(?P<value>[^\s\"'<>,;()]{7,}[A-Za-z0-9_+/~=!@#$%^&*-]))"
+    r"|\b(?P<key>AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])"
+)
+_IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]{1,34}[0-9A-Fa-f](?![0-9A-Za-z:])")
 _SECRET_SIGNS = ("=", ":", "AKIA", "sk-", "sk_", "ghp_", "gho_", "xox")
 _IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})\b")
 #: Where any of the number formats must lie.
@@ -98,24 +110,53 @@ def luhn(d: str) -> int:
     return -sum(int(c) if i % 2 else (0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(c)] for i, c in enumerate(reversed(d))) % 10
 
 
-def _card(value: str, key: bytes, back: bool) -> str:
+def _card(value: str, key: bytes, back: bool) -> str | None:
     d = re.sub("[^0-9]", "", value)
     if luhn(d[:-1]) != int(d[-1]):
-        return digits(value, key, "number", 0, back)  # a valid card never meets this permutation
+        return None
     body = digits(d[:-1], key, "card", 0, back)
     new = iter(body + str(luhn(body)))
     return "".join(next(new) if "0" <= c <= "9" else c for c in value)
 
 
-def _number(value: str, key: bytes, back: bool) -> str:
-    """A long number without a valid check digit: walk on until the result has none either."""
+def valid_ssn(d: str) -> bool:
+    return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+
+def _ssn(value: str, key: bytes, back: bool) -> str | None:
+    """Walk on until the result is valid too."""
+    if not valid_ssn(value.replace("-", "")):
+        return None
     while True:
-        value = digits(value, key, "number", 0, back)
-        d = re.sub("[^0-9]", "", value)
-        if luhn(d[:-1]) != int(d[-1]):
+        value = digits(value, key, "ssn", 0, back)
+        if valid_ssn(value.replace("-", "")):
             return value
 
 
+def _phone(value: str, key: bytes, back: bool) -> str:
+    """The digits behind the country code as one number, in whatever layout."""
+    d = re.sub("[^0-9]", "", value)
+    lead = re.match(r"\+([0-9]{1,3})[ .(-]", value)
+    code = lead[1] if lead else "1" if value[0] == "+" and len(d) == 11 and d[0] == "1" else ""
+    rest = digits(d[len(code) :], key, "phone" + (code or "1" * (len(d) == 10)), 0, back)
+    new = iter(code + rest)
+    return "".join(next(new) if "0" <= c <= "9" else c for c in value)
+
+
+def _email(value: str, key: bytes, back: bool) -> str:
+    """Letters as if in lower case; capitals stay where they are."""
+    local, at, domain = value.rpartition("@")
+    new = letters(local.lower(), key, "email", back)
+    return "".join(n.upper() if c.isupper() else n for c, n in zip(local, new)) + at + domain
+
+
+def _secret(value: str, key: bytes, back: bool) -> str | None:
+    inner = value[1:]
+    if not (any(c.isdigit() for c in value) or inner.lower() != inner and inner.upper() != inner or len(value) >= 20):
+        return None
+    return letters(value, key, "secret", back)
+
+
 def iban_rest(value: str) -> int:
     """An account number's remainder modulo 97, 1 if it is valid."""
     v = value.replace(" ", "")
@@ -138,22 +179,39 @@ def _ip(value: str, key: bytes, back: bool) -> str:
     return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _ipv6(value: str, key: bytes, back: bool) -> str | None:
+    try:
+        old = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    if old.is_loopback or old.is_unspecified:
+        return None
+    x = int(old)
+    while True:
+        x = feistel(x, 1 << 128, key, "ipv6", back)
+        if x > 1:
+            return str(ipaddress.IPv6Address(x))
+
+
 def _day(value: str, key: bytes, back: bool) -> str | None:
-    """Dates as year-month-day, day/month/year or, where only that is a date, month/day/year; padding stays."""
+    """Dates as year-month-day, day-month-year or, where only that is a date, month-day-year; separators and padding stay.
+
+    Days up to the twelfth are permuted among themselves and so are the others, so every layout stays
+    readable as the order it had, and one permutation serves all.
+    """
     sep = next(c for c in value if not "0" <= c <= "9")
     p = value.split(sep)
-    for order in ((0, 1, 2),) if sep == "-" else ((2, 1, 0), (2, 0, 1)):
+    for order in ((0, 1, 2),) if len(p[0]) == 4 else ((2, 1, 0), (2, 0, 1)):
         try:
-            day = dt.date(*(int(p[i]) for i in order)).toordinal()
+            old = dt.date(*(int(p[i]) for i in order))
         except ValueError:
             continue
-        if FIRST_DAY <= day <= LAST_DAY:
-            # month/day/year values are those whose "day" exceeds 12, so the two readings never meet
-            new = day
+        new = old.toordinal()
+        if FIRST_DAY <= new <= LAST_DAY:
             while True:
-                new = feistel(new - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, f"date{order[1]}", back) + FIRST_DAY
+                new = feistel(new - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back) + FIRST_DAY
                 t = dt.date.fromordinal(new)
-                if order != (2, 0, 1) or t.day > 12:
+                if (t.day > 12) == (old.day > 12):
                     break
             out = [""] * 3
             for i, v in zip(order, (t.year, t.month, t.day)):
@@ -165,27 +223,11 @@ def _day(value: str, key: bytes, back: bool) -> str | None:
 @lru_cache(20_000)
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
     """The value's pseudonym, or with ``back`` the value of a pseudonym; None if it is no valid value."""
-    if kind == "email":
-        local, at, domain = value.rpartition("@")
-        return letters(local, key, "email", back) + at + domain
-    if kind == "iban":
-        return _iban(value, key, back)
-    if kind == "ip":
-        return _ip(value, key, back)
-    if kind in ("ymd", "dmy"):
-        return _day(value, key, back)
-    if kind == "card":
-        d = re.sub("[^0-9]", "", value)
-        return _card(value, key, back) if luhn(d[:-1]) == int(d[-1]) else _number(value, key, back)
-    if kind == "phone":
-        lead = re.match(r"\+([0-9]{1,3})[ .(-]", value)
-        return digits(value, key, "phone", len(lead[1]) if lead else 0, back)
-    if kind == "ssn":
-        return digits(value, key, "ssn", 0, back)
-    if kind == "key":
-        lead = re.match("AKIA|[a-z]+[-_]", value)[0]
-        return lead + letters(value[len(lead) :], key, f"key{lead}", back)
-    return letters(value, key, "secret", back)
+    kinds = {"email": _email, "iban": _iban, "ip": _ip, "ipv6": _ipv6, "ymd": _day, "dmy": _day, "card": _card, "phone": _phone, "ssn": _ssn, "secret": _secret}
+    if kind in kinds:
+        return kinds[kind](value, key, back)
+    lead = re.match("AKIA|[A-Za-z]+[-_]", value)[0]
+    return lead + letters(value[len(lead) :], key, f"key{lead}", back)
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -195,6 +237,8 @@ def find(text: str) -> list[tuple[int, int, str]]:
         got += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
     if any(sign in text for sign in _SECRET_SIGNS):
         got += [(*m.span(m.lastgroup), "key" if m["key"] else "secret") for m in _SECRET.finditer(text)]
+    if "::" in text or text.count(":") > 6:
+        got += [(*m.span(), "ipv6") for m in _IPV6.finditer(text)]
     got += [(*m.span(), "iban") for m in _IBAN.finditer(text) if iban_rest(m[0]) == 1]
     for run in _DIGITS.finditer(text):
         got += [(*m.span(), next(k for k in ("ip", "ymd", "dmy", "ssn", "phone", "card") if m[k])) for m in _NUMBER.finditer(text, run.start(), run.end() + 2)]
@@ -217,12 +261,13 @@ def pseudonymise_text(text: str, key: bytes) -> tuple[str, list[tuple[int, int,
     return "".join([*parts, text[at:]]) if parts else text, done
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with pseudonyms in its text, and ``private``: kind, start and end of each in the old text.
 
     A null text stays null, an empty one empty; ids are not looked at, repeated rows get equal
     results; other columns pass through (an old ``private`` is replaced).
     """
+    modest_batches(docs.sparkSession)
     docs = docs.drop("private")
     names, at = docs.columns, docs.columns.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -242,7 +287,11 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: bytes = KEY) -> D
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("private", FOUND)]))
 
 
+def session_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(KEY_SETTING, DEMONSTRATION_KEY).encode()
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.transform("private", lambda p: p["kind"]), " ")
     return out.select("doc_id", "text", F.size("private").cast("long").alias("n_private"), kinds.alias("kinds"))

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import modest_batches, stored
 
 MARK = "▁"
 #: Longer words do not fit a 64-bit boundary set; they are folded by ``merge_long``.
@@ -164,12 +164,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     Ids are those of the sentencepiece library.  A null or empty text has none; null and repeated ids
     are rows like others; other columns are not read; an empty table gives an empty result.
     """
+    modest_batches(docs.sparkSession)
     both = stored(index_words(docs, id_col, text_col), "words")
     pairs = both.where("word IS NOT NULL").select("part", "code", "word")
     coded = stored(encode_words(pairs, model), "encoded")
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner delete the word shuffle
     table = stored(pairs.join(coded, "word").select(F.col("part").alias("part"), "code", "ids"), "coded-dictionaries")
-    docs.sparkSession.sparkContext._jvm.System.gc()
     rows = both.where("codes IS NOT NULL").select("part", "id", "codes")
     kind = dict(rows.dtypes)["id"]
 
@@ -215,4 +214,6 @@ def decode(table: DataFrame, model: str, ids_col: str = "ids", text_col: str = "
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
+    return decode(coded, model, text_col="decoded").withColumn("decoded_crc32", F.crc32("decoded")).drop("decoded")

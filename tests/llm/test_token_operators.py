@@ -133,11 +133,26 @@ def test_pipeline(spark):
         assert docs.columns == columns and docs.count() <= n
         n = docs.count()
     out = p.STAGES[-1][1](spark, docs, sf)
+    assert stored(p.quality_classifier(spark, docs, sf), "again").count() <= n
     assert out.select("doc_id").distinct().count() == n
     for name, stage in p.STAGES:
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+def test_pipeline_stages_take_odd_rows(spark, odd):
+    import corpus_pipeline as p
+
+    sf, n = "/root/testdata/sf0.001", odd.count()
+    wide = odd.selectExpr("*", "1 AS n_chars", "2 AS `quality score`", "3 AS _id", "4 AS _key", "5 AS node")
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, wide, sf)
+        assert got.columns == wide.columns and got.count() <= n, name
+    by_id = lambda df: {(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()}
+    assert by_id(p.near_duplicate_join(spark, wide, sf)) == {r for r in by_id(odd) if r[0] != 7}
+    assert p.line_dedup(spark, wide, sf).count() == p.pseudonyms(spark, wide, sf).count() == n
+    assert p.packing(spark, wide, sf).where("piece = 0").count() == n
+
+
 def test_entry_has_all_operators():
     import __spark_entry__ as entry
 
