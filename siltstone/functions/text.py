@@ -63,6 +63,11 @@ KEYWORD_TAGS = [
     ("Health", 0.8, ["health", "medical", "doctor", "prescription"]),
     ("Travel", 0.7, ["travel", "flight", "hotel", "booking"]),
 ]
+REQUEST_TYPES = {
+    "pdf": "Pdf", "text": "TextDocument", "txt": "TextDocument", "text_document": "TextDocument", "office": "OfficeDocument", "doc": "OfficeDocument", "docx": "OfficeDocument", "office_document": "OfficeDocument",
+    "image": "Image", "img": "Image", "png": "Image", "jpg": "Image", "jpeg": "Image", "video": "Video", "mp4": "Video", "avi": "Video", "audio": "Audio", "mp3": "Audio", "wav": "Audio", "code": "Code", "source": "Code",
+    "model": "Model3D", "3d": "Model3D", "model_3d": "Model3D", "archive": "Archive", "zip": "Archive", "rar": "Archive",
+}
 BLACKLIST = [
     "**/node_modules/**", "**/.git/**", "**/target/**", "**/.idea/**", "**/.vscode/**", "**/vendor/**", "**/__pycache__/**", "**/.venv/**", "**/venv/**", "**/dist/**", "**/build/**", "**/.cache/**", "**/bower_components/**", "**/.npm/**", "**/.yarn/**",
     "**/System Volume Information/**", "**/$Recycle.Bin/**", "**/Windows/**", "**/Program Files/**", "**/Program Files (x86)/**", "**/ProgramData/**", "**/proc/**", "**/sys/**", "**/dev/**",
@@ -103,6 +108,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def analysed(text: Column) -> Column:
+    """Tokens as the index has them: none of over 40 bytes; a null text has none."""
+    return F.filter(tokens(F.coalesce(text, F.lit(""))), lambda w: F.octet_length(w) <= 40)
+
+
 def classify_query(q: Column) -> Column:
     """ExactKeyword, NaturalLanguage or Mixed; the order of the tests matters."""
     low = F.lower(q)

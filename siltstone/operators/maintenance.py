@@ -89,7 +89,7 @@ ORACLE_SQL = {
     "paragraphs": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS number FROM documents WHERE text IS NOT NULL),
     o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM l)
     SELECT doc_id, number, start, start + length(line) AS "end", substring(line, 1, 100) AS preview FROM o""",
-    "log_export": f"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE n_chars < 3000),
+    "log_export": f"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, line_no) AS position FROM l)
     SELECT source, position, regexp_replace(regexp_replace(regexp_replace(line, '{T.SECRET.replace("'", "''")}', '\\1=[REDACTED]', 'g'), '{T.EMAIL}', '[EMAIL]', 'g'), '{T.IPV4}', '[IP]', 'g') AS line FROM r WHERE position <= 200""",
     "sensitivity_analysis": f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS tag FROM documents), k(grp, keyword) AS (VALUES {', '.join(f"('{g}', '{x}')" for g, _, keys in T.SENSITIVE for x in keys)})

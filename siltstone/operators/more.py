@@ -15,20 +15,20 @@ from siltstone.operators.search import TERMS, _query_vector, _terms_sql, bm25
 from siltstone.sources.tables import load
 
 
-def merge_answers(local: DataFrame, cloud: DataFrame, w_local: float = 0.3, w_cloud: float = 0.7) -> DataFrame:
-    """(doc_id, score, origin): both answers weigh in halves, a single one with its weight; under 0.1 goes; best 20."""
+def merge_answers(local: DataFrame, cloud: DataFrame, w_local: float = 0.3, w_cloud: float = 0.7, most: int = 20) -> DataFrame:
+    """(doc_id, score, origin): both answers weigh in halves, a single one with its weight; under 0.1 goes; best ``most``."""
     m = local.join(cloud, "doc_id", "full_outer")
     l, c = F.col("local"), F.col("cloud")
     score = F.when(c.isNull(), w_local * l).when(l.isNull(), w_cloud * c).otherwise((w_local * l + w_cloud * c) / 2)
     m = m.select("doc_id", F.round(score, 6).alias("score"), F.when(c.isNull(), "Local").when(l.isNull(), "Cloud").otherwise("Both").alias("origin"))
-    return m.where("score >= 0.1").orderBy(F.desc("score"), "doc_id").limit(20)
+    return m.where("score >= 0.1").orderBy(F.desc("score"), "doc_id").limit(most)
 
 
 def q_merged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = load(spark, sf_dir, "embeddings")
-    near = v.where(F.size("embedding") == 64).select(F.col("vec_id").alias("doc_id"), V.cosine(F.col("embedding"), _query_vector(v)).alias("local")).where("local > 0.2")
-    hits = bm25(load(spark, sf_dir, "documents"), TERMS)
-    return merge_answers(near, hits.select("doc_id", (F.col("bm25") / (1 + F.col("bm25"))).alias("cloud")))
+    near = v.where(F.size("embedding") == 64).select(F.col("vec_id").alias("doc_id"), V.cosine(F.col("embedding"), _query_vector(v)).alias("local")).where("local > 0.34")
+    hits = bm25(load(spark, sf_dir, "documents"), TERMS).select("doc_id", (F.col("bm25") / (8 + F.col("bm25"))).alias("cloud"))
+    return merge_answers(near, hits, most=2000)
 
 
 def q_text_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def q_text_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_tag_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part name as a tag against one query: whole name 1.0, a shared word 0.8, else the share of similar words times 0.6."""
-    query = ["small", "part", "12"]
+    query = ["small", "ring", "dge"]
     name = F.lower("p_name")
     words = F.filter(F.split(name, "[^a-z0-9]+"), lambda w: w != "")
     shared = F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in query])))
@@ -143,13 +143,13 @@ QUERIES = {
     "merged_answers": q_merged_answers, "text_filtered": q_text_filtered, "tag_match": q_tag_match, "time_ranges": q_time_ranges, "cache_stats": q_cache_stats, "page_counts": q_page_counts, "graph_nodes": q_graph_nodes, "markdown_sections": q_markdown_sections,
 }
 ORACLE_SQL = {
-    "merged_answers": f"""WITH {_terms_sql()}, near AS (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) AS l FROM embeddings WHERE len(embedding) = 64), n AS (SELECT * FROM near WHERE l > 0.2), c AS (SELECT doc_id, bm25 / (1 + bm25) AS c FROM scored),
+    "merged_answers": f"""WITH {_terms_sql()}, near AS (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) AS l FROM embeddings WHERE len(embedding) = 64), n AS (SELECT * FROM near WHERE l > 0.34), c AS (SELECT doc_id, bm25 / (8 + bm25) AS c FROM scored),
     m AS (SELECT coalesce(n.doc_id, c.doc_id) AS doc_id, round(CASE WHEN c IS NULL THEN 0.3 * l WHEN l IS NULL THEN 0.7 * c ELSE (0.3 * l + 0.7 * c) / 2 END, 6) AS score, CASE WHEN c IS NULL THEN 'Local' WHEN l IS NULL THEN 'Cloud' ELSE 'Both' END AS origin FROM n FULL OUTER JOIN c ON n.doc_id = c.doc_id)
-    SELECT * FROM m WHERE score >= 0.1 ORDER BY score DESC, doc_id LIMIT 20""",
+    SELECT * FROM m WHERE score >= 0.1 ORDER BY score DESC, doc_id LIMIT 2000""",
     "text_filtered": f"""WITH {_terms_sql()} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored JOIN documents USING (doc_id) WHERE (lang IN ('en', 'fr') OR source IN ('en', 'fr')) AND source NOT IN ('src3', 'src4') AND starts_with(source, 'src1') AND round(bm25, 6) >= 0.5 ORDER BY 2 DESC, doc_id LIMIT 50""",
     "tag_match": """WITH w AS (SELECT p_partkey, lower(p_name) AS name, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM part),
-    s AS (SELECT p_partkey, round(CASE WHEN contains('small part 12', name) OR contains(name, 'small part 12') THEN 1.0 WHEN len(list_intersect(words, ['small', 'part', '12'])) > 0 THEN 0.8
-      ELSE 0.6 * len(list_filter(words, lambda w: contains(w, 'small') OR contains(w, 'part') OR contains(w, '12'))) / greatest(len(words), 1) END, 6)::DOUBLE AS score FROM w) SELECT * FROM s WHERE score >= 0.3""",
+    s AS (SELECT p_partkey, round(CASE WHEN contains('small ring dge', name) OR contains(name, 'small ring dge') THEN 1.0 WHEN len(list_intersect(words, ['small', 'ring', 'dge'])) > 0 THEN 0.8
+      ELSE 0.6 * len(list_filter(words, lambda w: contains(w, 'small') OR contains(w, 'ring') OR contains(w, 'dge'))) / greatest(len(words), 1) END, 6)::DOUBLE AS score FROM w) SELECT * FROM s WHERE score >= 0.3""",
     "time_ranges": """WITH o AS (SELECT o_orderdate AS d, TIMESTAMP '1998-08-02 00:00:00' AS now FROM orders), h AS (SELECT 'Today' AS hint FROM o WHERE d > now - INTERVAL 1 DAY AND d <= now UNION ALL SELECT 'Yesterday' FROM o WHERE d > now - INTERVAL 2 DAY AND d <= now - INTERVAL 1 DAY
       UNION ALL SELECT 'ThisWeek' FROM o WHERE d > now - INTERVAL 7 DAY AND d <= now UNION ALL SELECT 'ThisMonth' FROM o WHERE d > now - INTERVAL 30 DAY AND d <= now UNION ALL SELECT 'Old' FROM o WHERE d <= now - INTERVAL 90 DAY) SELECT hint, count(*) AS n FROM h GROUP BY hint""",
     "cache_stats": """WITH e AS (SELECT user_id, props->>'$.k' AS key, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1, 2)

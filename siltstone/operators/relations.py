@@ -13,8 +13,8 @@ from siltstone.sources.tables import load
 
 GAP = 30 * 60
 DAY = 24 * 3600
-#: Point in time of all ages, so that results do not depend on the clock.
-AS_OF = "2025-06-01 00:00:00"
+#: Point in time of all ages, just behind the newest line, so that results do not depend on the clock.
+AS_OF = "2002-01-01 00:00:00"
 
 # Which feedback may follow which.
 TRANSITIONS = [
@@ -82,7 +82,7 @@ def score_edges(e: DataFrame, as_of: str = AS_OF) -> DataFrame:
 
 def q_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best edges of each source, rejected ones left out."""
-    e = score_edges(edges(spark, sf_dir).where("feedback <> 'Rejected'")).withColumn("score", F.round(F.col("score") * 1e9, 6))
+    e = score_edges(edges(spark, sf_dir).where("feedback <> 'Rejected'")).withColumn("score", F.round("score", 9))
     rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("score"), "target", "edge_order", "edge_line"))
     return e.withColumn("rank", rank.cast("long")).where("rank <= 10").select("source", "target", "score", "rank")
 
@@ -157,8 +157,8 @@ ORACLE_SQL = {
     "session_pairs": f"WITH {_sess(DAY)}, {_PAIRS} SELECT * FROM pairs",
     "co_accessed": f"WITH {_sess(DAY)}, {_PAIRS} SELECT CASE WHEN a = 7 THEN b ELSE a END AS file, co AS sessions FROM pairs WHERE a = 7 OR b = 7",
     "first_access": f"WITH {_sess(DAY)} SELECT user_id, session_no, file, min(ts) AS first_ts, row_number() OVER (PARTITION BY user_id, session_no ORDER BY min(ts), file) AS position FROM s WHERE file IS NOT NULL GROUP BY 1, 2, 3",
-    "related": f"""WITH {_EDGES}, d AS (SELECT *, round(1e9 * CASE feedback WHEN 'Confirmed' THEN least(1.0, 1.2 * strength) WHEN 'Adjusted' THEN user_strength ELSE strength END
-      * pow(0.99, greatest(0, floor(epoch(TIMESTAMP '{AS_OF}' - updated_at) / 86400))), 6) AS score FROM edges WHERE feedback <> 'Rejected')
+    "related": f"""WITH {_EDGES}, d AS (SELECT *, round(CASE feedback WHEN 'Confirmed' THEN least(1.0, 1.2 * strength) WHEN 'Adjusted' THEN user_strength ELSE strength END
+      * pow(0.99, greatest(0, floor(epoch(TIMESTAMP '{AS_OF}' - updated_at) / 86400))), 9) AS score FROM edges WHERE feedback <> 'Rejected')
     SELECT source, target, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, target, edge_order, edge_line) AS rank FROM d) WHERE rank <= 10""",
     "neighbours": f"WITH {_EDGES} SELECT target AS other, 'out' AS direction, strength FROM edges WHERE source = 5 UNION ALL SELECT source, 'in', strength FROM edges WHERE target = 5",
     "block_rules": f"""WITH {_EDGES}, pr AS (SELECT DISTINCT least(source, target) AS lo, greatest(source, target) AS hi FROM edges WHERE feedback = 'Rejected' AND edge_line = 1),

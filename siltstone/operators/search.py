@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,9 +12,10 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
-from siltstone.sources.tables import load
+from siltstone.sources.tables import file_extension, file_name, load
 
-TERMS = ["thtion", "attion", "thble"]
+#: One query for all searches: words of texts, of file names and of tags.
+TERMS = ["thtion", "attion", "thble", "md", "src3"]
 K1, B = 1.2, 0.75
 
 
@@ -22,20 +24,77 @@ def postings(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
+def counted_fields(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """(doc_id, length of each field, count of each term in it): text, file name and tags of every document.
+
+    The counts are dealt out by doc_id, so that a plan which reads them twice (for the totals and for the
+    scores) tokenises the texts once and reads the exchange again.
+    """
+    fields = [T.analysed(F.col("text")), T.analysed(file_name()), T.analysed(F.concat_ws(" ", "lang", "source"))]
+    split = docs.select("doc_id", *[f.alias(f"t{k}") for k, f in enumerate(fields)])
+    count = lambda k, t: F.size(F.filter(f"t{k}", lambda w: w == t))
+    cols = [F.size(f"t{k}").alias(f"dl{k}") for k in range(len(fields))] + [count(k, t).alias(f"tf{k}_{i}") for k in range(len(fields)) for i, t in enumerate(terms)]
+    return split.select("doc_id", *cols).repartition("doc_id")
+
+
 def bm25(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, bm25) of documents with any of the terms; texts are tokenised once and nothing but one row of totals is shuffled."""
-    count = lambda t: F.size(F.filter("toks", lambda w: w == t))
-    tf = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    counted = docs.select("doc_id", T.tokens(F.col("text")).alias("toks")).select("doc_id", F.size("toks").alias("dl"), *tf)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()
-    if not stats["n"]:
-        return counted.select("doc_id", F.lit(0.0).alias("bm25"))
+    """(doc_id, bm25) of documents with any of the terms, summed over terms and fields; nothing runs before an action.
+
+    Totals (documents, mean lengths, document frequencies) are one row, which every task gets.
+    """
+    counted, fields = counted_fields(docs, terms), range(3)
+    cells = [(k, i) for k in fields for i in range(len(terms))]
+    totals = counted.agg(F.count("*").alias("n"), *[F.greatest(F.avg(f"dl{k}"), F.lit(1e-9)).alias(f"avgdl{k}") for k in fields], *[F.count_if(F.col(f"tf{k}_{i}") > 0).alias(f"df{k}_{i}") for k, i in cells])
     score: Column = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = float(np.log(1 + (stats["n"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5)))
-        tf = F.col(f"tf{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / (stats["avgdl"] or 1.0)))
-    return counted.where(" OR ".join(f"tf{i} > 0" for i in range(len(terms)))).select("doc_id", score.alias("bm25"))
+    for k, i in cells:
+        tf, df = F.col(f"tf{k}_{i}"), F.col(f"df{k}_{i}")
+        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col(f"dl{k}") / F.col(f"avgdl{k}")))
+    return counted.crossJoin(F.broadcast(totals)).select("doc_id", score.alias("bm25")).where("bm25 > 0")
+
+
+@dataclass(frozen=True)
+class Filters:
+    """What a search may return; empty or None means any."""
+
+    file_types: tuple[str, ...] = ()
+    tags: tuple[str, ...] = ()
+    exclude_tags: tuple[str, ...] = ()
+    path_prefix: str | None = None
+    min_score: float = 0.3
+    exclude_private: bool = False
+
+    def keep(self, files: DataFrame) -> DataFrame:
+        """The doc_ids of files (doc_id, extension, path, tags, private) that may be returned."""
+        rule = F.lit(True)
+        if self.file_types:
+            rule = rule & T.file_type(F.col("extension")).isin(*self.file_types)
+        if self.tags:
+            rule = rule & (F.size(F.array_except(F.array(*[F.lit(x) for x in self.tags]), "tags")) == 0)
+        if self.exclude_tags:
+            rule = rule & ~F.arrays_overlap("tags", F.array(*[F.lit(x) for x in self.exclude_tags]))
+        if self.path_prefix:
+            rule = rule & F.col("path").startswith(self.path_prefix)
+        if self.exclude_private:
+            rule = rule & ~F.col("private")
+        return files.where(rule).select("doc_id")
+
+
+def request_filters(request: dict) -> Filters:
+    """A request's filters: unknown type names are dropped, tags are those that are words."""
+    types = dict.fromkeys(T.REQUEST_TYPES.get(str(x).lower()) for x in request.get("file_types") or [])
+    words = lambda key: tuple(x for x in request.get(key) or [] if isinstance(x, str) and re.fullmatch(r"\w+", x))
+    least = request.get("min_score")
+    return Filters(tuple(x for x in types if x), words("tags"), words("exclude_tags"), request.get("path_prefix") or None, 0.3 if least is None else float(least), bool(request.get("exclude_private", False)))
+
+
+def search_weights(vector: float, text: float, normalise: bool = False) -> tuple[float, float]:
+    """The two weights, which sum to 1 within 0.001, or are scaled so."""
+    if normalise and vector + text > 0:
+        vector, text = vector / (vector + text), text / (vector + text)
+    if abs(vector + text - 1) > 0.001:
+        raise ValueError(f"weights {vector} and {text} do not sum to 1")
+    return vector, text
 
 
 def _query_vector(vectors: DataFrame, vec_id: int = 0) -> Column:
@@ -74,36 +133,51 @@ def q_vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuse(vector_hits: DataFrame, text_hits: DataFrame, w_vector: float = 0.6, w_text: float = 0.4) -> DataFrame:
     """Full outer merge of (doc_id, vector) and (doc_id, text) hits, each scaled by its largest score.
 
-    Rows with both scores low (under 0.3 and 0.1) are dropped; a missing score passes.
+    Rows with both scores low (under 0.3 and 0.1) are dropped; a missing score passes.  The two largest
+    scores are one row, which every task gets.
     """
-    top = lambda df, c: df.agg(F.lit(c).alias("side"), F.max(c).cast("double").alias("top"))
-    tops = {r["side"]: r["top"] or 0 for r in top(vector_hits, "vector").unionByName(top(text_hits, "text")).collect()}  # two rows
-    v, t = (x if x > 0 else 1.0 for x in (tops["vector"], tops["text"]))
-    both = vector_hits.join(text_hits, "doc_id", "full_outer").select("doc_id", (F.col("vector") / v).alias("v"), (F.col("text") / t).alias("b"))
+    top = lambda df, c: df.agg(F.max(c).alias(f"top_{c}"))
+    tops = F.broadcast(top(vector_hits, "vector").crossJoin(top(text_hits, "text")))
+    scaled = lambda c: F.col(c) / F.when(F.col(f"top_{c}") > 0, F.col(f"top_{c}")).otherwise(1.0)
+    both = vector_hits.join(text_hits, "doc_id", "full_outer").crossJoin(tops).select("doc_id", scaled("vector").alias("v"), scaled("text").alias("b"))
     both = both.where("v IS NULL OR v >= 0.3 OR b IS NULL OR b >= 0.1")
     origin = F.when(F.col("v").isNull(), "BM25").when(F.col("b").isNull(), "Vector").otherwise("Both")
     return both.select("doc_id", origin.alias("origin"), F.round(w_vector * F.coalesce("v", F.lit(0.0)) + w_text * F.coalesce("b", F.lit(0.0)), 6).alias("score"))
 
 
+def boost(words: list[str]) -> Column:
+    """Boost of a hit (name, tags): its file name holds the query (x 1.5) or a query word (x 1.1 each), a tag holds one (x 1.2 each)."""
+    whole = F.when(F.col("name").contains("_".join(words)), 1.5).otherwise(1.0)
+    return whole * F.pow(F.lit(1.1), sum(F.when(F.col("name").contains(w), 1).otherwise(0) for w in words)) * F.pow(F.lit(1.2), F.size(F.filter("tags", lambda t: T.contains_any(t, words))))
+
+
+HYBRID = request_filters({"file_types": ["txt", "docx", "image", "code", "pdf", "nonsense"], "exclude_tags": ["src4"], "path_prefix": "/src", "min_score": 0.05})
+
+
 def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filters go to both sides, each side's best 200 are merged, boosted and sorted again; the best 100 stay."""
     docs, vecs = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings")
-    near = vecs.where(F.size("embedding") == 64).select(F.col("vec_id").alias("doc_id"), V.cosine(F.col("embedding"), _query_vector(vecs)).alias("vector"))
-    return fuse(near, bm25(docs, TERMS).withColumnRenamed("bm25", "text")).orderBy(F.desc("score"), "doc_id").limit(100)
+    files = docs.select("doc_id", file_extension().alias("extension"), F.concat(F.lit("/"), "source").alias("path"), F.array("lang", "source").alias("tags"), F.lit(False).alias("private"))
+    may = HYBRID.keep(files)
+    asked = F.broadcast(vecs.where("vec_id = 0").select(F.col("embedding").alias("asked")).limit(1))
+    near = vecs.where(F.size("embedding") == 64).crossJoin(asked).select(F.col("vec_id").alias("doc_id"), V.cosine(F.col("embedding"), F.col("asked")).alias("vector"))
+    near = near.join(may, "doc_id", "left_semi").orderBy(F.desc("vector"), "doc_id").limit(200)
+    hits = bm25(docs, TERMS).withColumnRenamed("bm25", "text").join(may, "doc_id", "left_semi").orderBy(F.desc("text"), "doc_id").limit(200)
+    merged = fuse(near, hits).join(docs.select("doc_id", file_name().alias("name"), F.array("lang", "source").alias("tags")), "doc_id")
+    scored = merged.select("doc_id", "origin", F.round(F.col("score") * boost(TERMS), 6).alias("score")).where(F.col("score") >= HYBRID.min_score)
+    return scored.orderBy(F.desc("score"), "doc_id").limit(100)
 
 
 def q_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boost of a hit whose file name holds the query (x 1.5), a query word (x 1.1 each) or whose tag holds one (x 1.2)."""
-    words = ["doc", "12"]
     d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.array("lang", "source").alias("tags"))
-    boost = F.when(F.col("name").contains("doc_12"), 1.5).otherwise(1.0) * F.pow(F.lit(1.1), sum(F.when(F.col("name").contains(w), 1).otherwise(0) for w in words))
-    return d.select("doc_id", F.round(boost * F.pow(F.lit(1.2), F.size(F.filter("tags", lambda t: T.contains_any(t, words)))), 6).alias("boost"))
+    return d.select("doc_id", F.round(boost(["doc", "12"]), 6).alias("boost"))
 
 
 def q_search_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third page of 20 with the total and whether more follow."""
     hits = bm25(load(spark, sf_dir, "documents"), TERMS).withColumn("bm25", F.round("bm25", 6))
-    total = hits.count()
-    return hits.orderBy(F.desc("bm25"), "doc_id").offset(40).limit(20).select("doc_id", "bm25", F.lit(total).cast("long").alias("total"), F.lit(total > 60).alias("has_more"))
+    total = F.broadcast(hits.agg(F.count("*").alias("total")))
+    return hits.orderBy(F.desc("bm25"), "doc_id").offset(40).limit(20).crossJoin(total).select("doc_id", "bm25", "total", (F.col("total") > 60).alias("has_more"))
 
 
 def similar_vectors(vectors: DataFrame, k: int, least: float, tile: int = 4096) -> DataFrame:
@@ -128,6 +202,9 @@ def similar_vectors(vectors: DataFrame, k: int, least: float, tile: int = 4096)
         s = np.round(np.divide(x @ y.T, norm, out=np.zeros_like(norm), where=norm > 0), 6)
         ids = b["vec_id"].to_numpy()
         s[a["vec_id"].to_numpy()[:, None] == ids[None, :]] = -2
+        if s.shape[1] > k:  # only columns that may be among some row's best k are sorted, ties with the k-th too
+            near = np.flatnonzero((s >= np.partition(s, -k, axis=1)[:, -k, None]).any(0))
+            s, ids = s[:, near], ids[near]
         order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
         out = pd.DataFrame({"query_id": np.repeat(a["vec_id"].to_numpy(), order.shape[1]), "vec_id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
         return out[out["score"] >= least]
@@ -141,12 +218,26 @@ def q_similar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(load(spark, sf_dir, "embeddings"), 10, 0.2)
 
 
+_NAME = "'doc_' || doc_id || '.' || (['txt','md','pdf','docx','xlsx','png','mp4','mp3','py','stl','zip','dat'])[doc_id % 12 + 1]"
+
+
 def _terms_sql() -> str:
-    cols = ", ".join(f"len(list_filter(toks, lambda w: w = '{t}')) AS tf{i}" for i, t in enumerate(TERMS))
-    one = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * {K1 + 1} / (tf{i} + {K1} * (1 - {B} + {B} * dl / avgdl))" for i in range(len(TERMS)))
-    return f"""counted AS (SELECT doc_id, len(toks) AS dl, {cols} FROM (SELECT doc_id, regexp_extract_all(lower(text), '{T.WORD}') AS toks FROM documents)),
-    stats AS (SELECT count(*) AS n, avg(dl) AS avgdl, {', '.join(f'count(*) FILTER (tf{i} > 0) AS df{i}' for i in range(len(TERMS)))} FROM counted),
-    scored AS (SELECT doc_id, {one} AS bm25 FROM counted, stats WHERE {' OR '.join(f'tf{i} > 0' for i in range(len(TERMS)))})"""
+    fields = ["coalesce(text, '')", _NAME, "lang || ' ' || source"]
+    cells = [(k, i) for k in range(3) for i in range(len(TERMS))]
+    split = ", ".join(f"list_filter(regexp_extract_all(lower({f}), '{T.WORD}'), lambda w: strlen(w) <= 40) AS t{k}" for k, f in enumerate(fields))
+    cols = ", ".join([f"len(t{k}) AS dl{k}" for k in range(3)] + [f"len(list_filter(t{k}, lambda w: w = '{TERMS[i]}')) AS tf{k}_{i}" for k, i in cells])
+    one = " + ".join(f"ln(1 + (n - df{k}_{i} + 0.5) / (df{k}_{i} + 0.5)) * tf{k}_{i} * {K1 + 1} / (tf{k}_{i} + {K1} * (1 - {B} + {B} * dl{k} / avgdl{k}))" for k, i in cells)
+    means = ", ".join(f"greatest(avg(dl{k}), 1e-9) AS avgdl{k}" for k in range(3))
+    counts = ", ".join(f"count(*) FILTER (tf{k}_{i} > 0) AS df{k}_{i}" for k, i in cells)
+    return f"""counted AS (SELECT doc_id, {cols} FROM (SELECT doc_id, {split} FROM documents)),
+    stats AS (SELECT count(*) AS n, {means}, {counts} FROM counted),
+    scored AS (SELECT doc_id, {one} AS bm25 FROM counted, stats WHERE {' OR '.join(f'tf{k}_{i} > 0' for k, i in cells)})"""
+
+
+def _boost_sql(words: list[str]) -> str:
+    has = lambda c: "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")::INT"
+    each = " + ".join(f"contains(name, '{w}')::INT" for w in words)
+    return f"CASE WHEN contains(name, '{'_'.join(words)}') THEN 1.5 ELSE 1.0 END * pow(1.1, {each}) * pow(1.2, {has('lang')} + {has('source')})"
 
 
 _Q = "CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[])"
@@ -165,12 +256,16 @@ QUERIES = {
     "similar_files": q_similar_files,
 }
 ORACLE_SQL = {
-    "hybrid_search": f"""WITH {_terms_sql()}, near AS (SELECT vec_id AS doc_id, list_cosine_similarity({_E}, {_Q}) AS vector FROM embeddings WHERE len(embedding) = 64),
-    top AS (SELECT (SELECT max(vector) FROM near) AS v, (SELECT max(bm25) FROM scored) AS t),
-    merged AS (SELECT coalesce(near.doc_id, scored.doc_id) AS doc_id, vector / CASE WHEN top.v > 0 THEN top.v ELSE 1 END AS v, bm25 / CASE WHEN top.t > 0 THEN top.t ELSE 1 END AS b
-      FROM near FULL OUTER JOIN scored ON near.doc_id = scored.doc_id, top)
-    SELECT doc_id, CASE WHEN v IS NULL THEN 'BM25' WHEN b IS NULL THEN 'Vector' ELSE 'Both' END AS origin, round(0.6 * coalesce(v, 0) + 0.4 * coalesce(b, 0), 6) AS score
-    FROM merged WHERE v IS NULL OR v >= 0.3 OR b IS NULL OR b >= 0.1 ORDER BY score DESC, doc_id LIMIT 100""",
+    "hybrid_search": f"""WITH {_terms_sql()}, files AS (SELECT doc_id, lang, source, {_NAME} AS name FROM documents),
+    may AS (SELECT doc_id FROM files WHERE doc_id % 12 IN (0, 2, 3, 4, 5, 8, 1) AND lang <> 'src4' AND source <> 'src4' AND starts_with('/' || source, '/src')),
+    near AS (SELECT vec_id AS doc_id, list_cosine_similarity({_E}, {_Q}) AS vector FROM embeddings WHERE len(embedding) = 64 AND vec_id IN (SELECT doc_id FROM may) ORDER BY vector DESC, vec_id LIMIT 200),
+    hits AS (SELECT doc_id, bm25 FROM scored WHERE doc_id IN (SELECT doc_id FROM may) ORDER BY bm25 DESC, doc_id LIMIT 200),
+    top AS (SELECT (SELECT max(vector) FROM near) AS v, (SELECT max(bm25) FROM hits) AS t),
+    merged AS (SELECT coalesce(near.doc_id, hits.doc_id) AS doc_id, vector / CASE WHEN top.v > 0 THEN top.v ELSE 1 END AS v, bm25 / CASE WHEN top.t > 0 THEN top.t ELSE 1 END AS b
+      FROM near FULL OUTER JOIN hits ON near.doc_id = hits.doc_id, top),
+    fused AS (SELECT doc_id, CASE WHEN v IS NULL THEN 'BM25' WHEN b IS NULL THEN 'Vector' ELSE 'Both' END AS origin, round(0.6 * coalesce(v, 0) + 0.4 * coalesce(b, 0), 6) AS score
+      FROM merged WHERE v IS NULL OR v >= 0.3 OR b IS NULL OR b >= 0.1)
+    SELECT * FROM (SELECT doc_id, origin, round(score * {_boost_sql(TERMS)}, 6) AS score FROM fused JOIN files USING (doc_id)) WHERE score >= 0.05 ORDER BY score DESC, doc_id LIMIT 100""",
     "postings": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS term FROM documents) GROUP BY ALL",
     "bm25_topk": f"WITH {_terms_sql()} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored ORDER BY 2 DESC, doc_id LIMIT 50",
     "knn_cosine": f"SELECT vec_id, round(list_cosine_similarity({_E}, {_Q}), 6) AS score FROM embeddings WHERE len(embedding) = 64 ORDER BY score DESC, vec_id LIMIT 20",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
@@ -80,14 +80,17 @@ def auto_tags(files: DataFrame) -> DataFrame:
 
     At most five are assigned, the type tag included; confidence is base + 0.05 a keyword found, at most 1.
     """
-    low = F.lower("text")
-    rules = [F.struct(F.lit(name).alias("tag"), F.least(F.lit(1.0), F.lit(base) + 0.05 * T.count_contained(low, words)).alias("confidence"), (T.count_contained(low, words) > 0).alias("hit"), F.lit(i + 1).alias("rule")) for i, (name, base, words) in enumerate(T.KEYWORD_TAGS)]
-    kind = F.struct(T.type_tag(F.col("extension")).alias("tag"), F.lit(1.0).alias("confidence"), F.lit(True).alias("hit"), F.lit(0).alias("rule"))
-    tags = files.select("doc_id", F.explode(F.filter(F.array(kind, *rules), lambda r: r["hit"])).alias("r")).select("doc_id", "r.tag", F.round("r.confidence", 6).alias("confidence"), "r.rule")
-    tags = tags.withColumn("pending", (T.sensitivity(F.col("tag")) > 0) & (F.col("rule") > 0))
-    order = Window.partitionBy("doc_id").orderBy(F.col("rule") > 0, F.desc("confidence"), "rule")
-    tags = tags.withColumn("assigned", F.sum(F.when(~F.col("pending"), 1).otherwise(0)).over(order))
-    return tags.where("pending OR assigned <= 5").select("doc_id", "tag", "confidence", F.when(F.col("pending"), "pending").otherwise("assigned").alias("status"))
+    files = files.withColumn("low", F.lower(F.coalesce("text", F.lit("")))).drop("text")
+    found = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains("low", w)))
+    files = files.select("doc_id", "extension", *[found(words).alias(f"n{i}") for i, (_, _, words) in enumerate(T.KEYWORD_TAGS)])
+    # sorted by confidence, then by the order of the rules
+    rules = [F.struct((-F.round(F.least(F.lit(1.0), F.lit(base) + 0.05 * F.col(f"n{i}")), 6)).alias("order"), F.lit(i + 1).alias("rule"), F.lit(name).alias("tag"), (T.sensitivity(F.lit(name)) > 0).alias("pending"), (F.col(f"n{i}") > 0).alias("hit")) for i, (name, base, _) in enumerate(T.KEYWORD_TAGS)]
+    tags = files.select("doc_id", "extension", F.array_sort(F.filter(F.array(*rules), lambda r: r["hit"])).alias("tags"))
+    row = lambda r, status: F.struct(r["tag"].alias("tag"), (-r["order"]).alias("confidence"), F.lit(status).alias("status"))
+    kind = F.array(F.struct(T.type_tag(F.col("extension")).alias("tag"), F.lit(1.0).alias("confidence"), F.lit("assigned").alias("status")))
+    sure = F.transform(F.slice(F.filter("tags", lambda r: ~r["pending"]), 1, 4), lambda r: row(r, "assigned"))
+    held = F.transform(F.filter("tags", lambda r: r["pending"]), lambda r: row(r, "pending"))
+    return tags.select("doc_id", F.explode(F.concat(kind, sure, held)).alias("r")).select("doc_id", "r.tag", "r.confidence", "r.status")
 
 
 def q_auto_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -213,7 +216,7 @@ ORACLE_SQL = {
     SELECT doc_id, tag, confidence, CASE WHEN pending THEN 'pending' ELSE 'assigned' END AS status FROM a WHERE pending OR assigned <= 5""",
     "highlights": "SELECT item_id, i - 1 AS start FROM (SELECT item_id, lower(text) AS low, unnest(range(1, greatest(length(text) - 1, 2))) AS i FROM benchmark) WHERE substring(low, i, 3) = 'ion'",
     "snippet": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE contains(text, 'thtion')), p AS (SELECT *, list_position(list_transform(lines, lambda x: contains(x, 'thtion')), true) AS pos FROM l)
-    SELECT doc_id, CAST(pos AS BIGINT) AS line, substring(array_to_string(lines[greatest(pos - 3, 1):pos + 3], chr(10)), 1, 500) AS snippet FROM p""",
+    SELECT doc_id, CAST(pos AS BIGINT) AS line, array_to_string(lines[greatest(pos - 3, 1):pos + 3], chr(10)) AS snippet FROM p""",
     "human_size": """WITH s AS (SELECT doc_id, text, n_chars * 1000 AS n FROM documents)
     SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', round(n / 1073741824.0, 2)) WHEN n >= 1048576 THEN printf('%.2f MB', round(n / 1048576.0, 2)) WHEN n >= 1024 THEN printf('%.2f KB', round(n / 1024.0, 2)) ELSE n || ' B' END AS size, sha256(text) AS content_hash FROM s""",
     "token_windows": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),

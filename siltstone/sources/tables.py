@@ -12,8 +12,16 @@ SCHEMAS = {
 }
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores if it comes in fewer partitions than there are cores, as one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder; texts, which take time to read through, are spread over all cores."""
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in ("documents", "pages") else table
 
 
 def compatible(df: DataFrame, schema: StructType) -> bool:
@@ -22,12 +30,19 @@ def compatible(df: DataFrame, schema: StructType) -> bool:
     return all(have.get(f.name) == f.dataType for f in schema.fields)
 
 
+def file_extension() -> Column:
+    extensions = F.array(*[F.lit(x) for x in ("txt", "md", "pdf", "docx", "xlsx", "png", "mp4", "mp3", "py", "stl", "zip", "dat")])
+    return F.element_at(extensions, (F.pmod("doc_id", F.lit(12)) + 1).cast("int"))
+
+
+def file_name() -> Column:
+    return F.concat(F.lit("doc_"), F.col("doc_id"), F.lit("."), file_extension())
+
+
 def documents_as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file table: each document is a text file whose extension follows its id."""
-    extensions = F.array(*[F.lit(x) for x in ("txt", "md", "pdf", "docx", "xlsx", "png", "mp4", "mp3", "py", "stl", "zip", "dat")])
     d = load(spark, sf_dir, "documents")
-    ext = F.element_at(extensions, (F.pmod("doc_id", F.lit(12)) + 1).cast("int"))
-    name = F.concat(F.lit("doc_"), F.col("doc_id"), F.lit("."), ext)
+    ext, name = file_extension(), file_name()
     return d.select("doc_id", name.alias("filename"), ext.alias("extension"), F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), name).alias("path"), F.col("n_chars").alias("size_bytes"), "text")
 
 
