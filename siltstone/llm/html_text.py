@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import load
+
 from .storage import modest_batches
 
 WINDOW = 3
@@ -362,5 +364,5 @@ def extract_text(pages: DataFrame, html_col: str = "html", text_col: str = "text
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    out = extract_text(load(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from siltstone.sources.tables import load
+
 from .kernel import Slab, inverses, mix, powers, slabs
 from .skew import join_counted
 from .storage import modest_batches, stored
@@ -235,6 +237,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = dedup_lines(load(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.concat_ws(" ", F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed_spans"))

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import load
+
 from .components import components, least_labels
 from .kernel import Slab, mix, slabs
 from .skew import join_counted
@@ -267,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(load(spark, sf_dir, "documents"))
 
 
 OP8_SQL = r"""

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from siltstone.sources.tables import load
+
 from .storage import modest_batches
 
 #: Where queries look for the key.  Without it they use one that is no secret, which suits synthetic tables alone.
@@ -292,6 +294,6 @@ def session_key(spark: SparkSession) -> bytes:
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), session_key(spark))
+    out = pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.transform("private", lambda p: p["kind"]), " ")
     return out.select("doc_id", "text", F.size("private").cast("long").alias("n_private"), kinds.alias("kinds"))

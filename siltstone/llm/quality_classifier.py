@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from siltstone.sources.tables import load
+
 from .kernel import Slab, slabs
 from .quality_rules import labelled_sample
 
@@ -154,6 +156,6 @@ def classify(docs: DataFrame, model: Attention, text_col: str = "text", score_co
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (load(spark, sf_dir, t) for t in ("documents", "labels"))
     scored = classify(docs.select("doc_id", "text"), fit_classifier(docs, labels))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"))

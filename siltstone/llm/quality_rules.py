@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import load
+
 from .kernel import Slab, slabs
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -189,5 +191,5 @@ def apply_rules(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_co
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (load(spark, sf_dir, t) for t in ("documents", "labels"))
     return apply_rules(docs, fit_rules(docs, labels))

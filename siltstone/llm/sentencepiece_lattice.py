@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import load
+
 from .storage import modest_batches, stored
 
 MARK = "▁"
@@ -215,5 +217,5 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), model)
+    coded = encode(load(spark, sf_dir, "documents"), model)
     return decode(coded, model, text_col="decoded").withColumn("decoded_crc32", F.crc32("decoded")).drop("decoded")

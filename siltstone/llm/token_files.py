@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.tables import load
+
 from .storage import modest_batches, scratch, stored
 from .tokens import Encoder, encoder, with_end
 
@@ -244,5 +246,5 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     to = scratch(spark, "token-files")
-    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), to)
+    write_token_files(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), to)
     return read_token_files(spark, to)
