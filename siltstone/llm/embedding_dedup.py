@@ -25,7 +25,7 @@ from .near_join import whole_groups
 from .storage import modest_batches, stored
 
 #: Vectors of a tile, at most, and components of all its vectors.
-TILE, TILE_COMPONENTS = 8192, 1 << 22
+TILE, TILE_COMPONENTS = 4096, 1 << 22
 ROWS = 512
 PAIRS = 1 << 16
 
