@@ -135,15 +135,15 @@ def q_page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_chunks(load(spark, sf_dir, "documents"))
 
 
-def debounce(events: DataFrame, seconds: float) -> DataFrame:
-    """Event ids that stay: one less than ``seconds`` after the last kept event of its user and type goes.
+def windows_from_first(events: DataFrame, key: list[str], seconds: float) -> DataFrame:
+    """(event_id, position) of each event in its window: a window starts at the first event of its key that comes
+    ``seconds`` or more after the start of the window before.
 
-    What stays depends on what was kept, so events are folded in order.  An event ``seconds`` or more after
-    the event before it stays for certain, so each (user, type) is cut there and the pieces are folded
-    apart, row by row; a task keeps one timestamp.  Events without a time go.
+    Where a window starts depends on those before, so events are folded in order.  An event ``seconds`` or
+    more after the event before it starts one for certain, so each key is cut there and the pieces are folded
+    apart, row by row; a task keeps one timestamp and a count.  Events without a time go.
     """
     limit = round(seconds * 1_000_000)
-    key = ["user_id", "event_type"]
     order = Window.partitionBy(*key).orderBy("us", "event_id")
     rows = events.where("ts IS NOT NULL").select(*key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     rows = rows.withColumn("before", F.lag("us").over(order)).withColumn("cut", F.col("before").isNull() | (F.col("us") - F.col("before") >= limit))
@@ -151,23 +151,38 @@ def debounce(events: DataFrame, seconds: float) -> DataFrame:
     rows = rows.repartition(*key, "piece").sortWithinPartitions(*key, "piece", "us", "event_id").select("event_id", "us", "cut")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = 0
+        start = n = 0
         for b in batches:
-            kept = []
-            for i, (t, cut) in enumerate(zip(b.column("us").to_pylist(), b.column("cut").to_pylist())):
-                if cut or t - last >= limit:
-                    kept.append(i)
-                    last = t
-            yield pa.RecordBatch.from_arrays([b.column("event_id").take(pa.array(kept, pa.int64()))], ["event_id"])
+            position = []
+            for t, cut in zip(b.column("us").to_pylist(), b.column("cut").to_pylist()):
+                if cut or t - start >= limit:
+                    start, n = t, 0
+                n += 1
+                position.append(n)
+            yield pa.RecordBatch.from_arrays([b.column("event_id"), pa.array(position, pa.int64())], ["event_id", "position"])
+
+    return rows.mapInArrow(fold, f"event_id {dict(events.dtypes)['event_id']}, position long")
+
 
-    return rows.mapInArrow(fold, f"event_id {dict(events.dtypes)['event_id']}")
+def debounce(events: DataFrame, seconds: float) -> DataFrame:
+    """Event ids that stay: one less than ``seconds`` after the last kept event of its user and type goes."""
+    return windows_from_first(events, ["user_id", "event_type"], seconds).where("position = 1").select("event_id")
 
 
 def q_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debounce(load(spark, sf_dir, "events"), 6 * 3600)
 
 
-QUERIES = {"chunks": q_chunks, "page_chunks": q_page_chunks, "chunk_coverage": q_chunk_coverage, "paragraph_of_hit": q_paragraph_of_hit, "debounce": q_debounce}
+def q_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two requests of a user are allowed in each window of twelve hours; a window starts at the first request after the one before ended."""
+    return windows_from_first(load(spark, sf_dir, "events"), ["user_id"], 12 * 3600).select("event_id", (F.col("position") <= 2).alias("allowed"))
+
+
+QUERIES = {"rate_limited": q_rate_limited, "chunks": q_chunks, "page_chunks": q_page_chunks, "chunk_coverage": q_chunk_coverage, "paragraph_of_hit": q_paragraph_of_hit, "debounce": q_debounce}
 ORACLE_SQL = {
+    "rate_limited": """WITH RECURSIVE w AS (SELECT user_id, min(ts) AS start FROM events GROUP BY 1
+      UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 12 HOUR GROUP BY w.user_id, w.start),
+    p AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.user_id, w.start ORDER BY e.ts, e.event_id) AS r FROM events e JOIN w ON w.user_id = e.user_id AND e.ts >= w.start AND e.ts < w.start + INTERVAL 12 HOUR)
+    SELECT event_id, r <= 2 AS allowed FROM p""",
     "paragraph_of_hit": "SELECT doc_id, hit - 1 AS hit, CAST(length(substring(text, 1, hit - 1)) - length(replace(substring(text, 1, hit - 1), chr(10), '')) AS BIGINT) AS line FROM (SELECT *, instr(text, 'thtion') AS hit FROM documents) WHERE hit > 0",
 }

@@ -51,13 +51,6 @@ def q_recent_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
 
 
-def q_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests of a user in a 60-second window beyond the first are refused."""
-    e = load(spark, sf_dir, "events").withColumn("bucket", F.floor(F.unix_timestamp("ts") / 60))
-    order = Window.partitionBy("user_id", "bucket").orderBy("ts", "event_id")
-    return e.withColumn("r", F.row_number().over(order)).select("event_id", (F.col("r") <= 1).alias("allowed"))
-
-
 def q_state_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events at which a user's state (event type) differs from the one before."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -114,7 +107,7 @@ def q_export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TASKS = "t AS (SELECT o_orderkey AS task_id, least(3, 5 - CAST(substring(o_orderpriority, 1, 1) AS INT)) AS priority, CAST(o_orderkey % 8 AS INT) AS retry_count, CASE WHEN o_orderkey % 8 > 0 THEN o_orderdate END AS next_retry_at, o_orderstatus AS error, o_orderdate FROM orders)"
 
 QUERIES = {
-    "metric_stats": q_metric_stats, "metric_pivot": q_metric_pivot, "counter": q_counter, "last_samples": q_last_samples, "monthly_cost": q_monthly_cost, "recent_usage": q_recent_usage, "rate_limited": q_rate_limited, "state_changes": q_state_changes,
+    "metric_stats": q_metric_stats, "metric_pivot": q_metric_pivot, "counter": q_counter, "last_samples": q_last_samples, "monthly_cost": q_monthly_cost, "recent_usage": q_recent_usage, "state_changes": q_state_changes,
     "sampled_events": q_sampled_events, "scheduler_pick": q_scheduler_pick, "retry_plan": q_retry_plan, "dead_letters": q_dead_letters, "newest_dead_letters": q_newest_dead_letters, "export_json": q_export_json,
 }
 ORACLE_SQL = {
@@ -126,7 +119,6 @@ ORACLE_SQL = {
     "monthly_cost": """WITH o AS (SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS month, CAST(floor(o_totalprice) AS BIGINT) AS tokens, CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderstatus WHEN 'O' THEN 375 WHEN 'F' THEN 625 ELSE 500 END AS nano FROM orders)
     SELECT month, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens, round(sum(nano) / 1e9, 6) AS cost, sum(nano) / 1e9 >= 10 AS limit_reached FROM o GROUP BY 1""",
     "recent_usage": "SELECT o_orderkey, o_orderdate, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
-    "rate_limited": "SELECT event_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 60000000 ORDER BY ts, event_id) <= 1 AS allowed FROM events",
     "state_changes": "SELECT event_id, user_id, was, event_type AS now FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was <> event_type",
     "scheduler_pick": f"WITH {_TASKS} SELECT task_id, priority FROM t WHERE retry_count < 5 AND (next_retry_at IS NULL OR next_retry_at <= TIMESTAMP '1995-06-01') ORDER BY priority DESC, next_retry_at NULLS FIRST, task_id LIMIT 10",
     "dead_letters": f"WITH {_TASKS} SELECT error, count(*) AS n, min(o_orderdate) AS oldest, max(o_orderdate) AS newest, round(count(*) / 1000.0, 6)::DOUBLE AS utilisation FROM t WHERE retry_count >= 5 GROUP BY 1",

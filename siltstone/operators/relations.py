@@ -42,11 +42,14 @@ def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_pairs(accesses: DataFrame) -> DataFrame:
-    """(a, b, co, strength) of files opened in one session: min(1, 0.3 + 0.1 (co - 1))."""
+    """(a, b, co, strength) of files opened in one session: min(1, 0.3 + 0.1 (co - 1)).
+
+    Sessions are joined with themselves, so that no row holds a session and a long one is split like any skewed key.
+    """
     opened = accesses.where("file IS NOT NULL").select("user_id", "session_no", "file").distinct()
-    grouped = opened.groupBy("user_id", "session_no").agg(F.sort_array(F.collect_set("file")).alias("files")).where(F.size("files") > 1)
-    pairs = grouped.select(F.explode(F.flatten(F.transform("files", lambda a, i: F.transform(F.filter("files", lambda x: x > a), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("co")).withColumn("strength", F.round(F.least(F.lit(1.0), 0.3 + 0.1 * (F.col("co") - 1)), 6))
+    other = opened.withColumnRenamed("file", "b")
+    pairs = opened.withColumnRenamed("file", "a").join(other, ["user_id", "session_no"]).where("a < b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("co")).withColumn("strength", F.round(F.least(F.lit(1.0), 0.3 + 0.1 * (F.col("co") - 1)), 6))
 
 
 def q_session_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
