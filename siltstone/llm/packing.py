@@ -25,7 +25,8 @@ from siltstone.sources.tables import load
 from .storage import modest_batches, stored
 from .tokens import encoder, with_end
 
-SALTS = 64
+#: Tasks of a length at least, and pieces of one at most.
+SALTS, SALT_ROWS = 64, 1_000_000
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -176,19 +177,30 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     spark = docs.sparkSession
     modest_batches(spark)
     table = stored(pieces(docs, tokenizer, id_col, text_col, end_id, size), "pieces")
-    salted = table.withColumn("salt", F.pmod(F.xxhash64(F.col("id").cast("string"), "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()  # at most size * SALTS rows
-    cell = np.zeros((size + 1, SALTS), np.int64)
-    cell[counts["length"].to_numpy(np.int64), counts["salt"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast((plan(cell.sum(1), size), np.cumsum(cell, 1) - cell))  # bounded by the number of patterns
+    found = table.groupBy("length").agg(F.count("*").alias("n")).toPandas()  # at most size rows
+    histogram = np.zeros(size + 1, np.int64)
+    histogram[found["length"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    salts = np.maximum(SALTS, -(-histogram // SALT_ROWS))
+    often = np.flatnonzero(salts > SALTS).tolist()
+    many = F.lit(SALTS)
+    if often:
+        many = F.coalesce(F.create_map(*[F.lit(x) for k in often for x in (k, int(salts[k]))])[F.col("length").cast("int")], many)
+    salted = table.withColumn("salt", F.pmod(F.xxhash64(F.col("id").cast("string"), "piece", "ids_crc32"), many).cast("int"))
+    counts = salted.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas()  # a row a cell: at most SALTS a length, or one for SALT_ROWS pieces
+    base = np.cumsum(salts) - salts  # first cell of each length
+    cell = np.zeros(int(salts.sum()), np.int64)
+    cell[base[counts["length"].to_numpy(np.int64)] + counts["salt"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    ahead = np.cumsum(cell) - cell
+    ahead -= np.repeat(ahead[base], salts)
+    shared = spark.sparkContext.broadcast((plan(histogram, size), base, ahead))  # bounded by the patterns and cells
     ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "piece", "ids_crc32")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen, before = shared.value
+        chosen, base, ahead = shared.value
         for b in batches:
             if b.num_rows:
                 length, salt, rank = (b.column(k).to_numpy() for k in ("length", "salt", "rank"))
-                sequence, offset = chosen.place(length, rank - 1 + before[length, salt])
+                sequence, offset = chosen.place(length, rank - 1 + ahead[base[length] + salt])
                 yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = dict(table.dtypes)["id"]

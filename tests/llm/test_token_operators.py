@@ -94,7 +94,10 @@ def test_plan_places_every_piece_once(lengths):
     assert p.sequences <= low * 1.3 + 2
 
 
-def test_pack_documents(odd, empty):
+@pytest.mark.parametrize("rows", [packing.SALT_ROWS, 1])
+def test_pack_documents(odd, empty, monkeypatch, rows):
+    monkeypatch.setattr(packing, "SALT_ROWS", rows)  # with 1 a frequent length is dealt to more tasks
+    monkeypatch.setattr(packing, "SALTS", 2)
     got = packing.pack_documents(odd, BPE).toPandas()
     assert len(got.groupby("sequence_id").length.sum()) and got.groupby("sequence_id").length.sum().max() <= 2048
     g = got.sort_values(["sequence_id", "offset"])
