@@ -55,6 +55,31 @@ TYPE_TAGS = {
     "Code": ["rs", "py", "js", "ts", "java", "cpp", "c", "go"],
     "Archives": ["zip", "rar", "7z", "tar", "gz"],
 }
+# Colour and icon of each type tag.
+TAG_COLOURS = {
+    "Documents": "#E53935",
+    "Spreadsheets": "#43A047",
+    "Presentations": "#FB8C00",
+    "Text": "#757575",
+    "Images": "#8E24AA",
+    "Videos": "#D81B60",
+    "Audio": "#00ACC1",
+    "Code": "#1E88E5",
+    "Archives": "#6D4C41",
+    "Other": "#808080",
+}
+TAG_ICONS = {
+    "Documents": "📄",
+    "Spreadsheets": "📊",
+    "Presentations": "📽️",
+    "Text": "📝",
+    "Images": "🖼️",
+    "Videos": "🎬",
+    "Audio": "🎵",
+    "Code": "💻",
+    "Archives": "📦",
+    "Other": "📁",
+}
 KEYWORD_TAGS = [
     ("Work", 0.7, ["work", "project", "meeting", "deadline", "report"]),
     ("Personal", 0.7, ["personal", "family", "vacation", "birthday"]),
@@ -204,6 +229,27 @@ def path_filter(path: Column, whitelist: list[str], blacklist: list[str], max_de
     return F.when(hit(whitelist), "Include").when(hit(blacklist), "Blacklisted").when(F.size(F.split(p, "/")) > max_depth, "TooDeep").otherwise("Include")
 
 
+def named(name: Column, table: dict[str, str]) -> Column:
+    """The value of a name in a small table of constants."""
+    return F.element_at(F.create_map(*[F.lit(x) for row in table.items() for x in row]), name)
+
+
+def truncated(text: Column, most: int) -> Column:
+    """At most ``most`` (6 or more) bytes of UTF-8: a longer text loses its end to "...", between two characters."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda at: F.hex(F.substring(raw, at + 1, 1)).between("80", "BF")
+    end = most - 3
+    # a character has at most three bytes after its first
+    cut = F.when(~inside(end), end).when(~inside(end - 1), end - 1).when(~inside(end - 2), end - 2).otherwise(end - 3)
+    return F.when(F.octet_length(text) <= most, text).otherwise(F.concat(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"), F.lit("...")))
+
+
+def offset_snippet(text: Column, start: Column, most: int = 500) -> Column:
+    """``most`` characters from ``start`` (from 0) on, widened to whole lines."""
+    before, after = F.substring(text, F.lit(1), start), F.substring(text, start + most + 1, F.length(text))
+    return F.concat(F.substring_index(before, "\n", -1), F.substring(text, start + 1, F.lit(most)), F.substring_index(after, "\n", 1))
+
+
 def human_size(n: Column) -> Column:
     k = 1024.0
     return (

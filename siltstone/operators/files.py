@@ -42,17 +42,50 @@ def q_reconcile_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source, newest files first: the first 40 of at most 100,000 characters in all are kept."""
     d = load(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    newest = Window.partitionBy("source").orderBy(F.desc("doc_id"))
+    newest = Window.partitionBy("source").orderBy(F.desc("doc_id")).rowsBetween(Window.unboundedPreceding, 0)  # by rows: each task first keeps its own 40 of a source
     d = d.withColumn("position", F.row_number().over(newest)).withColumn("running", F.sum("n_chars").over(newest))
     return d.where("position <= 40 AND running <= 100000").select("source", "doc_id", "running")
 
 
+def retention_passes(files: DataFrame, most: int, most_size: int, days: int) -> DataFrame:
+    """(log, file_id, removed_by) of files (log, file_id, modified, size): the first of three passes that removes a file.
+
+    count: not among the ``most`` newest of its log; size: the oldest go until the log holds at most
+    ``most_size``; age: more than ``days`` before the newest file of all.  Other files have "kept".
+    """
+    newest = Window.partitionBy("log").orderBy(F.desc("modified"), F.desc("file_id")).rowsBetween(Window.unboundedPreceding, 0)
+    last = files.agg(F.max("modified")).scalar()
+    f = files.withColumn("position", F.row_number().over(newest)).withColumn("held", F.sum("size").over(newest))
+    old = F.col("modified") < last - F.expr(f"INTERVAL {days} DAYS")
+    removed = F.when(F.col("position") > most, "count").when(F.col("held") > most_size, "size").when(old, "age").otherwise("kept")
+    return f.select("log", "file_id", removed.alias("removed_by"))
+
+
+def q_retention_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the log files of their customer: seven of at most 1,000,000 in all, not older than 1,000 days."""
+    o = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("log"), F.col("o_orderkey").alias("file_id"), F.col("o_orderdate").alias("modified"), F.floor("o_totalprice").cast("long").alias("size"))
+    return retention_passes(o, 7, 1_000_000, 1000)
+
+
+def oldest_to_free(entries: DataFrame, needed: int) -> DataFrame:
+    """Entries (event_type, user_id, last_used, size) that go, least recently used first, until ``needed`` is free.
+
+    Running sums of whole days come first, one row a day and label; only the days that start below
+    ``needed`` are then summed entry by entry, each day apart, so no label is one task.
+    """
+    e = entries.withColumn("day", F.to_date("last_used"))
+    days = e.groupBy("event_type", "day").agg(F.sum("size").alias("of_day"))
+    by_day = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("event_type", "day", F.coalesce(F.sum("of_day").over(by_day), F.lit(0)).alias("earlier")).where(F.col("earlier") < needed)
+    in_day = Window.partitionBy("event_type", "day").orderBy("last_used", "user_id").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.join(days, ["event_type", "day"]).withColumn("freed_before", F.col("earlier") + F.coalesce(F.sum("size").over(in_day), F.lit(0)))
+    return e.where(F.col("freed_before") < needed).drop("day", "earlier")
+
+
 def q_lru_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per label the least recently used entries that must go to free 5,000 units."""
     e = load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max("ts").alias("last_used"), F.sum(F.round("value", 2).cast("decimal(18,2)")).alias("size"))
-    old = Window.partitionBy("event_type").orderBy("last_used", "user_id")
-    before = F.coalesce(F.sum("size").over(old.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return e.withColumn("freed_before", before.cast("double")).where("freed_before < 5000").select("event_type", "user_id", "last_used", F.round("freed_before", 2).alias("freed_before"))
+    return oldest_to_free(e, 5000).select("event_type", "user_id", "last_used", F.round(F.col("freed_before").cast("double"), 2).alias("freed_before"))
 
 
 def q_crowded_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,11 +124,13 @@ new AS (SELECT file_id, CASE WHEN file_id % 13 = 0 THEN path || '_moved' ELSE pa
 diff AS (SELECT coalesce(new.file_id, old.file_id) AS file_id, CASE WHEN old.file_id IS NULL THEN 'added' WHEN new.file_id IS NULL THEN 'deleted' WHEN old.path <> new.path THEN 'renamed' ELSE 'modified' END AS change, coalesce(new.path, old.path) AS path
   FROM old FULL OUTER JOIN new ON old.file_id = new.file_id WHERE old.file_id IS NULL OR new.file_id IS NULL OR old.path <> new.path OR old.size <> new.size)"""
 
-QUERIES = {"snapshot_diff": q_snapshot_diff, "reconcile_apply": q_reconcile_apply, "retention_by_size": q_retention, "lru_evict": q_lru_evict, "crowded_dirs": q_crowded_dirs, "rename_pairs": q_rename_pairs}
+QUERIES = {"snapshot_diff": q_snapshot_diff, "reconcile_apply": q_reconcile_apply, "retention_by_size": q_retention, "retention_passes": q_retention_passes, "lru_evict": q_lru_evict, "crowded_dirs": q_crowded_dirs, "rename_pairs": q_rename_pairs}
 ORACLE_SQL = {
     "snapshot_diff": f"WITH {_SNAP} SELECT * FROM diff",
     "reconcile_apply": f"WITH {_SNAP} SELECT new.file_id, new.path, new.size, CASE WHEN change IN ('modified', 'added') THEN 'Pending' ELSE 'Indexed' END AS status FROM new LEFT JOIN diff USING (file_id)",
     "retention_by_size": "SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT *, row_number() OVER w AS position, sum(n_chars) OVER w AS running FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC)) WHERE position <= 40 AND running <= 100000",
+    "retention_passes": """WITH f AS (SELECT *, row_number() OVER w AS position, sum(CAST(floor(o_totalprice) AS BIGINT)) OVER w AS held FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT o_custkey AS log, o_orderkey AS file_id, CASE WHEN position > 7 THEN 'count' WHEN held > 1000000 THEN 'size' WHEN o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 1000 DAY THEN 'age' ELSE 'kept' END AS removed_by FROM f""",
     "lru_evict": """WITH e AS (SELECT user_id, event_type, max(ts) AS last_used, sum(CAST(round(value, 2) AS DECIMAL(18, 2))) AS size FROM events GROUP BY 1, 2),
     f AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY event_type ORDER BY last_used, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS freed_before FROM e)
     SELECT event_type, user_id, last_used, round(freed_before, 2) AS freed_before FROM f WHERE freed_before < 5000""",

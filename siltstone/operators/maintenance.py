@@ -25,6 +25,14 @@ def q_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delete(load(spark, sf_dir, "labels"), gone, "doc_id").select("doc_id", "quality", "toxic")
 
 
+def q_delete_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers after the nations of one region were deleted: their nation becomes null."""
+    n = load(spark, sf_dir, "nation")
+    left = delete(n, n.where("n_regionkey = 0").select("n_nationkey"), "n_nationkey").select(F.col("n_nationkey").alias("nation"))
+    c = load(spark, sf_dir, "customer")
+    return c.join(left, c["c_nationkey"] == left["nation"], "left").select("c_custkey", F.col("nation").cast("string").alias("nation"))
+
+
 def q_create_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Session pairs that may become AI relations: valid strength, not related yet either way, not blocked."""
     pairs = session_pairs(_accesses(spark, sf_dir, DAY)).where("a <> b AND strength BETWEEN 0 AND 1 AND co >= 2")
@@ -60,6 +68,15 @@ def q_log_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("source", F.col("r").cast("long").alias("position"), T.redact_log(F.col("line")).alias("line"))
 
 
+def q_recent_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of a log a type: the 200 newest of the last 30 days before the newest event."""
+    e = load(spark, sf_dir, "events").select("event_type", "event_id", "ts", "props")
+    last = e.agg(F.max("ts")).scalar()
+    newest = Window.partitionBy("event_type").orderBy(F.desc("ts"), F.desc("event_id"))
+    e = e.where(F.col("ts") >= last - F.expr("INTERVAL 30 DAYS"))
+    return e.withColumn("r", F.row_number().over(newest)).where("r <= 200").select("event_type", F.col("r").cast("long").alias("position"), "event_id", T.redact_log(F.col("props")).alias("line"))
+
+
 def q_sensitivity_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tag, group, keyword) of every text word that holds a sensitive keyword."""
     words = load(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("tag")).distinct()
@@ -76,7 +93,7 @@ def q_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "e AS (SELECT l_partkey AS s, l_suppkey AS t, l_returnflag = 'R' AS rejected FROM lineitem WHERE l_partkey <> l_suppkey)"
 
 QUERIES = {
-    "vector_upsert": q_vector_upsert, "cascade_delete": q_cascade_delete, "create_relations": q_create_relations, "paragraphs": q_paragraphs, "log_export": q_log_export, "sensitivity_analysis": q_sensitivity_analysis, "index_stats": q_index_stats,
+    "vector_upsert": q_vector_upsert, "cascade_delete": q_cascade_delete, "create_relations": q_create_relations, "paragraphs": q_paragraphs, "log_export": q_log_export, "recent_log_lines": q_recent_log_lines, "delete_set_null": q_delete_set_null, "sensitivity_analysis": q_sensitivity_analysis, "index_stats": q_index_stats,
 }
 ORACLE_SQL = {
     "vector_upsert": """SELECT vec_id, CASE WHEN vec_id % 10 = 0 THEN 99 ELSE label END AS label, CAST(len(embedding) AS BIGINT) AS dim FROM embeddings
@@ -92,6 +109,9 @@ ORACLE_SQL = {
     "log_export": f"""WITH l AS (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents WHERE text IS NOT NULL),
     r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC, line_no) AS position FROM l)
     SELECT source, position, regexp_replace(regexp_replace(regexp_replace(line, '{T.SECRET.replace("'", "''")}', '\\1=[REDACTED]', 'g'), '{T.EMAIL}', '[EMAIL]', 'g'), '{T.IPV4}', '[IP]', 'g') AS line FROM r WHERE position <= 200""",
+    "recent_log_lines": f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS position FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 30 DAY)
+    SELECT event_type, position, event_id, regexp_replace(regexp_replace(regexp_replace(props, '{T.SECRET.replace("'", "''")}', '\\1=[REDACTED]', 'g'), '{T.EMAIL}', '[EMAIL]', 'g'), '{T.IPV4}', '[IP]', 'g') AS line FROM r WHERE position <= 200""",
+    "delete_set_null": "SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 0) THEN CAST(c_nationkey AS VARCHAR) END AS nation FROM customer",
     "sensitivity_analysis": f"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS tag FROM documents), k(grp, keyword) AS (VALUES {', '.join(f"('{g}', '{x}')" for g, _, keys in T.SENSITIVE for x in keys)})
     SELECT tag, grp, keyword FROM w JOIN k ON contains(tag, keyword)""",
     "index_stats": "SELECT CASE WHEN o_orderkey % 8 >= 5 THEN 'DeadLetter' WHEN o_orderkey % 8 > 0 THEN 'Retrying' ELSE 'Pending' END AS status, least(3, 5 - CAST(substring(o_orderpriority, 1, 1) AS INT)) AS priority, count(*) AS n FROM orders GROUP BY 1, 2",

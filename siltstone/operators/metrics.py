@@ -80,7 +80,7 @@ def q_scheduler_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status and back-off (2^min(n, 4) s, jitter by id) of each task; five failures go to the dead letters."""
-    jitter = 0.75 + 0.5 * (F.crc32(F.col("task_id").cast("string")) % 1000) / 1000
+    jitter = 0.75 + 0.5 * F.conv(F.substring(F.md5(F.col("task_id").cast("string")), 1, 4), 16, 10).cast("long") / 65536
     delay = F.pow(F.lit(2.0), F.least("retry_count", F.lit(4))) * jitter
     t = tasks(spark, sf_dir)
     return t.select("task_id", F.when(F.col("retry_count") >= 5, "DeadLetter").when(F.col("retry_count") > 0, "Retrying").otherwise("Pending").alias("status"), F.round(F.when(F.col("retry_count").between(1, 4), delay), 6).alias("delay_s"))
@@ -122,6 +122,8 @@ ORACLE_SQL = {
     "state_changes": "SELECT event_id, user_id, was, event_type AS now FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events) WHERE was <> event_type",
     "scheduler_pick": f"WITH {_TASKS} SELECT task_id, priority FROM t WHERE retry_count < 5 AND (next_retry_at IS NULL OR next_retry_at <= TIMESTAMP '1995-06-01') ORDER BY priority DESC, next_retry_at NULLS FIRST, task_id LIMIT 10",
     "dead_letters": f"WITH {_TASKS} SELECT error, count(*) AS n, min(o_orderdate) AS oldest, max(o_orderdate) AS newest, round(count(*) / 1000.0, 6)::DOUBLE AS utilisation FROM t WHERE retry_count >= 5 GROUP BY 1",
+    "retry_plan": f"""WITH {_TASKS} SELECT task_id, CASE WHEN retry_count >= 5 THEN 'DeadLetter' WHEN retry_count > 0 THEN 'Retrying' ELSE 'Pending' END AS status,
+      CASE WHEN retry_count BETWEEN 1 AND 4 THEN round(pow(2.0::DOUBLE, retry_count) * (0.75::DOUBLE + 0.5::DOUBLE * CAST('0x' || substring(md5(CAST(task_id AS VARCHAR)), 1, 4) AS BIGINT) / 65536), 6) END AS delay_s FROM t""",
     "newest_dead_letters": f"WITH {_TASKS} SELECT error, task_id FROM (SELECT *, row_number() OVER (PARTITION BY error ORDER BY o_orderdate DESC, task_id) AS r FROM t WHERE retry_count >= 5) WHERE r <= 50",
     "sampled_events": "SELECT event_id, event_type FROM events WHERE event_type <> 'view' OR starts_with(md5(CAST(event_id AS VARCHAR)), '0')",
     "export_json": "SELECT user_id, '{\"n\":' || count(*) || ',\"kinds\":' || count(DISTINCT event_type) || '}' AS json FROM events GROUP BY 1",

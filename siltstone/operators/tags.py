@@ -41,6 +41,13 @@ def q_tag_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.groupBy("depth").agg(F.count("*").alias("tags"))
 
 
+def q_tag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole hierarchy in one row: tags, roots, greatest depth, and tags by depth as a map in JSON."""
+    by_depth = q_tag_stats(spark, sf_dir)
+    levels = F.map_from_entries(F.sort_array(F.collect_list(F.struct("depth", "tags"))))  # a row a depth
+    return by_depth.agg(F.sum("tags").alias("tags"), F.sum(F.when(F.col("depth") == 0, F.col("tags")).otherwise(0)).alias("roots"), F.max("depth").alias("max_depth"), F.to_json(levels).alias("by_depth"))
+
+
 def q_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of descendants of each tag that has one, from the ancestor closure."""
     p = paths(tag_tree(spark, sf_dir)).select("tag", F.explode("ancestors").alias("ancestor")).where("tag <> ancestor")
@@ -98,11 +105,13 @@ _TREE = """tree AS (SELECT 'r' || r_regionkey AS tag, NULL AS parent, r_name AS
 p AS (SELECT tag, 0::BIGINT AS depth, name AS path, [tag] AS ancestors, name FROM tree WHERE parent IS NULL UNION ALL SELECT t.tag, p.depth + 1, p.path || ' > ' || t.name, list_append(p.ancestors, t.tag), t.name FROM tree t JOIN p ON t.parent = p.tag)"""
 
 QUERIES = {
-    "tag_paths": q_tag_paths, "tag_stats": q_tag_stats, "descendants": q_descendants, "tag_moves": q_tag_moves, "tag_tree_filter": q_tag_tree_filter,
+    "tag_paths": q_tag_paths, "tag_stats": q_tag_stats, "tag_summary": q_tag_summary, "descendants": q_descendants, "tag_moves": q_tag_moves, "tag_tree_filter": q_tag_tree_filter,
     "tag_all_of": q_tag_all_of, "tag_preferences": q_tag_preferences, "tag_usage": q_tag_usage, "merge_tags": q_merge_tags,
 }
 ORACLE_SQL = {
     "tag_paths": f"WITH RECURSIVE {_TREE} SELECT tag, depth, path FROM p",
+    "tag_summary": f"""WITH RECURSIVE {_TREE}, d AS (SELECT depth, count(*) AS tags FROM p GROUP BY depth)
+    SELECT CAST(sum(tags) AS BIGINT) AS tags, CAST(sum(tags) FILTER (depth = 0) AS BIGINT) AS roots, max(depth) AS max_depth, '{{' || string_agg('"' || depth || '":' || tags, ',' ORDER BY depth) || '}}' AS by_depth FROM d""",
     "tag_stats": f"WITH RECURSIVE {_TREE} SELECT depth, count(*) AS tags FROM p GROUP BY depth",
     "descendants": f"WITH RECURSIVE {_TREE} SELECT a AS tag, count(*) AS descendants FROM (SELECT tag, unnest(ancestors) AS a FROM p) WHERE a <> tag GROUP BY a",
     "tag_moves": f"""WITH RECURSIVE {_TREE}, h AS (SELECT a AS tag, max(depth) AS deepest FROM (SELECT unnest(ancestors) AS a, depth FROM p) GROUP BY a)

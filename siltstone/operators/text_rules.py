@@ -144,6 +144,23 @@ def q_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("at").cast("long").alias("line"), F.array_join(part, "\n").alias("snippet"))
 
 
+def q_offset_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 characters from the first hit of a term on, with the rest of their lines."""
+    d = load(spark, sf_dir, "documents").withColumn("hit", F.instr("text", "thtion") - 1).where("hit >= 0")
+    return d.select("doc_id", F.col("hit").cast("long").alias("hit"), T.offset_snippet(F.col("text"), F.col("hit")).alias("snippet"))
+
+
+def q_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of at most 100 bytes for every text."""
+    return load(spark, sf_dir, "documents").select("doc_id", T.truncated(F.col("text"), 100).alias("label"))
+
+
+def q_type_looks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type tag of each file with its colour and icon."""
+    f = documents_as_files(spark, sf_dir).select("doc_id", T.type_tag(F.col("extension")).alias("tag"))
+    return f.select("doc_id", "tag", T.named(F.col("tag"), T.TAG_COLOURS).alias("colour"), T.named(F.col("tag"), T.TAG_ICONS).alias("icon"))
+
+
 def q_human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = documents_as_files(spark, sf_dir)
     return f.select("doc_id", T.human_size(F.col("size_bytes") * 1000).alias("size"), F.sha2(F.encode("text", "UTF-8"), 256).alias("content_hash"))
@@ -186,7 +203,7 @@ _ANON = "regexp_replace(regexp_replace(regexp_replace(text, '" + T.UNIX_PATH.rep
 
 QUERIES = {
     "classify_query": q_classify_query, "intent": q_intent, "keywords": q_keywords, "lang_detect": q_lang_detect, "doc_counts": q_doc_counts, "file_type": q_file_type, "glob_filter": q_glob_filter,
-    "anonymise": q_anonymise, "redact_log": q_redact_log, "contains_sensitive": q_contains_sensitive, "sensitive_tags": q_sensitive_tags, "auto_tag": q_auto_tag, "highlights": q_highlights, "document_highlights": q_document_highlights, "snippet": q_snippet, "human_size": q_human_size, "token_windows": q_token_windows,
+    "anonymise": q_anonymise, "redact_log": q_redact_log, "contains_sensitive": q_contains_sensitive, "sensitive_tags": q_sensitive_tags, "auto_tag": q_auto_tag, "highlights": q_highlights, "document_highlights": q_document_highlights, "snippet": q_snippet, "offset_snippet": q_offset_snippet, "truncated": q_truncated, "type_looks": q_type_looks, "human_size": q_human_size, "token_windows": q_token_windows,
 }
 ORACLE_SQL = {
     "classify_query": rf"""WITH k AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '0x[0-9a-fA-F]+|[0-9]{{4,}}|[A-Z_]{{3,}}|[\p{{L}}\p{{N}}_]+\.[\p{{L}}\p{{N}}_]{{2,4}}') OR contains(text, '"') OR contains(text, '/') OR contains(text, '\') THEN 'ExactKeyword'
@@ -217,6 +234,10 @@ ORACLE_SQL = {
     "highlights": "SELECT item_id, i - 1 AS start FROM (SELECT item_id, lower(text) AS low, unnest(range(1, greatest(length(text) - 1, 2))) AS i FROM benchmark) WHERE substring(low, i, 3) = 'ion'",
     "snippet": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE contains(text, 'thtion')), p AS (SELECT *, list_position(list_transform(lines, lambda x: contains(x, 'thtion')), true) AS pos FROM l)
     SELECT doc_id, CAST(pos AS BIGINT) AS line, array_to_string(lines[greatest(pos - 3, 1):pos + 3], chr(10)) AS snippet FROM p""",
+    "offset_snippet": """WITH h AS (SELECT doc_id, text, instr(text, 'thtion') - 1 AS hit FROM documents WHERE contains(text, 'thtion'))
+    SELECT doc_id, hit, string_split(substring(text, 1, hit), chr(10))[-1] || substring(text, hit + 1, 500) || split_part(substring(text, hit + 501), chr(10), 1) AS snippet FROM h""",
+    "truncated": """SELECT doc_id, CASE WHEN strlen(text) <= 100 THEN text ELSE left(text, list_max(list_filter(range(0, 98), lambda k: strlen(left(text, k)) <= 97))) || '...' END AS label FROM documents""",
+    "type_looks": f"WITH f AS (SELECT doc_id, {_case(T.TYPE_TAGS)} AS tag FROM {_FILES}) SELECT doc_id, tag, CASE tag {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.TAG_COLOURS.items())} END AS colour, CASE tag {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in T.TAG_ICONS.items())} END AS icon FROM f",
     "human_size": """WITH s AS (SELECT doc_id, text, n_chars * 1000 AS n FROM documents)
     SELECT doc_id, CASE WHEN n >= 1073741824 THEN printf('%.2f GB', round(n / 1073741824.0, 2)) WHEN n >= 1048576 THEN printf('%.2f MB', round(n / 1048576.0, 2)) WHEN n >= 1024 THEN printf('%.2f KB', round(n / 1024.0, 2)) ELSE n || ' B' END AS size, sha256(text) AS content_hash FROM s""",
     "token_windows": r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents), n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),

@@ -1,10 +1,11 @@
 import pytest
+from compare import DATA
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import chunks
+from siltstone.operators import chunks, files
 from siltstone.operators.files import snapshot_diff
 from siltstone.operators.relations import apply_block_rules
 from siltstone.operators.search import fuse, similar_vectors
@@ -209,3 +210,15 @@ def test_debounce_folds_one_large_key_in_pieces(spark):
     assert sorted(r.event_id for r in out.collect()) == sorted(want)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "piece" in plan
+
+
+@given(st.text(max_size=40), st.integers(6, 40))
+@settings(max_examples=15, deadline=None)
+def test_truncation_keeps_whole_characters(spark, text, most):
+    got = spark.createDataFrame([(text,)], "t string").select(T.truncated(F.col("t"), most)).first()[0]
+    raw = text.encode()
+    assert got == (text if len(raw) <= most else raw[: most - 3].decode(errors="ignore") + "...")
+
+
+def test_every_pass_removes_files(spark):
+    assert {r.removed_by for r in files.q_retention_passes(spark, DATA).collect()} == {"count", "size", "age", "kept"}
