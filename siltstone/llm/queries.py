@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe_fold import op12_byte_bpe
 from .embedding_dedup import OP7_SQL, op7_embedding_dedup
 from .html_text import op1_html_text
 from .line_dedup import op6_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_quality_classifier": op4_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
