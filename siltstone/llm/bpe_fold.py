@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,9 +169,9 @@ def block_rows(cut: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
             flat = lists.flatten().dictionary_encode()
             words = flat.dictionary.cast(pa.binary())
             ids = pa.nulls(len(words), pa.list_(pa.int32()))
-            if (pa.compute.max(pa.compute.binary_length(words)).as_py() or 0) > LONG:
+            if (pc.max(pc.binary_length(words)).as_py() or 0) > LONG:
                 ids = pa.array([merge_long(w, shared.value) if len(w) > LONG else None for w in words.to_pylist()], ids.type)
-            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(False))]).astype(np.int32)), flat.indices)
+            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(False))]).astype(np.int32)), flat.indices)
             size = 1 << 16  # rows of an Arrow batch
             for i in range(0, len(words), size):
                 n = min(size, len(words) - i)
@@ -217,7 +218,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                     fresh = True
                     continue
                 if fresh:
-                    size = np.concatenate([pa.compute.list_value_length(p).to_numpy(False) for p in parts] or [np.zeros(0)]).astype(np.int64)
+                    size = np.concatenate([pc.list_value_length(p).to_numpy(False) for p in parts] or [np.zeros(0)]).astype(np.int64)
                     flat = np.concatenate([p.flatten().to_numpy(False) for p in parts] or [np.zeros(0)]).astype(np.int32)
                     start, fresh = np.cumsum(size) - size, False
                 codes = b.column("codes").slice(i, j - i)
@@ -225,7 +226,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 n = size[c]
                 upto = np.concatenate([[0], np.cumsum(n)])
                 ids = flat[np.repeat(start[c] - upto[:-1], n) + np.arange(upto[-1])]
-                at = upto[np.concatenate([[0], np.cumsum(pa.compute.list_value_length(codes).to_numpy(False))])]
+                at = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(codes).to_numpy(False))])]
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int32()))], [id_col, "ids"])
 
     return coded.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -245,7 +246,7 @@ def decode(table: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", byte
         for b in batches:
             lists = b.column(at)
             spelled = piece.take(lists.flatten())
-            n = pa.compute.list_value_length(lists).fill_null(0).to_numpy(False)
+            n = pc.list_value_length(lists).fill_null(0).to_numpy(False)
             off = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, spelled.offset * 8)[np.concatenate([[0], np.cumsum(n)])]
             data = memoryview(spelled.buffers()[2] or b"")
             out = [None if gone else bytes(data[i:j]) for i, j, gone in zip(off[:-1], off[1:], lists.is_null().to_pylist())]

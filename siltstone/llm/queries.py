@@ -13,6 +13,7 @@ from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sentencepiece_lattice import op3_sentencepiece
 from .token_files import op2_token_files
+from .whitening import op13_whitening
 
 QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
@@ -26,6 +27,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
     "op12_byte_bpe": op12_byte_bpe,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
