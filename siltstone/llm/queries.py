@@ -12,6 +12,7 @@ from .pseudonyms import op9_pseudonyms
 from .quality_classifier import op4_quality_classifier
 from .quality_rules import op10_quality_rules
 from .sentencepiece_lattice import op3_sentencepiece
+from .source_audit import OP11_SQL, op11_source_divergence
 from .token_files import op2_token_files
 from .whitening import op13_whitening
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_quality_classifier": op4_quality_classifier,
     "op10_quality_rules": op10_quality_rules,
+    "op11_source_divergence": op11_source_divergence,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_whitening": op13_whitening,
 }
@@ -33,4 +35,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op7_embedding_dedup": OP7_SQL,
     "op8_near_join": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
 }
