@@ -26,7 +26,7 @@ from siltstone.sources.tables import load
 from .storage import modest_batches
 
 #: Bytes of text in a block.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 #: Longer words are merged from a heap, since a step of the fold copies the word's state.
 LONG = 200
 #: Bits of an id, and of a place in a short word.
