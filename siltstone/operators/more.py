@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.functions import vectors as V
 from siltstone.operators.relations import edges
-from siltstone.operators.search import TERMS, _query_vector, _terms_sql, bm25
+from siltstone.operators.search import TERMS, _query_vector, bm25_sql, bm25
 from siltstone.sources.tables import load
 
 
@@ -143,10 +143,10 @@ QUERIES = {
     "merged_answers": q_merged_answers, "text_filtered": q_text_filtered, "tag_match": q_tag_match, "time_ranges": q_time_ranges, "cache_stats": q_cache_stats, "page_counts": q_page_counts, "graph_nodes": q_graph_nodes, "markdown_sections": q_markdown_sections,
 }
 ORACLE_SQL = {
-    "merged_answers": f"""WITH {_terms_sql()}, near AS (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) AS l FROM embeddings WHERE len(embedding) = 64), n AS (SELECT * FROM near WHERE l > 0.34), c AS (SELECT doc_id, bm25 / (8 + bm25) AS c FROM scored),
+    "merged_answers": f"""WITH {bm25_sql()}, near AS (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}) AS l FROM embeddings WHERE len(embedding) = 64), n AS (SELECT * FROM near WHERE l > 0.34), c AS (SELECT doc_id, bm25 / (8 + bm25) AS c FROM scored),
     m AS (SELECT coalesce(n.doc_id, c.doc_id) AS doc_id, round(CASE WHEN c IS NULL THEN 0.3 * l WHEN l IS NULL THEN 0.7 * c ELSE (0.3 * l + 0.7 * c) / 2 END, 6) AS score, CASE WHEN c IS NULL THEN 'Local' WHEN l IS NULL THEN 'Cloud' ELSE 'Both' END AS origin FROM n FULL OUTER JOIN c ON n.doc_id = c.doc_id)
     SELECT * FROM m WHERE score >= 0.1 ORDER BY score DESC, doc_id LIMIT 2000""",
-    "text_filtered": f"""WITH {_terms_sql()} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored JOIN documents USING (doc_id) WHERE (lang IN ('en', 'fr') OR source IN ('en', 'fr')) AND source NOT IN ('src3', 'src4') AND starts_with(source, 'src1') AND round(bm25, 6) >= 0.5 ORDER BY 2 DESC, doc_id LIMIT 50""",
+    "text_filtered": f"""WITH {bm25_sql()} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored JOIN documents USING (doc_id) WHERE (lang IN ('en', 'fr') OR source IN ('en', 'fr')) AND source NOT IN ('src3', 'src4') AND starts_with(source, 'src1') AND round(bm25, 6) >= 0.5 ORDER BY 2 DESC, doc_id LIMIT 50""",
     "tag_match": """WITH w AS (SELECT p_partkey, lower(p_name) AS name, list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: w <> '') AS words FROM part),
     s AS (SELECT p_partkey, round(CASE WHEN contains('small ring dge', name) OR contains(name, 'small ring dge') THEN 1.0 WHEN len(list_intersect(words, ['small', 'ring', 'dge'])) > 0 THEN 0.8
       ELSE 0.6 * len(list_filter(words, lambda w: contains(w, 'small') OR contains(w, 'ring') OR contains(w, 'dge'))) / greatest(len(words), 1) END, 6)::DOUBLE AS score FROM w) SELECT * FROM s WHERE score >= 0.3""",

@@ -221,8 +221,12 @@ def q_similar_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAME = "'doc_' || doc_id || '.' || (['txt','md','pdf','docx','xlsx','png','mp4','mp3','py','stl','zip','dat'])[doc_id % 12 + 1]"
 
 
-def _terms_sql() -> str:
-    fields = ["coalesce(text, '')", _NAME, "lang || ' ' || source"]
+#: The analysed fields of a document in SQL.
+FIELDS_SQL = ["coalesce(text, '')", _NAME, "lang || ' ' || source"]
+
+
+def bm25_sql() -> str:
+    fields = FIELDS_SQL
     cells = [(k, i) for k in range(3) for i in range(len(TERMS))]
     split = ", ".join(f"list_filter(regexp_extract_all(lower({f}), '{T.WORD}'), lambda w: strlen(w) <= 40) AS t{k}" for k, f in enumerate(fields))
     cols = ", ".join([f"len(t{k}) AS dl{k}" for k in range(3)] + [f"len(list_filter(t{k}, lambda w: w = '{TERMS[i]}')) AS tf{k}_{i}" for k, i in cells])
@@ -256,7 +260,7 @@ QUERIES = {
     "similar_files": q_similar_files,
 }
 ORACLE_SQL = {
-    "hybrid_search": f"""WITH {_terms_sql()}, files AS (SELECT doc_id, lang, source, {_NAME} AS name FROM documents),
+    "hybrid_search": f"""WITH {bm25_sql()}, files AS (SELECT doc_id, lang, source, {_NAME} AS name FROM documents),
     may AS (SELECT doc_id FROM files WHERE doc_id % 12 IN (0, 2, 3, 4, 5, 8, 1) AND lang <> 'src4' AND source <> 'src4' AND starts_with('/' || source, '/src')),
     near AS (SELECT vec_id AS doc_id, list_cosine_similarity({_E}, {_Q}) AS vector FROM embeddings WHERE len(embedding) = 64 AND vec_id IN (SELECT doc_id FROM may) ORDER BY vector DESC, vec_id LIMIT 200),
     hits AS (SELECT doc_id, bm25 FROM scored WHERE doc_id IN (SELECT doc_id FROM may) ORDER BY bm25 DESC, doc_id LIMIT 200),
@@ -267,7 +271,7 @@ ORACLE_SQL = {
       FROM merged WHERE v IS NULL OR v >= 0.3 OR b IS NULL OR b >= 0.1)
     SELECT * FROM (SELECT doc_id, origin, round(score * {_boost_sql(TERMS)}, 6) AS score FROM fused JOIN files USING (doc_id)) WHERE score >= 0.05 ORDER BY score DESC, doc_id LIMIT 100""",
     "postings": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{T.WORD}')) AS term FROM documents) GROUP BY ALL",
-    "bm25_topk": f"WITH {_terms_sql()} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored ORDER BY 2 DESC, doc_id LIMIT 50",
+    "bm25_topk": f"WITH {bm25_sql()} SELECT doc_id, round(bm25, 6) AS bm25 FROM scored ORDER BY 2 DESC, doc_id LIMIT 50",
     "knn_cosine": f"SELECT vec_id, round(list_cosine_similarity({_E}, {_Q}), 6) AS score FROM embeddings WHERE len(embedding) = 64 ORDER BY score DESC, vec_id LIMIT 20",
     "knn_euclidean": f"SELECT vec_id, round(1 / (1 + list_distance({_E}, {_Q})), 6) AS score FROM embeddings WHERE len(embedding) = 64 ORDER BY score DESC, vec_id LIMIT 20",
     "knn_dot": f"SELECT vec_id, round(list_inner_product({_E}, {_Q}), 6) AS score FROM embeddings WHERE len(embedding) = 64 ORDER BY score DESC, vec_id LIMIT 20",
@@ -275,7 +279,7 @@ ORACLE_SQL = {
     "boosted": """WITH d AS (SELECT doc_id, 'doc_' || doc_id || '.txt' AS name, lang, source FROM documents)
     SELECT doc_id, round(CASE WHEN contains(name, 'doc_12') THEN 1.5 ELSE 1.0 END * pow(1.1, contains(name, 'doc')::INT + contains(name, '12')::INT)
       * pow(1.2, (contains(lang, 'doc') OR contains(lang, '12'))::INT + (contains(source, 'doc') OR contains(source, '12'))::INT), 6) AS boost FROM d""",
-    "search_page": f"WITH {_terms_sql()}, total AS (SELECT count(*) AS total FROM scored) SELECT doc_id, round(bm25, 6) AS bm25, total, total > 60 AS has_more FROM scored, total ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20 OFFSET 40",
+    "search_page": f"WITH {bm25_sql()}, total AS (SELECT count(*) AS total FROM scored) SELECT doc_id, round(bm25, 6) AS bm25, total, total > 60 AS has_more FROM scored, total ORDER BY round(bm25, 6) DESC, doc_id LIMIT 20 OFFSET 40",
     "similar_files": """WITH pairs AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score
       FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs WHERE score >= 0.2) WHERE rank <= 10""",
