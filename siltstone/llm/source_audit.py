@@ -24,7 +24,7 @@ from .kernel import Slab, slabs
 from .storage import modest_batches, stored
 
 #: Bytes of a shard; a longer text is a shard of its own.
-SHARD = 16 << 20
+SHARD = 4 << 20
 #: Documents of a language that a kept term has, at least; terms a group reports, at most.
 LEAST, TOP = 30, 50
 #: Sources of a tile, and cells (terms times sources) of a block.
