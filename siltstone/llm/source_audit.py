@@ -28,7 +28,7 @@ SHARD = 4 << 20
 #: Documents of a language that a kept term has, at least; terms a group reports, at most.
 LEAST, TOP = 30, 50
 #: Sources of a tile, and cells (terms times sources) of a block.
-TILE, CELLS = 256, 1 << 20
+TILE, CELLS = 256, 1 << 16
 UNIT = 1_000_000_000
 
 _TERM = np.zeros(256, bool)
