@@ -25,6 +25,8 @@ _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint6
 
 
 _STEP = 14
+#: Bytes that are hashed by one polynomial, at most.
+PIECE = 256
 
 
 def _table(base: int, n: int) -> np.ndarray:
@@ -115,11 +117,27 @@ class Slab:
         np.cumsum(_BYTE[self.buf] * powers(len(self.buf)), out=p[1:])
         return p
 
-    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand."""
+    def _piece_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         p = self._prefix
         return mix((p[end] - p[start]) * inverses(start) + (end - start).astype(np.uint64))
 
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64-bit hashes of byte spans; equal spans have equal hashes wherever they stand.
+
+        A polynomial modulo 2**64 maps some different strings of 1,024 or more bytes to one value whatever
+        its base, so spans of over ``PIECE`` bytes are hashed in pieces, which are mixed before they are added.
+        """
+        out = self._piece_hash(start, end)
+        long = np.flatnonzero(end - start > PIECE)
+        if len(long):
+            n = -(-(end[long] - start[long]) // PIECE)
+            first = np.cumsum(n) - n
+            no = np.arange(n.sum()) - np.repeat(first, n)
+            a = np.repeat(start[long], n) + no * PIECE
+            each = self._piece_hash(a, np.minimum(a + PIECE, np.repeat(end[long], n)))
+            out[long] = mix(np.add.reduceat(mix(each ^ mix(no.astype(np.uint64) + _U(1))), first) + (end[long] - start[long]).astype(np.uint64))
+        return out
+
     @cached_property
     def word_hash(self) -> np.ndarray:
         return self.span_hash(self.word_start, self.word_end)

@@ -82,8 +82,24 @@ def feistel(x: int, size: int, key: bytes, tweak: str, back: bool = False) -> in
             return x
 
 
+#: Characters of a value that are permuted as one number; a longer value is permuted block by block.
+LETTERS = 512
+
+
 def letters(value: str, key: bytes, kind: str, back: bool = False) -> str:
-    """Permute the letters and digits of a value; case, digits and all other characters stay in place."""
+    """Permute the letters and digits of a value; case, digits and all other characters stay in place.
+
+    The blocks of a long value are chained: what a block becomes also depends on its place, the length
+    and the pseudonym of the block before, so work is linear and equal values have one pseudonym.
+    """
+    if len(value) > LETTERS:
+        out, before = [], ""
+        for i in range(0, len(value), LETTERS):
+            part = value[i : i + LETTERS]
+            tweak = hashlib.blake2b(f"{i}|{len(value)}|{before}".encode(), digest_size=16).hexdigest()
+            out.append(letters(part, key, f"{kind}|{tweak}", back))
+            before = part if back else out[-1]
+        return "".join(out)
     shape = "".join("9" if "0" <= c <= "9" else "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else c for c in value)
     number, size, base = 0, 1, {"9": (10, 48), "a": (26, 97), "A": (26, 65)}
     kinds = [base.get(s) if s in base else None for s in shape]
