@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from siltstone.operators import action_log, chunks, files, intervals, maintenance, metrics, more, relations, requests, rules, search, tag_changes, tags, text_index, text_rules, vector_index
+from siltstone.operators import action_log, chunks, files, intervals, maintenance, metrics, more, relations, requests, rules, search, tag_changes, tags, text_index, text_rules, trees, vector_index
 from siltstone.plans.flagship import flagship
 from siltstone.streaming import timers
 
-_MODULES = (search, text_rules, tags, relations, files, metrics, chunks, more, maintenance, rules, tag_changes, requests, text_index, vector_index, intervals, timers, action_log)
+_MODULES = (search, text_rules, tags, relations, files, metrics, chunks, more, maintenance, rules, tag_changes, requests, text_index, vector_index, intervals, timers, action_log, trees)
 QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 
