@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -63,9 +63,12 @@ class Filters:
     path_prefix: str | None = None
     min_score: float = 0.3
     exclude_private: bool = False
+    #: Bounds of the time of the last change, both included; a file without one fails them.
+    modified_from: str | None = None
+    modified_to: str | None = None
 
     def keep(self, files: DataFrame) -> DataFrame:
-        """The doc_ids of files (doc_id, extension, path, tags, private) that may be returned."""
+        """The doc_ids of files (doc_id, extension, path, tags, private, and modified_at if times are bounded) that may be returned."""
         rule = F.lit(True)
         if self.file_types:
             rule = rule & T.file_type(F.col("extension")).isin(*self.file_types)
@@ -77,15 +80,19 @@ class Filters:
             rule = rule & F.col("path").startswith(self.path_prefix)
         if self.exclude_private:
             rule = rule & ~F.col("private")
+        if self.modified_from is not None:
+            rule = rule & (F.col("modified_at") >= F.lit(self.modified_from).cast("timestamp_ntz"))
+        if self.modified_to is not None:
+            rule = rule & (F.col("modified_at") <= F.lit(self.modified_to).cast("timestamp_ntz"))
         return files.where(rule).select("doc_id")
 
 
 def request_filters(request: dict) -> Filters:
-    """A request's filters: unknown type names are dropped, tags are those that are words."""
+    """A request's filters: unknown type names are dropped, tags are those that are words; ``time_range`` has a start, an end or both."""
     types = dict.fromkeys(T.REQUEST_TYPES.get(str(x).lower()) for x in request.get("file_types") or [])
     words = lambda key: tuple(x for x in request.get(key) or [] if isinstance(x, str) and re.fullmatch(r"\w+", x))
-    least = request.get("min_score")
-    return Filters(tuple(x for x in types if x), words("tags"), words("exclude_tags"), request.get("path_prefix") or None, 0.3 if least is None else float(least), bool(request.get("exclude_private", False)))
+    least, times = request.get("min_score"), request.get("time_range") or {}
+    return Filters(tuple(x for x in types if x), words("tags"), words("exclude_tags"), request.get("path_prefix") or None, 0.3 if least is None else float(least), bool(request.get("exclude_private", False)), times.get("start"), times.get("end"))
 
 
 def search_weights(vector: float, text: float, normalise: bool = False) -> tuple[float, float]:
@@ -151,23 +158,62 @@ def boost(words: list[str]) -> Column:
     return whole * F.pow(F.lit(1.1), sum(F.when(F.col("name").contains(w), 1).otherwise(0) for w in words)) * F.pow(F.lit(1.2), F.size(F.filter("tags", lambda t: T.contains_any(t, words))))
 
 
+#: A range of time for the searches that have one.
+SINCE, UNTIL = "2024-01-01 06:00:00", "2024-01-03 18:00:00"
 HYBRID = request_filters({"file_types": ["txt", "docx", "image", "code", "pdf", "nonsense"], "exclude_tags": ["src4"], "path_prefix": "/src", "min_score": 0.05})
 
 
-def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def changed_at(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """``docs`` with modified_at: the time of the event of the same number, null without one."""
+    e = load(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp_ntz").alias("modified_at"))
+    return docs.join(e, "doc_id", "left")
+
+
+def hybrid(spark: SparkSession, sf_dir: str, filters: Filters) -> DataFrame:
     """The filters go to both sides, each side's best 200 are merged, boosted and sorted again; the best 100 stay."""
     docs, vecs = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings")
     files = docs.select("doc_id", file_extension().alias("extension"), F.concat(F.lit("/"), "source").alias("path"), F.array("lang", "source").alias("tags"), F.lit(False).alias("private"))
-    may = HYBRID.keep(files)
+    if filters.modified_from is not None or filters.modified_to is not None:
+        files = changed_at(spark, sf_dir, files)
+    may = filters.keep(files)
     asked = F.broadcast(vecs.where("vec_id = 0").select(F.col("embedding").alias("asked")).limit(1))
     near = vecs.where(F.size("embedding") == 64).crossJoin(asked).select(F.col("vec_id").alias("doc_id"), V.cosine(F.col("embedding"), F.col("asked")).alias("vector"))
     near = near.join(may, "doc_id", "left_semi").orderBy(F.desc("vector"), "doc_id").limit(200)
     hits = bm25(docs, TERMS).withColumnRenamed("bm25", "text").join(may, "doc_id", "left_semi").orderBy(F.desc("text"), "doc_id").limit(200)
     merged = fuse(near, hits).join(docs.select("doc_id", file_name().alias("name"), F.array("lang", "source").alias("tags")), "doc_id")
-    scored = merged.select("doc_id", "origin", F.round(F.col("score") * boost(TERMS), 6).alias("score")).where(F.col("score") >= HYBRID.min_score)
+    scored = merged.select("doc_id", "origin", F.round(F.col("score") * boost(TERMS), 6).alias("score")).where(F.col("score") >= filters.min_score)
     return scored.orderBy(F.desc("score"), "doc_id").limit(100)
 
 
+def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search with filters on types, tags and path."""
+    return hybrid(spark, sf_dir, HYBRID)
+
+
+def q_hybrid_in_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same among files changed within a range of time, on both sides."""
+    return hybrid(spark, sf_dir, replace(HYBRID, modified_from=SINCE, modified_to=UNTIL))
+
+
+def filtered_after_top(hits: DataFrame, files: DataFrame, any_tags: list[str], modified_from: str | None, modified_to: str | None, limit: int) -> DataFrame:
+    """The text side's own filter, which comes after its best ``2 * limit`` hits (doc_id, bm25): any of the tags, and time bounds that a file (doc_id, tags, modified_at) without a time fails."""
+    top = hits.orderBy(F.desc("bm25"), "doc_id").limit(2 * limit).join(files, "doc_id")
+    if any_tags:
+        top = top.where(F.arrays_overlap("tags", F.array(*map(F.lit, any_tags))))
+    if modified_from is not None:
+        top = top.where(F.col("modified_at") >= F.lit(modified_from).cast("timestamp_ntz"))
+    if modified_to is not None:
+        top = top.where(F.col("modified_at") <= F.lit(modified_to).cast("timestamp_ntz"))
+    return top.select("doc_id", "bm25").orderBy(F.desc("bm25"), "doc_id").limit(limit)
+
+
+def q_filtered_after_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the best 200 hits those with one of two tags and a change in a range of time, 100 at most."""
+    docs = load(spark, sf_dir, "documents")
+    files = changed_at(spark, sf_dir, docs.select("doc_id", F.array("lang", "source").alias("tags")))
+    return filtered_after_top(bm25(docs, TERMS).withColumn("bm25", F.round("bm25", 6)), files, ["en", "src1"], SINCE, UNTIL, 100)
+
+
 def q_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")).alias("name"), F.array("lang", "source").alias("tags"))
     return d.select("doc_id", F.round(boost(["doc", "12"]), 6).alias("boost"))
@@ -249,6 +295,8 @@ _E = "CAST(embedding AS DOUBLE[])"
 
 QUERIES = {
     "hybrid_search": q_hybrid_search,
+    "hybrid_in_time": q_hybrid_in_time,
+    "filtered_after_top": q_filtered_after_top,
     "postings": q_postings,
     "bm25_topk": q_bm25_topk,
     "knn_cosine": _knn("knn_cosine", V.cosine),
@@ -284,3 +332,7 @@ ORACLE_SQL = {
       FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)
     SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs WHERE score >= 0.2) WHERE rank <= 10""",
 }
+_IN_TIME = f"ts >= TIMESTAMP '{SINCE}' AND ts <= TIMESTAMP '{UNTIL}'"
+ORACLE_SQL["hybrid_in_time"] = ORACLE_SQL["hybrid_search"].replace("may AS (SELECT doc_id FROM files WHERE", f"may AS (SELECT doc_id FROM files JOIN events ON event_id = doc_id AND {_IN_TIME} WHERE")
+ORACLE_SQL["filtered_after_top"] = f"""WITH {bm25_sql()}, top AS (SELECT doc_id, round(bm25, 6) AS bm25 FROM scored ORDER BY 2 DESC, doc_id LIMIT 200)
+    SELECT doc_id, bm25 FROM top JOIN documents USING (doc_id) JOIN events ON event_id = doc_id WHERE (lang IN ('en', 'src1') OR source IN ('en', 'src1')) AND {_IN_TIME} ORDER BY bm25 DESC, doc_id LIMIT 100"""
