@@ -67,14 +67,15 @@ def sort_pointers(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[
         short = np.clip(left, 0, 8)
         key &= np.where(short > 0, ~np.uint64(0) << np.minimum(8 * (8 - short), 63).astype(np.uint64), np.uint64(0))
         within = slice_of[open_]
-        by = np.lexsort((key, within)) if depth else np.argsort(key, kind="quicksort")
-        order[open_], key, left = at[by], key[by], left[by]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (within[1:] != within[:-1])])
+        more = left > 8  # a term that ends here is smaller than those that go on
+        by = np.lexsort((more, key, within) if depth else (more, key))
+        order[open_], key, more = at[by], key[by], more[by]
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (within[1:] != within[:-1]) | (more[1:] != more[:-1])])
         piece = np.cumsum(new) - 1
         sizes = np.bincount(piece)
         # a slice is named by the place of its first pointer
         slice_of[open_] = open_[np.flatnonzero(new)][piece]
-        open_ = open_[(sizes[piece] > 1) & (left > 8)]
+        open_ = open_[(sizes[piece] > 1) & more]
         depth += 1
     runs = np.cumsum(np.concatenate([[0], (slice_of[1:] != slice_of[:-1]).astype(np.int64)])) if n else slice_of
     return order, runs
