@@ -7,7 +7,9 @@ point is where the sum rises over a threshold, a dive point where it falls to no
 from each surge to its dive is kept, on every page.  Where a page names its article (``article``,
 ``main``) and this holds most of the text, the name counts as a weight: lines inside weigh
 ``ARTICLE_WEIGHT`` times their length, links too, and lines outside nothing.  A form is left out like a
-menu, unless it holds most of the page's text: some sites wrap whole pages in one.
+menu, unless it holds most of the page's text: some sites wrap whole pages in one.  Class names and ids
+are a verdict only while enough text is left without them: an element of such a name that holds
+``WAIVE`` times what is left, or leaves less than a surge, is kept and those inside it are judged anew.
 
 Scanning takes time in proportion to the page, however broken its markup is.
 """
@@ -20,6 +22,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,7 @@ from .storage import modest_batches
 WINDOW = 3
 SURGE = 80
 ARTICLE_WEIGHT = 2
+WAIVE = 4
 
 _NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
 #: The rest of a tag without angle brackets in its quotes; it ends at the next bracket at the latest.
@@ -52,7 +56,9 @@ _DROP_WORDS = frozenset(
 )
 _OUTER_WORDS = frozenset({"header", "head", "top"})  # not inside an article
 _ARTICLE_WORDS = frozenset("article content entry page post story text".split())
-_STATES = frozenset("has is no not with without".split())  # "has-sidebar" says something about another element
+_STATES = frozenset("category has is layout no not tag topic with without".split())  # "has-sidebar" says something about another element
+_CONDITIONS = frozenset("closed disabled enabled open".split())  # so does "comments-open"
+_COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _ENDS_P = _BLOCK - {"option", "optgroup", "body", "html"}
 _INNER = frozenset("p li span a b i".split())
@@ -67,6 +73,7 @@ class Line:
     article: bool
     heading: bool
     form: bool = False
+    named: int = 0  # the innermost element around it whose class or id is a verdict
 
 
 class Scanner:
@@ -148,17 +155,17 @@ class Scanner:
 
 
 class Stack:
-    """Open elements: (name, dropped, article, form), the places of each name, and the nearest scope below each place."""
+    """Open elements: (name, dropped, article, form, named), the places of each name, and the nearest scope below each place."""
 
     def __init__(self) -> None:
-        self.items: list[tuple[str, bool, bool, bool]] = []
+        self.items: list[tuple[str, bool, bool, bool, int]] = []
         self.places: dict[str, list[int]] = defaultdict(list)
         self.scope: list[int] = []
 
-    def top(self) -> tuple[str, bool, bool, bool]:
-        return self.items[-1] if self.items else ("", False, False, False)
+    def top(self) -> tuple[str, bool, bool, bool, int]:
+        return self.items[-1] if self.items else ("", False, False, False, 0)
 
-    def push(self, item: tuple[str, bool, bool, bool]) -> None:
+    def push(self, item: tuple[str, bool, bool, bool, int]) -> None:
         k = len(self.items)
         self.scope.append(k if item[0] in _SCOPE else self.scope[-1] if self.scope else -1)
         self.places[item[0]].append(k)
@@ -188,14 +195,43 @@ def _name_words(names: str) -> set[str]:
     out: set[str] = set()
     for name in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names).lower().split():
         words = [w for w in re.split(r"[^a-z]+", name) if w]
-        if words and words[0] not in _STATES:
+        if words and words[0] not in _STATES and words[-1] not in _CONDITIONS:
             out.update(words)
     return out
 
 
+def judge(rows: list[Line], around: list[int], final: list[bool]) -> None:
+    """Drop the lines inside elements whose names are a verdict, unless too little text is left.
+
+    ``around`` has the next such element around each (0: none; outer ones come first), ``final`` whether
+    the verdict stands whatever is left.
+    """
+    own = [0] * len(around)
+    for x in rows:
+        if not x.dropped and x.linked <= 0.5 * len(x.text):
+            own[x.named] += len(x.text)
+    held, inner = own[:], [[] for _ in around]
+    for k in range(len(around) - 1, 0, -1):
+        held[around[k]] += held[k]
+        inner[around[k]].append(k)
+    kept, waived = own[0], [k == 0 for k in range(len(around))]
+    heap = [(-held[k], k) for k in inner[0] if not final[k]]
+    heapify(heap)
+    while heap and (most := -heap[0][0]) >= SURGE and (kept < SURGE or most >= WAIVE * kept):
+        k = heappop(heap)[1]
+        waived[k] = True
+        kept += own[k]
+        for i in inner[k]:
+            if not final[i]:
+                heappush(heap, (-held[i], i))
+    for x in rows:
+        x.dropped = x.dropped or not waived[x.named]
+
+
 def lines(page: str) -> list[Line]:
     """The page's blocks in order, without those that have no text."""
     out: list[Line] = []
+    around, final = [0], [False]
     stack, scan = Stack(), Scanner(page)
     parts: list[str] = []
     linked, in_link, heading, breaks = 0, False, False, 0
@@ -204,8 +240,8 @@ def lines(page: str) -> list[Line]:
         nonlocal linked, in_link, breaks
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            _, dropped, article, form = stack.top()
-            out.append(Line(text, linked, dropped, article, heading, form))
+            _, dropped, article, form, named = stack.top()
+            out.append(Line(text, linked, dropped, article, heading, form, named))
         parts.clear()
         linked, in_link, breaks = 0, False, 0
 
@@ -267,19 +303,23 @@ def lines(page: str) -> list[Line]:
             stack.pop()
         if name in ("b", "i", "em", "strong", "u", "small", "font", "a", "tt", "big", "s", "strike", "code", "nobr"):
             continue  # often left open; they neither hold blocks nor mark boilerplate
-        _, dropped, article, form = stack.top()
+        _, dropped, article, form, named = stack.top()
         attrs = _attrs(inside)
         role = attrs.get("role", "").lower()
         words = _name_words(f"{attrs.get('class', '')} {attrs.get('id', '')}")
         whole = name in ("html", "body", "main")
         dropped = dropped or name in _DROP or role in _DROP_ROLES or name == "header" and not article
-        dropped = dropped or not whole and bool(words & _DROP_WORDS or not article and name != "article" and words & _OUTER_WORDS and not words & _ARTICLE_WORDS)
+        if not whole and (words & _DROP_WORDS or not article and name != "article" and words & _OUTER_WORDS and not words & _ARTICLE_WORDS):
+            around.append(named)
+            final.append(bool(words & _COMMENT_WORDS))
+            named = len(around) - 1
         dropped = dropped or "hidden" in attrs and not whole or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", ""), re.I))
         article = article or name in ("article", "main") or role in ("main", "article") or "articlebody" in attrs.get("itemprop", "").lower()
-        stack.push((name, dropped, article, form or name == "form"))
+        stack.push((name, dropped, article, form or name == "form", named))
     if at < len(page):
         add(page[at:])
     flush()
+    judge(out, around, final)
     return out
 
 

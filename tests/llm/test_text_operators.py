@@ -40,6 +40,50 @@ def test_text_is_found_by_its_distribution(frame):
     assert [x for x in got if not x.startswith("Teaser")] == PARAGRAPHS
 
 
+WRAPPERS = [
+    '<article class="post category-legal tag-social">{}</article>', '<article class="post comments-open">{}</article>', '<div class="elementor-widget">{}</div>', '<div class="layout-sidebar-right">{}</div>',
+    '<article><div class="article-body paywall">{}</div></article>', '<div class="wrapper nav-open">{}</div>', '<div class="story notice-board">{}</div>', '<div id="footer-fixed-layout">{}</div>',
+    '<section class="story share-tools-enabled">{}</section>', '<div class="widget"><div class="popup">{}</div></div>',
+]
+
+
+@pytest.mark.parametrize("frame", WRAPPERS)
+def test_names_are_no_verdict_over_the_whole_article(frame):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    inner = '<div class="related"><p>Another page that some of our readers like.</p></div>'
+    assert html_text.main_text(SHELL.format(frame.format(body + inner))) == "\n".join(PARAGRAPHS)
+
+
+def test_much_boilerplate_beside_an_article_goes():
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    much = "".join(f"<p>{p} Or so.</p>" for p in PARAGRAPHS * 3)
+    assert html_text.main_text(SHELL.format(f'<div>{body}</div><div class="sidebar">{much}</div>')) == "\n".join(PARAGRAPHS)
+    assert html_text.main_text(SHELL.format(f'<div>{body}</div><div class="comments">{much * 20}</div>')) == "\n".join(PARAGRAPHS)
+    assert html_text.main_text(SHELL.format(f'<div class="comments">{much}</div>')) == ""
+
+
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 300), st.booleans()), max_size=7), st.integers(0, 200))
+@settings(deadline=None)
+def test_verdicts_match_brute_force(elements, bare):
+    around, final, rows = [0], [False], [html_text.Line("x" * bare, 0, False, False, False)]
+    for k, (up, size, stands) in enumerate(elements, 1):
+        around.append(min(up, k - 1))
+        final.append(stands)
+        rows.append(html_text.Line("x" * size, 0, False, False, False, named=k))
+    chain = lambda k: {k} | (chain(around[k]) if k else set())
+    size = {x.named: len(x.text) for x in rows}
+    waived = {0}
+    while True:
+        kept = sum(size[k] for k in waived)
+        held = {k: sum(size[i] for i in size if k in chain(i)) for k in size if k not in waived and around[k] in waived and not final[k]}
+        best = max(held, key=lambda k: (held[k], -k), default=None)
+        if best is None or held[best] < html_text.SURGE or kept >= html_text.SURGE and held[best] < html_text.WAIVE * kept:
+            break
+        waived.add(best)
+    html_text.judge(rows, around, final)
+    assert [x.named for x in rows if not x.dropped] == sorted(waived)
+
+
 def test_small_form_and_far_teaser_go():
     body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
     assert html_text.main_text(SHELL.format(f'<div>{body}</div><form><p>Your name and your question to us please.</p></form>')) == "\n".join(PARAGRAPHS)
