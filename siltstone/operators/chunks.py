@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordered import Ordered
 from siltstone.sources.tables import load
 
 # Sentence ends, tried in this order.
@@ -140,15 +141,15 @@ def windows_from_first(events: DataFrame, key: list[str], seconds: float) -> Dat
     ``seconds`` or more after the start of the window before.
 
     Where a window starts depends on those before, so events are folded in order.  An event ``seconds`` or
-    more after the event before it starts one for certain, so each key is cut there and the pieces are folded
+    more after the event before it starts one for certain, so each key is cut there and the stretches are folded
     apart, row by row; a task keeps one timestamp and a count.  Events without a time go.
     """
     limit = round(seconds * 1_000_000)
-    order = Window.partitionBy(*key).orderBy("us", "event_id")
     rows = events.where("ts IS NOT NULL").select(*key, "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    rows = rows.withColumn("before", F.lag("us").over(order)).withColumn("cut", F.col("before").isNull() | (F.col("us") - F.col("before") >= limit))
-    rows = rows.withColumn("piece", F.sum(F.col("cut").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.repartition(*key, "piece").sortWithinPartitions(*key, "piece", "us", "event_id").select("event_id", "us", "cut")
+    cut = F.col("before").isNull() | (F.col("us") - F.col("before") >= limit)
+    seen = Ordered(rows, key, ["us", "event_id"]).last_known("before", F.col("us"), inclusive=False).running_sum("stretch", cut.cast("long"))
+    rows = seen.result().withColumn("cut", cut)
+    rows = rows.repartition(*key, "stretch").sortWithinPartitions(*key, "stretch", "us", "event_id").select("event_id", "us", "cut")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = n = 0
@@ -184,5 +185,8 @@ ORACLE_SQL = {
       UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.start + INTERVAL 12 HOUR GROUP BY w.user_id, w.start),
     p AS (SELECT e.event_id, row_number() OVER (PARTITION BY e.user_id, w.start ORDER BY e.ts, e.event_id) AS r FROM events e JOIN w ON w.user_id = e.user_id AND e.ts >= w.start AND e.ts < w.start + INTERVAL 12 HOUR)
     SELECT event_id, r <= 2 AS allowed FROM p""",
+    "debounce": """WITH RECURSIVE w AS (SELECT user_id, event_type, min(ts) AS start FROM events GROUP BY ALL
+      UNION ALL SELECT w.user_id, w.event_type, min(e.ts) FROM w JOIN events e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.event_type = w.event_type AND e.ts >= w.start + INTERVAL 6 HOUR GROUP BY w.user_id, w.event_type, w.start)
+    SELECT min(event_id) AS event_id FROM w JOIN events e ON e.user_id IS NOT DISTINCT FROM w.user_id AND e.event_type = w.event_type AND e.ts = w.start GROUP BY w.user_id, w.event_type, w.start""",
     "paragraph_of_hit": "SELECT doc_id, hit - 1 AS hit, CAST(length(substring(text, 1, hit - 1)) - length(replace(substring(text, 1, hit - 1), chr(10), '')) AS BIGINT) AS line FROM (SELECT *, instr(text, 'thtion') AS hit FROM documents) WHERE hit > 0",
 }

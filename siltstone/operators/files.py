@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordered import Ordered
 from siltstone.sources.tables import load
 
 
@@ -99,13 +100,14 @@ def pair_renames(events: DataFrame) -> DataFrame:
 
     A To takes the oldest From that waits, each From once; a To that finds none is a new file.  Without a
     loop: with +1 for From and -1 for To, a To finds none exactly when the running sum falls below all
-    sums before it (and 0); the j-th other To takes the j-th From.
+    sums before it (and 0); the j-th other To takes the j-th From.  Sums run in pieces with a carry.
     """
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    up_to, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
-    e = events.withColumn("sum", F.sum(F.when(F.col("half") == "From", 1).otherwise(-1)).over(up_to))
-    e = e.withColumn("alone", (F.col("half") == "To") & (F.col("sum") < F.least(F.lit(0), F.coalesce(F.min("sum").over(before), F.lit(0)))))
-    e = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id", "half", "alone").orderBy("ts", "event_id")))
+    one = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    is_from = F.col("half") == "From"
+    alone = ~is_from & (F.col("sum") < F.least(F.lit(0), F.coalesce("lowest", F.lit(0))))
+    e = Ordered(events, ["user_id"], ["ts", "event_id"]).running_sum("sum", F.when(is_from, 1).otherwise(-1).cast("long")).running_min("lowest", F.col("sum"), inclusive=False)
+    e = e.running_sum("lost", one(is_from)).running_sum("found", one(~is_from & ~alone)).result()
+    e = e.withColumn("alone", alone).withColumn("n", F.when(is_from, F.col("lost")).otherwise(F.col("found")))
     lost = e.where("half = 'From'").select("user_id", "n", F.col("event_id").alias("from_event"))
     found = e.where("half = 'To' AND NOT alone").select("user_id", "n", F.col("event_id").alias("to_event"))
     pairs = found.join(lost, ["user_id", "n"]).select("user_id", "from_event", "to_event", F.lit("Renamed").alias("kind"))

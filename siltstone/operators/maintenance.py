@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 from siltstone.operators.metrics import tasks
 from siltstone.operators.relations import DAY, _accesses, apply_block_rules, edges, session_pairs
+from siltstone.operators.requests import parts_of
 from siltstone.sources.tables import delete, load, upsert
 
 
@@ -45,12 +46,7 @@ def q_create_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line with its character offsets and a preview of 100 characters."""
-    parts = F.split("text", "\n")
-    d = load(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", parts.alias("p"))
-    d = d.select("doc_id", F.posexplode("p").alias("number", "line"))
-    before = Window.partitionBy("doc_id").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)).cast("long")
-    return d.withColumn("start", start).select("doc_id", F.col("number").cast("long").alias("number"), "start", (F.col("start") + F.length("line")).cast("long").alias("end"), F.substring("line", 1, 100).alias("preview"))
+    return parts_of(load(spark, sf_dir, "documents"), "\n")
 
 
 def q_log_export(spark: SparkSession, sf_dir: str) -> DataFrame:

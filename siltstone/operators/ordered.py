@@ -50,6 +50,10 @@ class Ordered:
         both = lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
         return self._carry(name, F.sum("_value").over(self._frame(inclusive)), F.sum("_value"), F.sum, both, value)
 
+    def running_min(self, name: str, value: Column, inclusive: bool = True) -> Ordered:
+        """Column ``name``: the least of the key's values up to the row (without it unless ``inclusive``); nulls are skipped."""
+        return self._carry(name, F.min("_value").over(self._frame(inclusive)), F.min("_value"), F.min, F.least, value)
+
     def last_known(self, name: str, value: Column, inclusive: bool = True) -> Ordered:
         """Column ``name``: the key's last value that is not null, up to the row (without it unless ``inclusive``)."""
         left = F.max_by(F.col("_value"), F.when(F.col("_value").isNotNull(), F.struct(*self.order)))

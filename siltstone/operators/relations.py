@@ -1,7 +1,7 @@
 """Sessions, co-access and the relation graph with feedback, decay and block rules.
 
 A user's events are a stream of file accesses (``props.k`` is the file); a session ends when more than
-``GAP`` seconds pass.  Sessions hold few files each, so pairs within a session stay few.
+``GAP`` seconds pass.
 """
 
 from __future__ import annotations
@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators.ordered import Ordered
 from siltstone.sources.tables import load
 
 GAP = 30 * 60
+#: About as many files of a session meet as many others in one join key; larger sessions are cut in blocks.
+BLOCK = 256
 DAY = 24 * 3600
 #: Point in time of all ages, just behind the newest line, so that results do not depend on the clock.
 AS_OF = "2002-01-01 00:00:00"
@@ -24,11 +27,14 @@ TRANSITIONS = [
 
 
 def sessions(events: DataFrame, gap: int = GAP) -> DataFrame:
-    """``events`` with session_no: a new one where more than ``gap`` seconds passed since the user's last event."""
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    idle = F.col("ts") - F.lag("ts").over(order)
+    """``events`` with session_no: a new one where more than ``gap`` seconds passed since the user's last event.
+
+    Runs in pieces with a carry, so a user with a third of all events is no one task's work.
+    """
+    idle = F.col("ts") - F.col("_last")
     new = F.when(idle.isNull() | (idle > F.make_dt_interval(secs=F.lit(gap))), 1).otherwise(0)
-    return events.withColumn("new", new).withColumn("session_no", F.sum("new").over(order)).drop("new")
+    seen = Ordered(events, ["user_id"], ["ts", "event_id"]).last_known("_last", F.col("ts"), inclusive=False)
+    return seen.running_sum("session_no", new.cast("long")).result().drop("_last")
 
 
 def _accesses(spark: SparkSession, sf_dir: str, gap: int) -> DataFrame:
@@ -44,11 +50,17 @@ def q_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def session_pairs(accesses: DataFrame) -> DataFrame:
     """(a, b, co, strength) of files opened in one session: min(1, 0.3 + 0.1 (co - 1)).
 
-    Sessions are joined with themselves, so that no row holds a session and a long one is split like any skewed key.
+    A session's files are dealt by hash into blocks of about ``BLOCK``, and each pair of blocks is a key of
+    the join, so a session of any length is many small keys; one of up to ``BLOCK`` files is a single key.
     """
-    opened = accesses.where("file IS NOT NULL").select("user_id", "session_no", "file").distinct()
-    other = opened.withColumnRenamed("file", "b")
-    pairs = opened.withColumnRenamed("file", "a").join(other, ["user_id", "session_no"]).where("a < b")
+    session = ["user_id", "session_no"]
+    opened = accesses.where("file IS NOT NULL").select(*session, "file").distinct()
+    blocks = opened.groupBy(*session).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    opened = opened.join(blocks, session).withColumn("block", F.pmod(F.xxhash64("file"), "blocks"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = opened.select(*session, F.col("file").alias("a"), F.col("block").alias("x"), every.alias("y"))
+    right = opened.select(*session, F.col("file").alias("b"), F.col("block").alias("y"), every.alias("x"))
+    pairs = left.join(right, [*session, "x", "y"]).where("a < b")
     return pairs.groupBy("a", "b").agg(F.count("*").alias("co")).withColumn("strength", F.round(F.least(F.lit(1.0), 0.3 + 0.1 * (F.col("co") - 1)), 6))
 
 

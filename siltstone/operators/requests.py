@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -208,14 +209,40 @@ def q_word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", F.size("words").cast("long").alias("n"), F.coalesce(F.try_element_at("words", F.lit(-1))["end"], F.lit(0)).alias("last_end"), total.alias("starts"))
 
 
+def parts_of(docs: DataFrame, sep: str, trim: str = "", most: int = 100) -> DataFrame:
+    """(doc_id, number, start, end, preview) of the parts of each text between ``sep``, offsets in characters.
+
+    With ``trim``, these characters go from both ends of a part, and parts of nothing else are left out
+    and not counted; without it, every part stays.  One pass over each text, no shuffle; null texts have no parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                row, number, start, end, preview = [], [], [], [], []
+                for i, text in enumerate(b.column("text").to_pylist()):
+                    at = n = 0
+                    for p in text.split(sep):
+                        left = p.lstrip(trim) if trim else p
+                        bare = left.rstrip(trim) if trim else p
+                        if bare or not trim:
+                            row.append(i)
+                            number.append(n)
+                            start.append(at + len(p) - len(left))
+                            end.append(start[-1] + len(bare))
+                            preview.append(bare[:most])
+                            n += 1
+                        at += len(p) + len(sep)
+                longs = [pa.array(c, pa.int64()) for c in (number, start, end)]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row, pa.int64())), *longs, pa.array(preview, pa.string())], ["doc_id", "number", "start", "end", "preview"])
+
+    return docs.where("text IS NOT NULL").select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, number long, start long, end long, preview string")
+
+
 def blocks(docs: DataFrame, most: int = 100) -> DataFrame:
-    """(doc_id, number, start, end, preview): paragraphs between blank lines, trimmed, in one pass inside each row; empty ones are left out."""
-    parts = F.split("text", "\n\n")
-    step = lambda a, p: F.struct((a["at"] + F.length(p) + 2).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(p) - F.length(F.ltrim(p, F.lit(" \n")))).alias("start"), F.trim(p, F.lit(" \n")).alias("t")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,t:string>>").alias("out"))
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.filter(F.aggregate(parts, zero, step, lambda a: a["out"]), lambda p: p["t"] != "").alias("p"))
-    rows = rows.select("doc_id", F.posexplode("p").alias("number", "p"))
-    return rows.select("doc_id", F.col("number").cast("long").alias("number"), F.col("p.start").cast("long").alias("start"), (F.col("p.start") + F.length("p.t")).cast("long").alias("end"), F.substring("p.t", 1, most).alias("preview"))
+    """(doc_id, number, start, end, preview): paragraphs between blank lines, trimmed; empty ones are left out."""
+    return parts_of(docs, "\n\n", " \n", most)
 
 
 def q_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -281,6 +308,10 @@ QUERIES = {
     "word_offsets": q_word_offsets, "blocks": q_blocks, "page_slice": q_page_slice, "vector_lookup": q_vector_lookup, "index_counts": q_index_counts, "indexable": q_indexable, "mean_pool": q_mean_pool,
 }
 ORACLE_SQL = {
+    "blocks": """WITH t AS (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) || ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1),
+    p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS k FROM t),
+    o AS (SELECT doc_id, k, length(p) - length(ltrim(p, ' ' || chr(10))) + coalesce(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, trim(p, ' ' || chr(10)) AS t FROM p)
+    SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS number, CAST(start AS BIGINT) AS start, CAST(start + length(t) AS BIGINT) AS "end", substring(t, 1, 100) AS preview FROM o WHERE t <> ''""",
     "intent_parse": f"""WITH {_INTENT} SELECT conv_id, turn, CASE WHEN abs(file_score - content_score) < 0.2 AND file_score < 0.5 AND content_score < 0.5 THEN 'Ambiguous' WHEN file_score > content_score THEN 'File' ELSE 'Content' END AS category, intent, greatest(file_score, content_score) AS confidence,
     {_hint(FILE_HINTS)} AS file_type, {_hint(CHUNK_HINTS)} AS chunk_type, coalesce(time_hint, '-') AS time, CASE WHEN intent = 'Ambiguous' THEN md5({_QS}) ELSE '-' END AS questions_md5, CASE WHEN intent = 'Ambiguous' THEN 'File|Content' ELSE '-' END AS possible FROM s""",
     "suggestions": f"""WITH q AS (SELECT conv_id, turn, unnest([lower(substring(text, 1, 3)), split_part(text, ' ', 1), 'doc']) AS query FROM conversations)

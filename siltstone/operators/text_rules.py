@@ -99,10 +99,7 @@ def q_auto_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start of every occurrence, overlapping ones too, of a term in each text, without regard to case."""
-    low = F.lower("text")
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)) == "ion")
-    short = load(spark, sf_dir, "benchmark")
-    return short.select("item_id", F.explode(at).alias("start")).select("item_id", (F.col("start") - 1).cast("long").alias("start"))
+    return highlights(load(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id"), "ion").withColumnRenamed("doc_id", "item_id")
 
 
 def occurrences(text: str, term: str) -> list[int]:
@@ -206,6 +203,8 @@ QUERIES = {
     "anonymise": q_anonymise, "redact_log": q_redact_log, "contains_sensitive": q_contains_sensitive, "sensitive_tags": q_sensitive_tags, "auto_tag": q_auto_tag, "highlights": q_highlights, "document_highlights": q_document_highlights, "snippet": q_snippet, "offset_snippet": q_offset_snippet, "truncated": q_truncated, "type_looks": q_type_looks, "human_size": q_human_size, "token_windows": q_token_windows,
 }
 ORACLE_SQL = {
+    "document_highlights": """WITH p AS (SELECT doc_id, unnest(string_split(lower(text), 'ion')) AS p, generate_subscripts(string_split(lower(text), 'ion'), 1) AS k, len(string_split(lower(text), 'ion')) AS n FROM documents)
+    SELECT doc_id, start FROM (SELECT doc_id, k, n, CAST(sum(length(p) + 3) OVER (PARTITION BY doc_id ORDER BY k) - 3 AS BIGINT) AS start FROM p) WHERE k < n""",
     "classify_query": rf"""WITH k AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '0x[0-9a-fA-F]+|[0-9]{{4,}}|[A-Z_]{{3,}}|[\p{{L}}\p{{N}}_]+\.[\p{{L}}\p{{N}}_]{{2,4}}') OR contains(text, '"') OR contains(text, '/') OR contains(text, '\') THEN 'ExactKeyword'
       WHEN {_WORDS} >= 3 OR regexp_matches(lower(text), '^({'|'.join(T.QUESTION_WORDS)})') OR {_has('lower(text)', T.SEARCH_WORDS)} THEN 'NaturalLanguage' ELSE 'Mixed' END AS kind FROM conversations)
     SELECT conv_id, turn, kind, CASE kind WHEN 'ExactKeyword' THEN 0.2::DOUBLE WHEN 'NaturalLanguage' THEN 0.8::DOUBLE ELSE 0.6::DOUBLE END AS vector_weight, CASE kind WHEN 'ExactKeyword' THEN 0.8::DOUBLE WHEN 'NaturalLanguage' THEN 0.2::DOUBLE ELSE 0.4::DOUBLE END AS text_weight FROM k""",
