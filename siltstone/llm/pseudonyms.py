@@ -48,7 +48,7 @@ _NUMBER = re.compile(
     r"|(?P<card>(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9]))"
 )
 _SECRET = re.compile(
-    r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?\s{0,3}(?:=|:)\s{0,3}(?:\"(?P<double>[^\"\s]{8,})\"|'(?P<single>[^'\s]{8,})'|(?P<value>[^\s\"'<>,;()]{7,}[A-Za-z0-9_+/~=!@#$%^&*-]))"
+    r"(?i)(?<![A-Za-z0-9])(?:token|secret|api[_-]?key|access[_-]?key|password|passwd|pwd)\b[\"']?\s{0,3}(?:=|:)\s{0,3}(?:\"(?P<double>[^\"\s]{8,})\"|'(?P<single>[^'\s]{8,})'|(?P<value>[^\s\"'<>,;()]{7,}[A-Za-z0-9_+/~=!@#$%^&*-]))"
     r"|\b(?P<key>AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xox[abp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])"
 )
 _IPV6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]{1,34}[0-9A-Fa-f](?![0-9A-Za-z:])")
@@ -151,9 +151,11 @@ def _ssn(value: str, key: bytes, back: bool) -> str | None:
             return value
 
 
-def _phone(value: str, key: bytes, back: bool) -> str:
-    """The digits behind the country code as one number, in whatever layout."""
+def _phone(value: str, key: bytes, back: bool) -> str | None:
+    """The digits behind the country code as one number, in whatever layout; a number has 7 to 15 digits."""
     d = re.sub("[^0-9]", "", value)
+    if not 7 <= len(d) <= 15:
+        return None
     lead = re.match(r"\+([0-9]{1,3})[ .(-]", value)
     code = lead[1] if lead else "1" if value[0] == "+" and len(d) == 11 and d[0] == "1" else ""
     rest = digits(d[len(code) :], key, "phone" + (code or "1" * (len(d) == 10)), 0, back)
@@ -248,8 +250,8 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return lead + letters(value[len(lead) :], key, f"key{lead}", back)
 
 
-def find(text: str) -> list[tuple[int, int, str]]:
-    """Spans of private values that do not overlap, in order: (start, end, kind)."""
+def candidates(text: str) -> list[tuple[int, int, str]]:
+    """Spans that look like private values, by start, longer ones first; they may overlap and be no valid values."""
     got = []
     if "@" in text:
         got += [(*m.span(), "email") for m in _EMAIL.finditer(text)]
@@ -260,18 +262,17 @@ def find(text: str) -> list[tuple[int, int, str]]:
     got += [(*m.span(), "iban") for m in _IBAN.finditer(text) if iban_rest(m[0]) == 1]
     for run in _DIGITS.finditer(text):
         got += [(*m.span(), next(k for k in ("ip", "ymd", "dmy", "ssn", "phone", "card") if m[k])) for m in _NUMBER.finditer(text, run.start(), run.end() + 2)]
-    out: list[tuple[int, int, str]] = []
-    for s in sorted(got, key=lambda s: (s[0], -s[1])):
-        if not out or s[0] >= out[-1][1]:
-            out.append(s)
-    return out
+    return sorted(got, key=lambda s: (s[0], -s[1]))
 
 
 def pseudonymise_text(text: str, key: bytes) -> tuple[str, list[tuple[int, int, str]]]:
-    """The text with pseudonyms, and the replaced spans of the old text."""
+    """The text with pseudonyms, and the replaced spans of the old text.
+
+    Of overlapping candidates the first valid one is replaced, so a refused one hides no value inside it.
+    """
     parts, at, done = [], 0, []
-    for start, end, kind in find(text):
-        new = pseudonym(kind, text[start:end], key)
+    for start, end, kind in candidates(text):
+        new = pseudonym(kind, text[start:end], key) if start >= at else None
         if new is not None:
             parts += [text[at:start], new]
             done.append((start, end, kind))
@@ -279,6 +280,11 @@ def pseudonymise_text(text: str, key: bytes) -> tuple[str, list[tuple[int, int,
     return "".join([*parts, text[at:]]) if parts else text, done
 
 
+def find(text: str) -> list[tuple[int, int, str]]:
+    """Spans of private values that do not overlap, in order: (start, end, kind)."""
+    return pseudonymise_text(text, b"")[1]
+
+
 def pseudonymise(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with pseudonyms in its text, and ``private``: kind, start and end of each in the old text.
 

@@ -322,6 +322,13 @@ def test_pseudonyms_invert_and_link():
     assert pseudonyms.pseudonymise_text("version 2.0. in 1999, 12345, 2024-13-40 and 1.2.3.4.5 DE88370400440532013000", b"k")[1] == []
 
 
+def test_refused_candidates_hide_no_value():
+    kinds = lambda text: [(k, text[s:e]) for s, e, k in pseudonyms.find(text)]
+    assert kinds("password: user=alice@ex.org") == [("email", "alice@ex.org")]
+    assert kinds("aws_secret_access_key=abcDEF1234567890abcDEF, my_token = 'abcd1234'") == [("secret", "abcDEF1234567890abcDEF"), ("secret", "abcd1234")]
+    assert kinds("from +1 2 3 4 to +49 30 123456") == [("phone", "+49 30 123456")]
+
+
 def test_pseudonyms_link_layouts():
     new = lambda text: pseudonyms.pseudonymise_text(text, b"k")[0]
     bare = lambda text: re.sub("[^0-9]", "", new(text))
