@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators.ordered import Ordered
-from siltstone.sources.tables import load
+from siltstone.sources.tables import documents_as_files, load
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -95,6 +95,27 @@ def q_crowded_dirs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("dir")).agg(F.count("*").alias("files"), F.count_if(F.col("n_chars") > 5000).alias("too_large")).where("files > 10")
 
 
+#: Most files of a directory and most bytes of a file that are looked at.
+MOST_FILES, MOST_BYTES = 10_000, 500 * 1024 * 1024
+
+
+def filtered_files(files: DataFrame, most_files: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """``files`` (path, size_bytes, ...) with ``verdict``: TooManyFiles (all files of a directory that itself holds more), TooLarge, or Include.
+
+    The directory is tried first; a null size is no large one.  Only crowded directories are joined, of
+    which there are at most a ``most_files``-th of the rows.
+    """
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    crowded = files.groupBy(folder.alias("_dir")).agg(F.count("*").alias("_n")).where(F.col("_n") > most_files)
+    verdict = F.when(F.col("_n").isNotNull(), "TooManyFiles").when(F.col("size_bytes") > most_bytes, "TooLarge").otherwise("Include")
+    return files.withColumn("_dir", folder).join(crowded, "_dir", "left").withColumn("verdict", verdict).drop("_dir", "_n")
+
+
+def q_filtered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files, under limits of 60 files a directory and 5000 bytes a file."""
+    return filtered_files(documents_as_files(spark, sf_dir), 60, 5000).select("doc_id", "verdict")
+
+
 def pair_renames(events: DataFrame) -> DataFrame:
     """(user_id, from_event, to_event, kind) of events (user_id, event_id, ts, half: From or To).
 
@@ -126,8 +147,9 @@ new AS (SELECT file_id, CASE WHEN file_id % 13 = 0 THEN path || '_moved' ELSE pa
 diff AS (SELECT coalesce(new.file_id, old.file_id) AS file_id, CASE WHEN old.file_id IS NULL THEN 'added' WHEN new.file_id IS NULL THEN 'deleted' WHEN old.path <> new.path THEN 'renamed' ELSE 'modified' END AS change, coalesce(new.path, old.path) AS path
   FROM old FULL OUTER JOIN new ON old.file_id = new.file_id WHERE old.file_id IS NULL OR new.file_id IS NULL OR old.path <> new.path OR old.size <> new.size)"""
 
-QUERIES = {"snapshot_diff": q_snapshot_diff, "reconcile_apply": q_reconcile_apply, "retention_by_size": q_retention, "retention_passes": q_retention_passes, "lru_evict": q_lru_evict, "crowded_dirs": q_crowded_dirs, "rename_pairs": q_rename_pairs}
+QUERIES = {"filtered_files": q_filtered_files, "snapshot_diff": q_snapshot_diff, "reconcile_apply": q_reconcile_apply, "retention_by_size": q_retention, "retention_passes": q_retention_passes, "lru_evict": q_lru_evict, "crowded_dirs": q_crowded_dirs, "rename_pairs": q_rename_pairs}
 ORACLE_SQL = {
+    "filtered_files": "SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY source, lang) > 60 THEN 'TooManyFiles' WHEN n_chars > 5000 THEN 'TooLarge' ELSE 'Include' END AS verdict FROM documents",
     "snapshot_diff": f"WITH {_SNAP} SELECT * FROM diff",
     "reconcile_apply": f"WITH {_SNAP} SELECT new.file_id, new.path, new.size, CASE WHEN change IN ('modified', 'added') THEN 'Pending' ELSE 'Indexed' END AS status FROM new LEFT JOIN diff USING (file_id)",
     "retention_by_size": "SELECT source, doc_id, CAST(running AS BIGINT) AS running FROM (SELECT *, row_number() OVER w AS position, sum(n_chars) OVER w AS running FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC)) WHERE position <= 40 AND running <= 100000",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.sources.tables import load
@@ -87,6 +87,26 @@ def q_tag_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(p.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("tag")), "l_partkey").groupBy("tag").agg(F.sum("a").alias("confirmed"), F.sum("r").alias("rejected"))
 
 
+def tag_preferences(verdicts: DataFrame, file=None) -> DataFrame:
+    """(verdict, tag, uses, position) of ``verdicts`` (file, tag, verdict: confirmed or rejected), of one file or of all.
+
+    Most used tags of each verdict first, ties by tag.  Tags are counted before they are ranked.
+    """
+    some = verdicts if file is None else verdicts.where(F.col("file") == file)
+    used = some.where("verdict IN ('confirmed', 'rejected')").groupBy("verdict", "tag").agg(F.count("*").alias("uses"))
+    return used.withColumn("position", F.row_number().over(Window.partitionBy("verdict").orderBy(F.desc("uses"), "tag")).cast("long"))
+
+
+def q_ranked_tag_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preferences by position over all orders, and over the one of the smallest key alone."""
+    p = load(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("tag"))
+    verdict = F.when(F.col("l_returnflag") == "A", "confirmed").when(F.col("l_returnflag") == "R", "rejected")
+    v = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("p_partkey"), verdict.alias("verdict")).join(p, "p_partkey")
+    first = v.where("verdict IS NOT NULL").agg(F.min("file").alias("file"))
+    one = v.join(F.broadcast(first), "file")
+    return tag_preferences(v).withColumn("scope", F.lit("all")).unionByName(tag_preferences(one).withColumn("scope", F.lit("file")))
+
+
 def q_tag_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """usage_count of every brand, recomputed from its lines; unused tags count 0."""
     li, p = load(spark, sf_dir, "lineitem"), load(spark, sf_dir, "part")
@@ -104,11 +124,14 @@ def q_merge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TREE = """tree AS (SELECT 'r' || r_regionkey AS tag, NULL AS parent, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, c_name FROM customer),
 p AS (SELECT tag, 0::BIGINT AS depth, name AS path, [tag] AS ancestors, name FROM tree WHERE parent IS NULL UNION ALL SELECT t.tag, p.depth + 1, p.path || ' > ' || t.name, list_append(p.ancestors, t.tag), t.name FROM tree t JOIN p ON t.parent = p.tag)"""
 
-QUERIES = {
+QUERIES = {"ranked_tag_preferences": q_ranked_tag_preferences, 
     "tag_paths": q_tag_paths, "tag_stats": q_tag_stats, "tag_summary": q_tag_summary, "descendants": q_descendants, "tag_moves": q_tag_moves, "tag_tree_filter": q_tag_tree_filter,
     "tag_all_of": q_tag_all_of, "tag_preferences": q_tag_preferences, "tag_usage": q_tag_usage, "merge_tags": q_merge_tags,
 }
 ORACLE_SQL = {
+    "ranked_tag_preferences": """WITH v AS (SELECT l_orderkey AS file, p_brand AS tag, CASE l_returnflag WHEN 'A' THEN 'confirmed' ELSE 'rejected' END AS verdict FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('A', 'R')),
+    s AS (SELECT 'all' AS scope, * FROM v UNION ALL SELECT 'file', * FROM v WHERE file = (SELECT min(file) FROM v))
+    SELECT *, row_number() OVER (PARTITION BY scope, verdict ORDER BY uses DESC, tag) AS position FROM (SELECT scope, verdict, tag, count(*) AS uses FROM s GROUP BY ALL)""",
     "tag_paths": f"WITH RECURSIVE {_TREE} SELECT tag, depth, path FROM p",
     "tag_summary": f"""WITH RECURSIVE {_TREE}, d AS (SELECT depth, count(*) AS tags FROM p GROUP BY depth)
     SELECT CAST(sum(tags) AS BIGINT) AS tags, CAST(sum(tags) FILTER (depth = 0) AS BIGINT) AS roots, max(depth) AS max_depth, '{{' || string_agg('"' || depth || '":' || tags, ',' ORDER BY depth) || '}}' AS by_depth FROM d""",
