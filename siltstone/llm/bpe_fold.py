@@ -1,12 +1,13 @@
 """Operator 12: byte-level BPE encoding and decoding by folds over the bytes of distinct words.
 
 Spark's regular expressions cut a text into the matches of the tokenizer's pattern.  Whole texts are
-gathered in blocks of about ``BLOCK`` bytes, and each block's distinct words follow it as rows of their
-own; no text and no word is shuffled.  ``fold_words`` turns a word into ids with higher-order functions
-alone: its state is an array with one number a piece (the rank that the piece and its right neighbour
-would have together, and the piece's id), ``aggregate`` merges the leftmost pair of the best rank in
-each step, and ranks come from one literal table in the plan.  The rows of a block are put together
-again behind the fold, in the task that cut them.  Decoding concatenates the binary pieces of the ids.
+gathered in blocks of about ``BLOCK`` bytes, and a block's distinct words that no earlier block of the
+task had go before it as rows of their own; no text and no word is shuffled.  ``fold_states`` turns a
+word's bytes into ids with higher-order functions alone: its state is an array with one number a piece
+(the rank that the piece and its right neighbour would have together, where the piece starts, and its
+id), ``aggregate`` merges the leftmost pair of the best rank in each step, and ranks come from one
+literal table in the plan.  The rows of a block are put together again behind the fold, in the task
+that cut them.  Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
@@ -26,13 +27,15 @@ from siltstone.sources.tables import load
 from .storage import modest_batches
 
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
+#: Words that the blocks of a task share; beyond, the next block starts anew.
+KEEP = 1_000_000
 #: Longer words are merged from a heap, since a step of the fold copies the word's state.
 LONG = 200
 #: Bits of an id, and of a place in a short word.
 ID_BITS, PLACE_BITS = 20, 12
 #: In place of a rank: the pair is no piece.
-NO_RANK = 1 << 40
+NO_RANK = 1 << ID_BITS
 #: Slots of each half of the rank table: primes that scatter ``left << ID_BITS | right``.
 SLOTS = (255_989, 240_007)
 
@@ -74,42 +77,84 @@ def rank_table(pairs: dict[int, int]) -> list[int]:
     return table
 
 
-def fold_words(word: Column, ranks: dict[bytes, int]) -> Column:
-    """The ids (array<int>) of a binary word of at most ``LONG`` bytes, in higher-order functions; null for null."""
-    mask = F.lit((1 << ID_BITS) - 1)
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _found(table: Column, left: Column, right: Column) -> Column:
+    """The rank of two ids side by side; ``NO_RANK`` where they are no piece or one is missing."""
+
+    def look(pair: Column) -> Column:
+        one, two = F.get(table, (pair % SLOTS[0]).cast("int")), F.get(table, (pair % SLOTS[1] + SLOTS[0]).cast("int"))
+        mask = F.lit((1 << ID_BITS) - 1)
+        return F.when(F.shiftright(one, ID_BITS) == pair, one.bitwiseAND(mask)).when(F.shiftright(two, ID_BITS) == pair, two.bitwiseAND(mask))
+
+    return F.coalesce(_bound(F.shiftleft(left, ID_BITS) + right, look), F.lit(NO_RANK).cast("long"))
+
+
+def _literal(values: list[int]) -> Column:
     # from_json over a literal is folded into an array literal by the optimizer
-    table = F.from_json(F.lit(str(rank_table(pair_ranks(ranks)))), "array<bigint>")
-    byte_ids = F.from_json(F.lit(str([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))  # noqa: E731  a name for a value
-    id_of = lambda x: x.bitwiseAND(mask)
+    return F.from_json(F.lit(str(values)), "array<bigint>")
 
-    def body(t: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            """Of two ids; a missing one has none."""
 
-            def found(pair: Column) -> Column:
-                one, two = F.get(t, (pair % SLOTS[0]).cast("int")), F.get(t, (pair % SLOTS[1] + SLOTS[0]).cast("int"))
-                return F.when(F.shiftright(one, ID_BITS) == pair, id_of(one)).when(F.shiftright(two, ID_BITS) == pair, id_of(two)).otherwise(NO_RANK)
+def fold_states(start: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids (array<int>) of a word, in higher-order functions, from its bytes' state (array<bigint>); null for null.
 
-            return F.coalesce(bound(F.shiftleft(a, ID_BITS) + b, found), F.lit(NO_RANK))
+    An element of the state is a piece: the rank of it and its right neighbour together (``NO_RANK``:
+    none), the place of its first byte, which tells equal pairs apart, and its id.
+    """
+    id_of = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1))
+    place_of = lambda x: x.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << ID_BITS))
+    high = ID_BITS + PLACE_BITS
 
+    def body(table: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
-            def merged(best: Column) -> Column:
-                at, new = best.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"), F.shiftright(best, PLACE_BITS)
-                here = F.shiftleft(rank(new, id_of(F.get(state, at + 2))), ID_BITS) + new
-                left = id_of(F.get(state, at - 1))
-                rest = F.slice(state, at + 3, F.size(state))
-                inner = F.concat(F.slice(state, F.lit(1), at - 1), F.array(F.shiftleft(rank(left, new), ID_BITS) + left, here), rest)
-                return F.when(new == NO_RANK, state).when(at == 0, F.concat(F.array(here), rest)).otherwise(inner)
+            def merge(best: Column) -> Column:
+                new = F.shiftright(best, high)  # a piece's rank is its id
+
+                def at(i: Column) -> Column:
+                    here = F.shiftleft(_found(table, new, id_of(F.get(state, i + 1))), high).bitwiseOR(place_of(best)).bitwiseOR(new)
+                    left = lambda x: F.shiftleft(_found(table, id_of(x), new), high).bitwiseOR(place_of(x)).bitwiseOR(id_of(x))
+                    return F.array_remove(F.transform(state, lambda x, k: F.when(k == i - 1, here).when(k == i - 2, left(x)).otherwise(x)), F.get(state, i))
+
+                return F.when(new >= NO_RANK, state).otherwise(_bound(F.array_position(state, best).cast("int"), at))
+
+            return _bound(F.array_min(state), merge)
 
-            return bound(F.array_min(F.transform(state, lambda x, i: F.shiftleft(F.shiftright(x, ID_BITS), PLACE_BITS) + i)), merged)
+        steps = F.sequence(F.lit(1), F.greatest(F.size(start) - 1, F.lit(1)))
+        return F.aggregate(steps, start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
 
-        n = F.octet_length(word)
-        ids = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(byte_ids, F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1"))))
-        start = bound(ids, lambda x: F.transform(x, lambda a, i: F.shiftleft(rank(a, F.get(x, i + 1)), ID_BITS) + a))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
+    return F.when(F.size(start) == 0, F.expr("CAST(array() AS array<int>)")).when(F.size(start) > 0, _bound(_literal(rank_table(pair_ranks(ranks))), body))
+
+
+def fold_words(word: Column, ranks: dict[bytes, int]) -> Column:
+    """The ids (array<int>) of a binary word of at most ``LONG`` bytes, in higher-order functions; null for null."""
 
-    return F.when(F.octet_length(word) == 0, F.expr("CAST(array() AS array<int>)")).when(F.octet_length(word) > 0, bound(table, body))
+    def states(table: Column) -> Column:
+        bytes_ = F.transform(F.sequence(F.lit(1), F.octet_length(word)), lambda i: F.ascii(F.decode(F.substring(word, i, F.lit(1)), "ISO-8859-1")))
+        ids = F.transform(bytes_, lambda b: F.get(_literal([ranks[bytes([b])] for b in range(256)]), b))
+        high = ID_BITS + PLACE_BITS
+        return _bound(ids, lambda x: F.transform(x, lambda a, i: F.shiftleft(_found(table, a, F.get(x, i + 1)), high).bitwiseOR(F.shiftleft(i.cast("long"), ID_BITS)).bitwiseOR(a)))
+
+    start = F.when(F.octet_length(word) == 0, F.expr("CAST(array() AS array<bigint>)")).when(F.octet_length(word) > 0, _bound(_literal(rank_table(pair_ranks(ranks))), states))
+    return _bound(start, lambda s: fold_states(s, ranks))
+
+
+def byte_states(words: pa.Array, ranks: dict[bytes, int]) -> pa.Array:
+    """The state of each binary word's bytes, where ``fold_states`` starts; null for words of over ``LONG`` bytes."""
+    ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+    together = np.array([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], np.int64).reshape(256, 256)
+    size = pc.binary_length(words).to_numpy(False).astype(np.int64)
+    words = words.filter(pa.array(size <= LONG))
+    n = np.where(size > LONG, 0, size)
+    end = np.cumsum(n)
+    text = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    rank = np.append(together[text[:-1], text[1:]], NO_RANK)[: len(text)]
+    rank[end[n > 0] - 1] = NO_RANK
+    place = np.arange(len(text)) - np.repeat(end - n, n)
+    state = rank << ID_BITS + PLACE_BITS | place << ID_BITS | ids[text]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, end).astype(np.int32)), pa.array(state, pa.int64()), mask=pa.array(size > LONG))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -151,32 +196,51 @@ def cut_words(docs: DataFrame, pattern: str, id_col: str, text_col: str) -> Data
 
 
 def block_rows(cut: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """Rows of blocks, in order: (word, ids where it is long) of its distinct words, then (id, codes) of its texts."""
+    """Rows of blocks, in order: (state, or ids where the word is long, first) of new words, then (id, codes) of its texts.
+
+    Codes number the words of the task's blocks in their order, from 0 again where ``first`` is true.
+    """
     shared = cut.sparkSession.sparkContext.broadcast(ranks)
     kind = dict(cut.dtypes)["id"]
+    names = ["id", "codes", "state", "ids", "first"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         later = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+        known = pa.array([], pa.binary())
 
         def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nonlocal known
             t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
             lists = t["words"].combine_chunks()
             if t["text"].null_count < len(t):
                 texts = t["text"].to_pylist()
                 lists = pa.array([w if x is None else later.findall(x) for w, x in zip(lists.to_pylist(), texts)], pa.list_(pa.string()))
             flat = lists.flatten().dictionary_encode()
             words = flat.dictionary.cast(pa.binary())
-            ids = pa.nulls(len(words), pa.list_(pa.int32()))
-            if (pc.max(pc.binary_length(words)).as_py() or 0) > LONG:
-                ids = pa.array([merge_long(w, shared.value) if len(w) > LONG else None for w in words.to_pylist()], ids.type)
-            codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(False))]).astype(np.int32)), flat.indices)
-            size = 1 << 16  # rows of an Arrow batch
-            for i in range(0, len(words), size):
-                n = min(size, len(words) - i)
-                yield pa.RecordBatch.from_arrays([pa.nulls(n, t["id"].type), pa.nulls(n, codes.type), words.slice(i, n), ids.slice(i, n)], ["id", "codes", "word", "ids"])
-            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), codes, pa.nulls(len(t), pa.binary()), pa.nulls(len(t), ids.type)], ["id", "codes", "word", "ids"])
+            if len(known) > KEEP:
+                known = known.slice(0, 0)
+            first = not len(known)
+            code = pc.index_in(words, known)
+            new = words.filter(code.is_null())
+            code = code.fill_null(-1).to_numpy(False).copy()
+            code[code < 0] = len(known) + np.arange(len(new), dtype=np.int32)
+            known = pa.concat_arrays([known, new])
+            off = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy(False))]).astype(np.int32)
+            codes = pa.ListArray.from_arrays(pa.array(off), pa.array(code[flat.indices.to_numpy(False)], pa.int32()))
+            size = 1 << 14  # rows of an Arrow batch
+            for i in range(0, len(new), size):
+                some = new.slice(i, size)
+                n = len(some)
+                state = byte_states(some, shared.value)
+                ids = pa.nulls(n, pa.list_(pa.int32()))
+                if state.null_count:
+                    ids = pa.array([merge_long(w, shared.value) if len(w) > LONG else None for w in some.to_pylist()], ids.type)
+                yield pa.RecordBatch.from_arrays([pa.nulls(n, t["id"].type), pa.nulls(n, codes.type), state, ids, pa.array([first] * n, pa.bool_())], names)
+            n = len(t)
+            yield pa.RecordBatch.from_arrays([t["id"].combine_chunks(), codes, pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.bool_())], names)
 
         held, size = [], 0
         for b in batches:
@@ -184,28 +248,49 @@ def block_rows(cut: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
             size += b.nbytes
             if size >= 2 * BLOCK:  # words come with offsets, which take about as much as they
                 yield from block(held)
-                held, size = [], 0
+                size = 0
+                pa.default_memory_pool().release_unused()
         if sum(b.num_rows for b in held):
             yield from block(held)
 
-    return cut.mapInArrow(run, f"id {kind}, codes array<int>, word binary, ids array<int>")
+    return cut.mapInArrow(run, f"id {kind}, codes array<int>, state array<bigint>, ids array<int>, first boolean")
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pieces(ranks: dict[bytes, int]) -> list[bytes]:
+    """The piece of each id."""
+    pieces = [b""] * (max(ranks.values()) + 1)
+    for piece, rank in ranks.items():
+        pieces[rank] = piece
+    return pieces
+
+
+def _spelled(lists: pa.ListArray, piece: pa.LargeBinaryArray) -> pa.Array:
+    """The pieces of each id list one after another; null for null."""
+    spelled = piece.take(lists.flatten())
+    n = pc.list_value_length(lists).fill_null(0).to_numpy(False)
+    off = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, spelled.offset * 8)[np.concatenate([[0], np.cumsum(n)])]
+    data = memoryview(spelled.buffers()[2] or b"")
+    return pa.array([None if gone else bytes(data[i:j]) for i, j, gone in zip(off[:-1], off[1:], lists.is_null().to_pylist())], pa.binary())
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", bytes_col: str | None = None) -> DataFrame:
     """One row per row of ``docs``: id and ``ids`` (array<int>), as the tiktoken library gives them without special tokens.
 
     A null or empty text has no ids; null and repeated document ids are rows like others; a text of any
     length is encoded whole (it is one array, and its words over ``LONG`` bytes are merged from a heap);
-    other columns are not read; an empty table gives an empty result.
+    other columns are not read; an empty table gives an empty result.  With ``bytes_col`` each row also
+    has there what ``decode`` makes of its ids, by the task and the Python worker that put them together.
     """
     modest_batches(docs.sparkSession)
     rows = block_rows(cut_words(docs, pattern, id_col, text_col), ranks, pattern)
-    coded = rows.select("id", "codes", F.coalesce("ids", fold_words(F.col("word"), ranks)).alias("ids"))
+    coded = rows.select("id", "codes", F.coalesce("ids", fold_states(F.col("state"), ranks)).alias("ids"), "first")
     kind = dict(docs.dtypes)[id_col]
+    shared = docs.sparkSession.sparkContext.broadcast(_pieces(ranks)) if bytes_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.Array] = []
-        flat, start, size, fresh = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), True
+        flat, start, size, fresh = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        piece = pa.array(shared.value, pa.large_binary()) if shared else None
         for b in batches:
             is_word = b.column("codes").is_null().to_numpy(False)
             cut = [0, *(np.flatnonzero(np.diff(is_word)) + 1).tolist(), len(is_word)]
@@ -213,44 +298,38 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
                 if i == j:
                     continue
                 if is_word[i]:
-                    parts = parts if fresh else []
+                    if not fresh and b.column("first")[i].as_py():
+                        flat, size = flat[:0], size[:0]
                     parts.append(b.column("ids").slice(i, j - i))
                     fresh = True
                     continue
                 if fresh:
-                    size = np.concatenate([pc.list_value_length(p).to_numpy(False) for p in parts] or [np.zeros(0)]).astype(np.int64)
-                    flat = np.concatenate([p.flatten().to_numpy(False) for p in parts] or [np.zeros(0)]).astype(np.int32)
-                    start, fresh = np.cumsum(size) - size, False
+                    size = np.concatenate([size, *(pc.list_value_length(p).to_numpy(False) for p in parts)])
+                    flat = np.concatenate([flat, *(p.flatten().to_numpy(False) for p in parts)])
+                    parts, start, fresh = [], np.cumsum(size) - size, False
                 codes = b.column("codes").slice(i, j - i)
                 c = codes.flatten().to_numpy(False)
                 n = size[c]
                 upto = np.concatenate([[0], np.cumsum(n)])
                 ids = flat[np.repeat(start[c] - upto[:-1], n) + np.arange(upto[-1])]
                 at = upto[np.concatenate([[0], np.cumsum(pc.list_value_length(codes).to_numpy(False))])]
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int32()))], [id_col, "ids"])
+                lists = pa.LargeListArray.from_arrays(pa.array(at), pa.array(ids)).cast(pa.list_(pa.int32()))
+                spelled = [] if piece is None else [_spelled(lists, piece)]
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), lists, *spelled], [id_col, "ids", *[bytes_col] * len(spelled)])
 
-    return coded.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return coded.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + (f", `{bytes_col}` binary" if bytes_col else ""))
 
 
 def decode(table: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``table`` with ``bytes_col``: the pieces of each id list one after another (null: null); an unknown id is an error."""
-    pieces = [b""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece
-    shared = table.sparkSession.sparkContext.broadcast(pieces)
+    shared = table.sparkSession.sparkContext.broadcast(_pieces(ranks))
     names = [c for c in table.columns if c != bytes_col]
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.array(shared.value, pa.large_binary())
         for b in batches:
-            lists = b.column(at)
-            spelled = piece.take(lists.flatten())
-            n = pc.list_value_length(lists).fill_null(0).to_numpy(False)
-            off = np.frombuffer(spelled.buffers()[1], np.int64, len(spelled) + 1, spelled.offset * 8)[np.concatenate([[0], np.cumsum(n)])]
-            data = memoryview(spelled.buffers()[2] or b"")
-            out = [None if gone else bytes(data[i:j]) for i, j, gone in zip(off[:-1], off[1:], lists.is_null().to_pylist())]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, bytes_col])
+            yield pa.RecordBatch.from_arrays([*b.columns, _spelled(b.column(at), piece)], [*names, bytes_col])
 
     schema = ", ".join([*(f"`{c}` {dict(table.dtypes)[c]}" for c in names), f"`{bytes_col}` binary"])
     return table.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
@@ -260,5 +339,5 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    back = decode(encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    back = encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, bytes_col="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

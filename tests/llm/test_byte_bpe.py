@@ -65,6 +65,25 @@ def test_blocks(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_blocks_share_words(spark, monkeypatch):
+    """A word is folded once in a task, unless its dictionary is full; one Python worker puts ids together and decodes them."""
+    monkeypatch.setattr(B, "BLOCK", 200)
+    texts = ["", *(f"shared words of every block and own{i}" + "z" * 300 * (i % 9 == 0) for i in range(60)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for keep, times in ((1_000_000, 1), (20, 2)):
+            monkeypatch.setattr(B, "KEEP", keep)
+            rows = B.block_rows(B.cut_words(df, public_tokenizers.PATTERN, "doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+            folded = rows.where("codes IS NULL AND ids IS NULL").groupBy("state").count().agg(F.max("count")).first()[0]
+            assert folded == 1 if times == 1 else folded >= times
+            got = B.encode(df, RANKS, public_tokenizers.PATTERN, bytes_col="decoded")
+            assert {r.doc_id: (r.ids, bytes(r.decoded)) for r in got.collect()} == {i: (LIBRARY.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
+            assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_decode(spark):
     df = spark.createDataFrame([(1, LIBRARY.encode_ordinary("héllo, 日本")), (2, []), (3, None)], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded if r.decoded is None else bytes(r.decoded) for r in B.decode(df, RANKS).collect()} == {1: "héllo, 日本".encode(), 2: b"", 3: None}
