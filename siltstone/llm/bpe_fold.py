@@ -78,8 +78,12 @@ def rank_table(pairs: dict[int, int]) -> list[int]:
 
 
 def _bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of a value that is computed once.
+
+    An aggregate of nothing, whose last step is the body.  An element of a transformed array would do
+    too, but then each evaluation asks the whole body anew for its type and for whether it may be null.
+    """
+    return F.aggregate(F.expr("CAST(array() AS array<int>)"), value, lambda x, _: x, body)
 
 
 def _found(table: Column, left: Column, right: Column) -> Column:
@@ -105,25 +109,28 @@ def fold_states(start: Column, ranks: dict[bytes, int]) -> Column:
     none), the place of its first byte, which tells equal pairs apart, and its id.
     """
     id_of = lambda x: x.bitwiseAND(F.lit((1 << ID_BITS) - 1))
-    place_of = lambda x: x.bitwiseAND(F.lit(((1 << PLACE_BITS) - 1) << ID_BITS))
     high = ID_BITS + PLACE_BITS
+    place, low, none = F.lit(((1 << PLACE_BITS) - 1) << ID_BITS), F.lit((1 << high) - 1), F.lit(NO_RANK << high)
 
     def body(table: Column) -> Column:
         def step(state: Column, _: Column) -> Column:
             def merge(best: Column) -> Column:
                 new = F.shiftright(best, high)  # a piece's rank is its id
 
-                def at(i: Column) -> Column:
-                    here = F.shiftleft(_found(table, new, id_of(F.get(state, i + 1))), high).bitwiseOR(place_of(best)).bitwiseOR(new)
-                    left = lambda x: F.shiftleft(_found(table, id_of(x), new), high).bitwiseOR(place_of(x)).bitwiseOR(id_of(x))
-                    return F.array_remove(F.transform(state, lambda x, k: F.when(k == i - 1, here).when(k == i - 2, left(x)).otherwise(x)), F.get(state, i))
+                def before(i: Column) -> Column:
+                    """``i``: the index in front of the best pair."""
+                    here = F.shiftleft(_found(table, new, id_of(F.get(state, i + 3))), high).bitwiseOR(best.bitwiseAND(place)).bitwiseOR(new)
+                    left = lambda x: F.shiftleft(_found(table, id_of(x), new), high).bitwiseOR(x.bitwiseAND(low))
+                    return F.array_remove(F.transform(state, lambda x, k: F.when(x == best, here).when(k == i, left(x)).otherwise(x)), F.get(state, i + 2))
 
-                return F.when(new >= NO_RANK, state).otherwise(_bound(F.array_position(state, best).cast("int"), at))
+                return _bound(F.array_position(state, best).cast("int") - 2, before)
 
-            return _bound(F.array_min(state), merge)
+            return _bound(F.array_min(state), lambda best: F.when(best >= none, state).otherwise(merge(best)))
 
-        steps = F.sequence(F.lit(1), F.greatest(F.size(start) - 1, F.lit(1)))
-        return F.aggregate(steps, start, step, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
+        # steps in fours, of which no more begin once nothing can merge
+        four = lambda state, _: F.when(F.array_min(state) >= none, state).otherwise(F.aggregate(F.array(*map(F.lit, range(4))), state, step))
+        rounds = F.sequence(F.lit(0), F.floor((F.size(start) + 2) / 4).cast("int"))
+        return F.aggregate(rounds, start, four, lambda s: F.transform(s, lambda x: id_of(x).cast("int")))
 
     return F.when(F.size(start) == 0, F.expr("CAST(array() AS array<int>)")).when(F.size(start) > 0, _bound(_literal(rank_table(pair_ranks(ranks))), body))
 
@@ -141,15 +148,21 @@ def fold_words(word: Column, ranks: dict[bytes, int]) -> Column:
     return _bound(start, lambda s: fold_states(s, ranks))
 
 
-def byte_states(words: pa.Array, ranks: dict[bytes, int]) -> pa.Array:
+def byte_tables(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The id of each byte, and the rank of each two."""
+    single = [bytes([b]) for b in range(256)]
+    return np.array([ranks[b] for b in single], np.int64), np.array([[ranks.get(a + b, NO_RANK) for b in single] for a in single], np.int64)
+
+
+def byte_states(words: pa.Array, tables: tuple[np.ndarray, np.ndarray]) -> pa.Array:
     """The state of each binary word's bytes, where ``fold_states`` starts; null for words of over ``LONG`` bytes."""
-    ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-    together = np.array([ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256)], np.int64).reshape(256, 256)
+    ids, together = tables
     size = pc.binary_length(words).to_numpy(False).astype(np.int64)
     words = words.filter(pa.array(size <= LONG))
     n = np.where(size > LONG, 0, size)
     end = np.cumsum(n)
-    text = np.frombuffer(b"".join(words.to_pylist()), np.uint8)
+    at = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    text = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(words) else np.zeros(0, np.uint8)
     rank = np.append(together[text[:-1], text[1:]], NO_RANK)[: len(text)]
     rank[end[n > 0] - 1] = NO_RANK
     place = np.arange(len(text)) - np.repeat(end - n, n)
@@ -208,7 +221,7 @@ def block_rows(cut: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
         import regex
 
         later = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        known = pa.array([], pa.binary())
+        known, tables = pa.array([], pa.binary()), byte_tables(shared.value)
 
         def block(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nonlocal known
@@ -234,7 +247,7 @@ def block_rows(cut: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFra
             for i in range(0, len(new), size):
                 some = new.slice(i, size)
                 n = len(some)
-                state = byte_states(some, shared.value)
+                state = byte_states(some, tables)
                 ids = pa.nulls(n, pa.list_(pa.int32()))
                 if state.null_count:
                     ids = pa.array([merge_long(w, shared.value) if len(w) > LONG else None for w in some.to_pylist()], ids.type)
