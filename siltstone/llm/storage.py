@@ -40,3 +40,15 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     modest_batches(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, column: str, codec: str = "zstd") -> DataFrame:
+    """As ``stored``, in buckets by ``column``, as many as a shuffle has partitions: grouping by it later needs no exchange.
+
+    Buckets need a table; its name, new each time, stays in the session's catalog like its files in scratch.
+    """
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    modest_batches(spark)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.write.format("parquet").option("compression", codec).option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).saveAsTable(table)
+    return spark.table(table)

@@ -125,6 +125,40 @@ def test_merge_long():
     assert sentencepiece_lattice.merge_long(4, [(0, 2, 1), (2, 2, 0), (1, 2, 2)]) == [(0, 2), (2, 4)]
 
 
+def test_units_of_62_and_63_characters(spark):
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(n, "the" * 30 if not n else ("thingsand" * 9)[: n - 1]) for n in (0, 61, 62, 63, 64)]  # with the prefix, n characters
+    got = sentencepiece_lattice.encode(spark.createDataFrame(rows, "doc_id long, text string"), PIECES).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: m.encode(t) for i, t in rows}
+
+
+def test_lattice_moves_no_codes(spark):
+    m = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(i, f"many words, of some texts; number {i}.") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plan = sentencepiece_lattice.encode(docs, PIECES)._jdf.queryExecution().executedPlan().toString()
+    codes = plan[plan.rindex("Sort [part") :]  # the second side of the cogroup
+    assert "codes" in codes and "Bucketed: true" in codes and "Exchange" not in codes
+    got = sentencepiece_lattice.encode(docs, PIECES, decoded_col="decoded").collect()
+    assert {r.doc_id: (r.ids, r.decoded) for r in got} == {i: (m.encode(t), t) for i, t in rows}
+
+
+@pytest.mark.parametrize("ranks", [{"ab": 0, "bc": 1, "abc": 2, "aa": 3, "abcaa": 4}, {"ab": 5, "bc": 6, "abc": 1, "ca": 0, "aab": 2, "cab": 7}])
+def test_folds_merge_in_order(spark, ranks):
+    rows = [(p, i, r) for i, (p, r) in enumerate([("a", 20), ("b", 21), *ranks.items()])]  # c is no piece
+    assert sentencepiece_lattice.in_rank_order(rows) == (ranks["abc"] == 2)
+    rng = np.random.default_rng(5)
+    units = sorted({"".join(rng.choice(list("abc"), n)) for n in range(1, 30) for _ in range(8)})
+    got = sentencepiece_lattice.encode_units(spark.createDataFrame(list(enumerate(units)), "at long, unit string"), rows, 100).collect()
+    ids = {p: [i] for p, i, _ in rows} | {"c": [100 + ord("c")]}
+
+    def want(u):
+        edges = [(s, len(p), r) for s in range(len(u)) for p, r in ranks.items() if u.startswith(p, s)]
+        return [i for a, b in sentencepiece_lattice.merge_long(len(u), edges) for i in ids[u[a:b]]]
+
+    assert {r.at: r.ids for r in got} == {k: want(u) for k, u in enumerate(units)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
