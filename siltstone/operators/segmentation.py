@@ -12,10 +12,13 @@ from collections.abc import Iterator
 from math import log
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators.word_graph import WordGraph
+from siltstone.sources.scratch import shared_folder, written
 from siltstone.sources.tables import load
 
 #: Most words of a dictionary (of the highest counts), most characters of a word, most of a run without spaces.
@@ -32,7 +35,7 @@ _RUN = re.compile("[぀-ヿ一-鿿]+|[^\\W_぀-ヿ一-鿿]+|_+")
 
 def letters(text: Column) -> Column:
     """Lower-cased words of letters, as scripts with spaces have them."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}&&[^\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z[\p{L}&&[^\x{3040}-\x{30FF}\x{4E00}-\x{9FFF}]]]+"), F.lit(0))
 
 
 def spaced_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -52,7 +55,7 @@ def spaceless_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.char_length("run"))).alias("at"))
     grams = starts.select(F.substring("run", F.col("at"), F.lit(GRAM + 1)).alias("gram"))
     grams = grams.select(F.explode(F.transform(F.sequence(F.lit(1), F.char_length("gram")), lambda k: F.substring(F.col("gram"), F.lit(1), k))).alias("word"))
-    counts = grams.groupBy("word").agg(F.count("*").alias("n"))
+    counts = written(grams.groupBy("word").agg(F.count("*").alias("n")), shared_folder(docs.sparkSession, "runs"))  # it is read six times, the texts once
     total = counts.where("char_length(word) = 1").agg(F.sum("n").cast("double").alias("total"))
     longer = counts.where("char_length(word) > 2").select(F.explode(F.array(F.expr("left(word, char_length(word) - 1)"), F.expr("substring(word, 2)"))).alias("word"), F.col("n").alias("most"))
     longer = longer.groupBy("word").agg(F.max("most").alias("most"))
@@ -110,30 +113,20 @@ class Segmenter:
 
     def __init__(self, words: DataFrame):
         rows = words.select("word", "n", "cost").collect()
-        costs = {r.word: r.cost for r in rows}
-        unknown = round(log(max(sum(r.n for r in rows), 1)) * SCALE)
+        self.costs = {r.word: r.cost for r in rows}
+        self.unknown = round(log(max(sum(r.n for r in rows), 1)) * SCALE)
         self.spark = words.sparkSession
-        self.model = self.spark.sparkContext.broadcast((costs, max(map(len, costs), default=1), unknown))
 
     def found(self, docs: DataFrame, key: str, words: Column) -> DataFrame:
         """(key, n_words, n_pieces, n_found): each row's ``words`` joined without spaces, cut again, and how many come back whole.
 
         Null or no words give zeros; repeated rows give equal rows; texts of any length take linear time.
         """
-        model = self.model
+        graph: Broadcast[WordGraph] = self.spark.sparkContext.broadcast(WordGraph(self.costs, self.unknown))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            costs, longest, unknown = model.value
-            for b in batches:
-                rows: list[tuple[int, int, int]] = []
-                for one in b.column(1).to_pylist():
-                    spans, at = set(), 0
-                    for w in one or []:
-                        spans.add((at, at + len(w)))
-                        at += len(w)
-                    ends = best_path("".join(one or []), costs, longest, unknown)
-                    rows.append((len(spans), len(ends), sum(s in spans for s in zip([0, *ends], ends))))
-                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ([], [], [])))], [key, "n_words", "n_pieces", "n_found"])
+            for b in (b.slice(k, 256) for b in batches for k in range(0, b.num_rows, 256)):
+                yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, graph.value.counts(b.column(1)))], [key, "n_words", "n_pieces", "n_found"])
 
         return docs.select(key, words.alias("_words")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, n_words bigint, n_pieces bigint, n_found bigint")
 
@@ -142,7 +135,7 @@ class Segmenter:
 
         Inside such texts, words of other scripts stay whole.  A null text has no tokens.
         """
-        model = self.model
+        model = self.spark.sparkContext.broadcast((self.costs, max(map(len, self.costs), default=1), self.unknown))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             costs, longest, unknown = model.value

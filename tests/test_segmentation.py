@@ -1,14 +1,18 @@
 """Dictionary and segmentation against brute force, and the share of words found in texts without spaces."""
 
 import random
+import time
 from math import log
 
 import duckdb
+import pyarrow as pa
+import pytest
 from compare import DATA, same
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from siltstone.operators import segmentation as S
+from siltstone.operators import word_graph as G
 
 COSTS = {"a": 40, "ab": 55, "abc": 70, "b": 45, "bca": 61, "ca": 50, "cab": 57}
 
@@ -92,3 +96,54 @@ def test_documents_without_spaces_are_cut_at_their_words(spark):
     """
     total = S.q_unspaced_words(spark, DATA).agg({"n_words": "sum", "n_found": "sum"}).first()
     assert total["sum(n_found)"] >= 0.6 * total["sum(n_words)"]
+
+
+def cut_one_by_one(rows, costs, unknown):
+    """Words, pieces and whole words of each row by ``best_path``."""
+    out = []
+    for row in rows:
+        spans, at = set(), 0
+        for w in row or []:
+            spans.add((at, at + len(w)))
+            at += len(w)
+        ends = S.best_path("".join(row or []), costs, max(map(len, costs), default=1), unknown)
+        out.append((len(spans), len(ends), sum(s in spans for s in zip([0, *ends], ends))))
+    return out
+
+
+@pytest.mark.parametrize("window, few, steps", [(1, 1, 1), (3, 2, 4), (8, 5, 2047), (G.WINDOW, G.FEW, G.STEPS)])
+def test_graph_matches_best_path(monkeypatch, window, few, steps):
+    """Windows, segments beside others and alone, unknown characters, nulls, empty words and characters beyond 16 bits."""
+    for name, value in (("WINDOW", window), ("FEW", few), ("STEPS", steps)):
+        monkeypatch.setattr(G, name, value)
+    r = random.Random(window)
+    for _ in range(25):
+        letters = "abcé界😀x"[: r.randint(1, 7)]
+        word = lambda more="", least=1: "".join(r.choice(letters + more) for _ in range(r.randint(least, 6)))
+        costs, unknown = {word(): r.randint(0, 9) for _ in range(r.randint(0, 12))}, r.choice([3, 9, 50])
+        rows = [None if r.random() < 0.1 else [word("q", r.random() > 0.1) for _ in range(r.randint(0, 12))] for _ in range(r.randint(0, 6))]
+        got = G.WordGraph(costs, unknown).counts(pa.array([None, *rows], pa.list_(pa.string())).slice(1))
+        assert list(zip(*[c.tolist() for c in got])) == cut_one_by_one(rows, costs, unknown), (costs, unknown, rows)
+
+
+def test_graph_takes_a_fraction_of_the_loop_s_time(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [r[0] for r in docs.select(S.letters(S.F.col("text"))).collect()]
+    segmenter = S.Segmenter(S.learned(docs))
+    graph, words = G.WordGraph(segmenter.costs, segmenter.unknown), pa.array(rows, pa.list_(pa.string()))
+    begun = time.process_time()
+    got = list(zip(*[c.tolist() for c in graph.counts(words)]))
+    took, begun = time.process_time() - begun, time.process_time()
+    assert got[:300] == cut_one_by_one(rows[:300], segmenter.costs, segmenter.unknown)
+    loop = (time.process_time() - begun) * sum(len("".join(r)) for r in rows) / sum(len("".join(r)) for r in rows[:300])
+    found = segmenter.found(docs, "doc_id", S.letters(S.F.col("text")))
+    begun = time.time()
+    assert sorted(tuple(r)[1:] for r in found.collect()) == sorted(got)
+    assert took < loop / 3 and time.time() - begun < loop
+
+
+def test_a_text_without_a_free_place(monkeypatch):
+    monkeypatch.setattr(G, "WINDOW", 64)
+    costs = {"a": 40, "ab": 55, "bc": 60, "ca": 41, "b": 45, "c": 30, "abca": 150}
+    rows = [["abc" * 4000], ["q"], ["cab" * 3000]]
+    assert list(zip(*[c.tolist() for c in G.WordGraph(costs, 90).counts(pa.array(rows))])) == cut_one_by_one(rows, costs, 90)
