@@ -5,13 +5,16 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators.text_rules import ORACLE_SQL as TEXT_SQL
+from siltstone.sources.scratch import small_batches
 from siltstone.sources.tables import documents_as_files, file_extension, load
 
 # Hints in the order in which they are tried, request words, questions, languages and folders.
@@ -23,6 +26,10 @@ CHUNK_HINTS = [
     ("paragraph", "Paragraph"), ("heading", "Heading"), ("title", "Heading"), ("code", "CodeBlock"), ("function", "CodeBlock"), ("table", "Table"), ("image", "Image"), ("caption", "Caption"),
     ("段落", "Paragraph"), ("标题", "Heading"), ("代码", "CodeBlock"), ("函数", "CodeBlock"), ("表格", "Table"), ("图片", "Image"),
 ]
+#: Texts whose words are found at a time.  White space as Python's \s has it: bytes, and characters of two and three bytes.
+SLICE = 256
+WHITE = np.isin(np.arange(256), [*range(0x09, 0x0E), *range(0x1C, 0x21)])
+WIDE_WHITE = [int.from_bytes(chr(c).encode()) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 TAG_TYPES = {"category": "Category", "filetype": "FileType", "file_type": "FileType", "project": "Project", "status": "Status", "autogenerated": "AutoGenerated", "auto_generated": "AutoGenerated"}
 RELATION_TYPES = {
     "content_similar": "ContentSimilar", "similar": "ContentSimilar", "same_session": "SameSession", "session": "SameSession", "same_project": "SameProject", "project": "SameProject", "same_author": "SameAuthor", "author": "SameAuthor",
@@ -183,23 +190,44 @@ def q_language_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return k.select("doc_id", "of", F.size("k").cast("long").alias("n"), F.md5(F.array_join("k", " ")).alias("tokens_md5"))
 
 
+def ink(text: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 texts, one after the other, are not of white space."""
+    out = ~WHITE[text]
+    wide = np.flatnonzero(np.isin(text, [0xC2, 0xE1, 0xE2, 0xE3]))
+    for n in (2, 3) if len(wide) else ():
+        at = wide[(text[wide] >= 0xE1) == (n == 3)]
+        blank = at[np.isin(sum(text[at + k].astype(np.int64) << 8 * (n - 1 - k) for k in range(n)), WIDE_WHITE)]
+        for k in range(n):
+            out[blank + k] = False
+    return out
+
+
+def spans(texts: pa.Array) -> pa.ListArray:
+    """(start, end) of the words of each text in bytes, from the buffer that holds all of them; a null text has none."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    to = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+    held = texts.buffers()[2]
+    text = np.frombuffer(held, np.uint8)[to[0] : to[-1]] if held is not None else np.zeros(0, np.uint8)
+    to = to - to[0]
+    full = ink(text)
+    bounds = np.zeros(len(text) + 1, bool)  # no word passes from one text to the next
+    bounds[to] = True
+    starts = np.flatnonzero(full & (bounds[:-1] | ~np.append(False, full[:-1])))
+    ends = np.flatnonzero(full & (bounds[1:] | ~np.append(full[1:], False))) + 1
+    held_to = np.searchsorted(starts, to)
+    before = np.repeat(to[:-1], np.diff(held_to))
+    return pa.ListArray.from_arrays(held_to.astype(np.int32), pa.StructArray.from_arrays([starts - before, ends - before], ["start", "end"]))
+
+
 def word_offsets(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): (start, end) of every word in bytes of the UTF-8 text."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for text in b["text"]:
-                at, last, spans = 0, 0, []
-                for m in re.finditer(r"\S+", text or ""):
-                    at += len(text[last : m.start()].encode())
-                    n = len(m[0].encode())
-                    spans.append({"start": at, "end": at + n})
-                    at, last = at + n, m.end()
-                out.append(spans)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "words": out})
-
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words array<struct<start:bigint,end:bigint>>")
+    """(doc_id, words): (start, end) of every word in bytes of the UTF-8 text; ``SLICE`` texts at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(k, SLICE) for b in batches for k in range(0, b.num_rows, SLICE)):
+            yield pa.RecordBatch.from_arrays([b.column(0), spans(b.column(1))], ["doc_id", "words"])
+
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, words array<struct<start:bigint,end:bigint>>")
 
 
 def q_word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators.word_graph import WordGraph
-from siltstone.sources.scratch import shared_folder, written
+from siltstone.sources.scratch import shared_folder, small_batches, written
 from siltstone.sources.tables import load
 
 #: Most words of a dictionary (of the highest counts), most characters of a word, most of a run without spaces.
@@ -122,6 +122,7 @@ class Segmenter:
 
         Null or no words give zeros; repeated rows give equal rows; texts of any length take linear time.
         """
+        small_batches(self.spark)
         graph: Broadcast[WordGraph] = self.spark.sparkContext.broadcast(WordGraph(self.costs, self.unknown))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,14 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one Arrow batch; long texts would fill Spark's default of 10,000 rows (or 256 MB) many times over.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir; on a local master without it, under a temporary folder."""

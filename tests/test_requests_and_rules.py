@@ -1,3 +1,7 @@
+import random
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,6 +45,30 @@ def test_word_offsets_match_brute_force(spark, text):
     assert all(a["end"] <= b["start"] for a, b in zip(r.words, r.words[1:]))
 
 
+def test_spans_match_split_in_every_slice():
+    """Words are found in the texts' own buffer: all white space, nulls, slices, words at the ends of texts."""
+    white = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    r = random.Random(4)
+    texts = [None, "", *["".join(r.choice([*white, "a", "é", "漢", "😀", "\u200b", "\u180e", "\x7f"]) for _ in range(r.randint(0, 30))) for _ in range(300)], "a", "b" + "\u3000".join("xyz"), None]
+    array = pa.array(texts)
+    for a, b in ((0, len(texts)), (1, 7), (299, 305), (0, 0)):
+        got = requests.spans(array.slice(a, b - a)).to_pylist()
+        assert [[t.encode()[w["start"] : w["end"]].decode() for w in ws] for ws, t in zip(got, [t or "" for t in texts[a:b]])] == [(t or "").split() for t in texts[a:b]] and len(got) == b - a
+
+
+def test_word_offsets_keep_no_object_a_word(spark):
+    """A million words take 16 bytes each and some arrays beside them; as dicts of a pandas column they took over 200 MB a batch."""
+    texts = pa.array(["word " * 2000] * 500)
+    tracemalloc.start()
+    assert len(requests.spans(texts).flatten()) == 1_000_000 and tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    words = requests.word_offsets(docs)
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
+    assert words.agg(F.sum(F.size("words")), F.max(F.element_at("words", -1)["end"])).first()[:] == (1_200_000, 9999)
+
+
 def test_blocks_have_their_place(spark):
     text = "\n\n one two \n\n\n\nthree\nfour\n\n \n\nlast  "
     got = [(r.start, r.end, r.preview) for r in requests.blocks(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")).orderBy("number").collect()]
