@@ -2,15 +2,16 @@
 
 Files are planned and read by Spark's binaryFile source, in any store Spark reaches.  Filters on size and
 time and the name pattern of the wanted types are pushed to it, so a skipped file is listed but never
-opened.  Parsers are one table function that a lateral join calls for each file; what a parser can't read
-becomes a row with an error in place of a record, never a lost one.
+opened.  Parsers are one table function that a lateral join calls for each file, in Arrow batches of a few
+MB, so a task holds few files at a time; what a parser can't read becomes a row with an error in place of
+a record, never a lost one.
 """
 
 from __future__ import annotations
 
 import csv
-import io
 import json
+import re
 from collections.abc import Callable, Iterator
 from datetime import datetime
 
@@ -19,19 +20,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from siltstone.functions import text as T
-from siltstone.sources.scratch import shared_folder
+from siltstone.sources.scratch import shared_folder, small_batches
 from siltstone.sources.tables import load
 
 RECORD = "number: long, key: string, text: string, error: string"
+#: Records of a landed file: a file is read as a whole.
+FILE_RECORDS = 1_000
 
 
 def _decoded(content: bytes) -> str:
     return content.decode("utf-8-sig")
 
 
+def _lines(text: str, ends: str) -> Iterator[str]:
+    """Lines with what ends them, one at a time; ``ends`` is a pattern."""
+    at = 0
+    for m in re.finditer(ends, text):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
 def lines_of_json(content: bytes) -> Iterator[tuple]:
-    """A record a line: an object's "key" and "text", or any other value as text."""
-    for n, line in enumerate(_decoded(content).split("\n")):
+    """A record a line: an object's "key" and "text" (JSON, unless it is a string or null), or any other value as text."""
+    for n, line in enumerate(_lines(_decoded(content), "\n")):
+        line = line.removesuffix("\n")
         if line.strip():
             try:
                 value = json.loads(line)
@@ -39,7 +52,8 @@ def lines_of_json(content: bytes) -> Iterator[tuple]:
                 yield n, None, None, f"JSON: {e}"
                 continue
             if isinstance(value, dict) and "text" in value:
-                yield n, str(value["key"]) if value.get("key") is not None else None, value["text"], None
+                text = value["text"]
+                yield n, str(value["key"]) if value.get("key") is not None else None, text if text is None or isinstance(text, str) else json.dumps(text, ensure_ascii=False), None
             else:
                 yield n, None, line, None
 
@@ -47,7 +61,7 @@ def lines_of_json(content: bytes) -> Iterator[tuple]:
 def rows_of_csv(content: bytes) -> Iterator[tuple]:
     """A record a row of two cells, key and text."""
     csv.field_size_limit(1 << 30)
-    for n, row in enumerate(csv.reader(io.StringIO(_decoded(content), newline=""))):
+    for n, row in enumerate(csv.reader(filter(None, _lines(_decoded(content), "\r\n|\n|\r")))):
         yield (n, row[0], row[1], None) if len(row) == 2 else (n, None, None, f"CSV: {len(row)} cells")
 
 
@@ -58,7 +72,8 @@ def whole_text(content: bytes) -> Iterator[tuple]:
 def sections(content: bytes) -> Iterator[tuple]:
     """A record a Markdown heading and what follows it; text before the first heading has no key."""
     key, held, n = None, [], 0
-    for line in _decoded(content).split("\n"):
+    for line in _lines(_decoded(content), "\n"):
+        line = line.removesuffix("\n")
         if line.startswith("#") and line.lstrip("#")[:1] == " ":
             if held or key is not None:
                 yield n, key, "\n".join(held), None
@@ -73,7 +88,12 @@ def sections(content: bytes) -> Iterator[tuple]:
 PARSERS: dict[str, Callable[[bytes], Iterator[tuple]]] = {"json": lines_of_json, "jsonl": lines_of_json, "csv": rows_of_csv, "md": sections, "markdown": sections, "txt": whole_text, "log": whole_text}
 
 
-@udtf(returnType=RECORD)
+def _whole(text: str | None) -> str | None:
+    """JSON can escape half a character, which UTF-8 can't hold."""
+    return text and text.encode("utf-8", "replace").decode()
+
+
+@udtf(returnType=RECORD, useArrow=True)
 class ParseFile:
     """The records of a file, by its extension; a file that can't be read, or has no parser, is one row with an error."""
 
@@ -83,7 +103,8 @@ class ParseFile:
             yield 0, None, None, f"no parser for {extension}"
             return
         try:
-            yield from parser(content)
+            for number, key, text, error in parser(content):
+                yield number, _whole(key), _whole(text), _whole(error)
         except (UnicodeDecodeError, csv.Error) as e:
             yield 0, None, None, f"{type(e).__name__}: {e}"
 
@@ -105,6 +126,7 @@ def files(spark: SparkSession, folder: str, extensions: list[str] | None = None,
 
 def parsed(found: DataFrame) -> DataFrame:
     """(path, number, key, text, error) of files (path, extension, content): one lateral call a file."""
+    small_batches(found.sparkSession)
     return found.lateralJoin(ParseFile(F.col("extension").outer(), F.col("content").outer())).select("path", "number", "key", "text", "error")
 
 
@@ -115,11 +137,11 @@ def records(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def land_documents(docs: DataFrame, folder: str) -> None:
-    """Documents as files: English ones as JSON lines, German ones as CSV, all others as pages of an unknown type."""
+    """Documents as files of at most ``FILE_RECORDS``: English ones as JSON lines, German ones as CSV, all others as pages of an unknown type."""
     keyed = docs.select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("text"), "lang")
-    keyed.where("lang = 'en'").select("key", "text").write.json(f"{folder}/en")
-    keyed.where("lang = 'de'").select("key", "text").write.option("quoteAll", "true").option("escape", '"').option("lineSep", "\n").csv(f"{folder}/de")
-    keyed.where("lang NOT IN ('en', 'de') OR lang IS NULL").write.parquet(f"{folder}/other")
+    keyed.where("lang = 'en'").select("key", "text").write.option("maxRecordsPerFile", FILE_RECORDS).json(f"{folder}/en")
+    keyed.where("lang = 'de'").select("key", "text").write.option("maxRecordsPerFile", FILE_RECORDS).option("quoteAll", "true").option("escape", '"').option("lineSep", "\n").csv(f"{folder}/de")
+    keyed.where("lang NOT IN ('en', 'de') OR lang IS NULL").write.option("maxRecordsPerFile", FILE_RECORDS).parquet(f"{folder}/other")
 
 
 def q_folder_records(spark: SparkSession, sf_dir: str) -> DataFrame:

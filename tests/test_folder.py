@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.sources import folder as D
 
@@ -40,3 +41,30 @@ def test_filters_reach_the_source_and_skip_files(spark, folder):
     assert [r.path.rsplit("/", 1)[1] for r in found.orderBy("path").collect()] == ["bad.txt"]  # Spark lists no empty files
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,20)" in plan and "GreaterThanOrEqual(m" in plan
+
+
+def test_files_reach_their_parser_a_few_at_a_time(spark, tmp_path, monkeypatch):
+    """Files go to Python in Arrow batches of bounded bytes, not a hundred files at once."""
+    plan = D.parsed(D.files(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+def test_landed_files_hold_a_bounded_number_of_records(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(D, "FILE_RECORDS", 7)
+    docs = spark.range(50).repartition(1).select(F.col("id").alias("doc_id"), F.concat(F.lit('a "b", \n\r\n c'), F.col("id").cast("string")).alias("text"), F.element_at(F.array(F.lit("en"), F.lit("de")), (F.col("id") % 2 + 1).cast("int")).alias("lang"))
+    D.land_documents(docs, str(tmp_path / "f"))
+    found = D.files(spark, str(tmp_path / "f"), ["json", "csv"])
+    good, bad = D.records(found)
+    assert found.count() == 8 and good.groupBy("path").count().agg({"count": "max"}).first()[0] == 7 and bad.count() == 0
+    assert sorted((int(r.key), r.text) for r in good.collect()) == sorted((r.doc_id, r.text) for r in docs.collect())
+
+
+def test_odd_values_of_json_and_csv():
+    texts = lambda parser, content: [r[2] for r in parser(content)]
+    assert texts(D.lines_of_json, b'{"text": 5}\n{"text": null}\n{"text": [1, "\xc3\xa9"]}\r\n"s"\n') == ["5", None, '[1, "\u00e9"]', '"s"']
+    assert texts(D.rows_of_csv, b'a,b\rc,"d\r\ne"\r\nf,"g""\nh"') == ["b", "d\r\ne", 'g"\nh']
+
+
+def test_half_a_character_is_replaced(spark):
+    found = spark.createDataFrame([("p", "json", bytearray(b'{"text": "a\\ud800b"}\n{"text": 5}'))], "path string, extension string, content binary")
+    assert [r.text for r in D.parsed(found).orderBy("number").collect()] == ["a?b", "5"]
