@@ -129,8 +129,8 @@ def type_tag(extension: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of letters, digits and underscores."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    """Lower-cased runs of letters, digits and underscores: ``WORD``, whose commonest characters are tried first."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_\p{L}\p{N}]+"), F.lit(0))
 
 
 def analysed(text: Column) -> Column:
